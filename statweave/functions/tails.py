@@ -31,12 +31,18 @@ _FAR_DEN = [1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-
             6.05183413124413191e-2, 2.33520497626869185e-3]
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def polynomial(x: Column, coefficients: list[float]) -> Column:
     """Horner form, highest power first."""
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
 def erfc(x: Column) -> Column:
+    """Complementary error function; give it a plain column or a :func:`let` variable."""
     y = F.abs(x)
     sq = y * y
     near = F.lit(1.0) - y * polynomial(sq, _ERF_NUM) / polynomial(sq, _ERF_DEN)
@@ -50,7 +56,7 @@ def erfc(x: Column) -> Column:
 
 
 def normal_sf(z: Column) -> Column:
-    return F.lit(0.5) * erfc(z / F.lit(math.sqrt(2.0)))
+    return let(z / F.lit(math.sqrt(2.0)), lambda v: F.lit(0.5) * erfc(v))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -58,17 +64,18 @@ def normal_cdf(z: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), erfc(F.abs(z) / F.lit(math.sqrt(2.0))))
+    return let(F.abs(z) / F.lit(math.sqrt(2.0)), lambda v: F.least(F.lit(1.0), erfc(v)))
 
 
 def kolmogorov_sf(lam: Column) -> Column:
     """2·Σ(−1)^(k−1)·exp(−2k²λ²); below 0.2 the value is 1 to 12 digits."""
-    terms = [F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam) for k in range(1, 21)]
-    total = reduce(lambda a, b: a + b, terms)
-    return (
-        F.when(lam < 0.2, F.lit(1.0))
-        .when(lam.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
-    )
+
+    def tail(v: Column) -> Column:
+        terms = [F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * v) for k in range(1, 21)]
+        total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, terms)))
+        return F.when(v < 0.04, F.lit(1.0)).when(v.isNotNull(), total)
+
+    return let(lam * lam, tail)
 
 
 # -- incomplete beta and gamma: small scalar helpers for reduced rows ------
@@ -161,35 +168,31 @@ def student_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2.0
 
 
-def _vector(fn, *series: pd.Series) -> pd.Series:
-    rows = zip(*[s.to_numpy(dtype=float, na_value=np.nan) for s in series])
-    return pd.Series([
-        float("nan") if any(math.isnan(v) for v in row) else _limit(fn, row) for row in rows
-    ], dtype="float64")
-
-
-def _limit(fn, row):
-    if math.isinf(row[0]):
-        return 0.0
-    return fn(*row) if all(d > 0 for d in row[1:]) else float("nan")
+def vectorized(fn, first, *degrees) -> np.ndarray:
+    """fn over rows; NaN where an input is NaN or a degree of freedom is not positive."""
+    rows = zip(*[np.asarray(a, dtype=float) for a in (first, *degrees)])
+    return np.array([
+        math.nan if any(math.isnan(v) for v in row) or not all(d > 0 for d in row[1:])
+        else 0.0 if math.isinf(row[0]) else fn(*row) for row in rows
+    ], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student p-value."""
-    return _vector(student_two_sided, t, df)
+    return pd.Series(vectorized(student_two_sided, t, df))
 
 
 @F.pandas_udf(T.DoubleType())
 def fisher_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail F p-value."""
-    return _vector(fisher_upper, f, d1, d2)
+    return pd.Series(vectorized(fisher_upper, f, d1, d2))
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper-tail chi-square p-value."""
-    return _vector(lambda v, k: gamma_sf(k / 2.0, v / 2.0), x, df)
+    return pd.Series(vectorized(lambda v, k: gamma_sf(k / 2.0, v / 2.0), x, df))
 
 
 # Normal quantile, algorithm AS 241 (Wichura, 1988), lowest power first.
