@@ -59,8 +59,10 @@ def normal_sf(z: Column) -> Column:
     return let(z / F.lit(math.sqrt(2.0)), lambda v: F.lit(0.5) * erfc(v))
 
 
-def normal_cdf(z: Column) -> Column:
-    return normal_sf(-z)
+def normal_cdf_of(column: str) -> Column:
+    """Normal distribution function of a named column, in generated code for bulk rows."""
+    v = F.col(column) * F.lit(-1.0 / math.sqrt(2.0))
+    return F.lit(0.5) * erfc(v)
 
 
 def normal_two_sided(z: Column) -> Column:
