@@ -21,7 +21,7 @@ from statweave.functions.columns import (
 from statweave.functions.labels import DEFAULT, Thresholds, biserial_label, cohen_label, cramer_label
 from statweave.functions.tails import chi2_p, kolmogorov_sf, normal_quantile, normal_two_sided, student_p
 from statweave.operators.describe import check_categorical, contingency
-from statweave.plans.joins import attach, few_groups, null_safe_join
+from statweave.plans.joins import attach, few_groups, join_results, null_safe_join
 from statweave.plans.ordered import running
 from statweave.plans.quantiles import interpolated, order_statistics
 
@@ -303,7 +303,7 @@ def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFr
         F.max("n").alias("n"), F.sum(F.col("_q.m") * dx).alias("smx"), F.sum("_q.mm").alias("smm"),
         at(F.lit(0)).alias("x1"), at(F.lit(1)).alias("x2"), at(n - 2).alias("xm"), at(n - 1).alias("xn"),
     )
-    joined = null_safe_join(sums, centre.select(*by, "_ss"), keys) if keys else attach(sums, centre.select("_ss"), [])
+    joined = join_results(sums, centre.select(*by, "_ss"), keys)
     zero = F.lit(0.0)
     return joined.withColumn("_r", _shapiro_result(
         F.col("n").cast("double"), "smx", "smm", "x1", F.coalesce("x2", zero), F.coalesce("xm", zero), "xn", "_ss"
@@ -519,7 +519,7 @@ def chi_square(
         F.sum(gap * gap / expected).alias("fit"), F.sum(expected).alias("mass"),
         F.count(F.lit(1)).alias("seen"), F.max(F.struct("count", "r", "c")).alias("_cell"),
     )
-    table = with_key(body, col_sums)
+    table = join_results(body, col_sums, keys)
     # Cells with expected count below the limit: for each row total, how many column
     # totals lie below limit·n/r. One ordered pass instead of all (row, column) pairs.
     limit = thresholds.low_expected
@@ -530,7 +530,7 @@ def chi_square(
     low = running(points, keys, ["v", "o"], ["col"]).groupBy(*by).agg(
         F.sum(F.when(F.col("o") == 0, F.col("cum_col"))).alias("low_expected_cells")
     )
-    return chi_square_finish(with_key(table, low).select(
+    return chi_square_finish(join_results(table, low, keys).select(
         *by, "n", "rows", "cols", "fit", "mass", "seen", "inv_rows", "inv_cols",
         F.col("_cell.count").alias("o"), F.col("_cell.r").alias("ro"), F.col("_cell.c").alias("co"),
         "low_expected_cells", (F.col("rows") * F.col("cols")).alias("total_cells"),

@@ -19,7 +19,7 @@ from statweave.functions.labels import DEFAULT, Thresholds, durbin_watson_label,
 from statweave.functions.tails import fisher_upper, student_quantile, student_two_sided, vectorized
 from statweave.operators.clean import clean_regression_rows
 from statweave.operators.hypothesis import shapiro_of_long
-from statweave.plans.joins import attach, few_groups, null_safe_join
+from statweave.plans.joins import attach, few_groups, join_results
 from statweave.plans.ordered import with_next
 
 SMALL_SAMPLE = 50
@@ -186,10 +186,6 @@ def _residuals(fit: Fit, model: str) -> DataFrame:
     return predict(fit, model=model, name="_fit").withColumn("_e", quoted(fit.target) - F.col("_fit"))
 
 
-def _per_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return null_safe_join(left, right, keys) if keys else attach(left, right, [])
-
-
 def durbin_watson(fit: Fit, order_by: Sequence[str]) -> DataFrame:
     """Σ(eₜ − eₜ₋₁)² / Σeₜ² of the OLS residuals in the given row order."""
     rows = with_next(_residuals(fit, "ols"), fit.group_by, list(order_by), ["_e"])
@@ -224,9 +220,9 @@ def model_summary(
         (F.col("n") < SMALL_SAMPLE).alias("small_sample"),
     )
     if order_by:
-        out = _per_group(out, durbin_watson(fit, order_by), fit.group_by)
+        out = join_results(out, durbin_watson(fit, order_by), fit.group_by)
     if normality:
-        out = _per_group(out, residual_normality(fit, thresholds.alpha), fit.group_by)
+        out = join_results(out, residual_normality(fit, thresholds.alpha), fit.group_by)
     return out
 
 
@@ -242,7 +238,7 @@ def predictive_model(fit: Fit) -> DataFrame:
         F.get("ridge_beta", F.lit(0)).alias("intercept"), named.alias("coefficients"),
         F.col("pred_r2").alias("r2"), F.col("pred_rmse").alias("rmse"),
     )
-    return _per_group(model, errors, fit.group_by)
+    return join_results(model, errors, fit.group_by)
 
 
 def fitted_line(fit: Fit) -> DataFrame:

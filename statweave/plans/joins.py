@@ -54,6 +54,17 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool = F
     )
 
 
+def join_results(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put two result tables with one row per key side by side (left join on the keys).
+
+    Without keys both have one row, and the two rows are folded into one.
+    """
+    if keys:
+        return null_safe_join(left, right, keys)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.first(quoted(c), ignorenulls=True).alias(c) for c in both.columns])
+
+
 def join_by_value(
     rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: str,
     small: bool = False, hot_share: int = 1000,
