@@ -267,13 +267,17 @@ def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     )
 
 
-def summed_arrays(parts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """(keys, name): element-wise sum of an array column over the rows of a key."""
+def summed_arrays(parts: DataFrame, keys: Sequence[str], name: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, name, carry): element-wise sum of an array column over the rows of a key.
+
+    ``carry`` columns are equal on all rows of a key, or NULL on some.
+    """
     by = _by(keys)
-    cells = parts.select(*by, F.posexplode(name).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_v"))
+    kept = [F.max(c).alias(c) for c in carry]
+    cells = parts.select(*by, *carry, F.posexplode(name).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_v"), *kept)
     return cells.groupBy(*by).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s.getField("_v")
-    ).alias(name))
+    ).alias(name), *kept)
 
 
 # -- augmented Dickey–Fuller -------------------------------------------------------
@@ -301,7 +305,7 @@ def _adf_block(pdf: pd.DataFrame) -> pd.DataFrame:
     # Rows usable in every candidate regression have lag + 1 predecessors in the series.
     start = max(halo, lag + 1 - first)
     x = _adf_design(y, lag, start) if start < len(y) else np.zeros((0, lag + 3))
-    head = y[: lag + 1] if first == 0 else np.array([])
+    head = y[: lag + 1] if first == 0 else None
     return pd.DataFrame({"gram": [(x.T @ x).ravel()], "head": [head], "n": [n]})
 
 
@@ -403,9 +407,6 @@ def adf_test(
         return _adf_block(pdf).assign(**{k: pdf[k].iloc[0] for k in keys})
 
     parts = cut.groupBy(*by, "_block").applyInPandas(per_block, schema)
-    ends = parts.groupBy(*by).agg(
-        F.max("n").alias("n"), F.max(F.when(F.size("head") > 0, F.col("head"))).alias("head")
-    )
-    total = join_results(ends, summed_arrays(parts, keys, "gram"), keys)
+    total = summed_arrays(parts, keys, "gram", carry=["n", "head"])
     out = total.withColumn("_r", _adf_result("n", "gram", "head")).select(*by, F.lit(column).alias("column"), "_r.*")
     return out.where(F.col("adf_statistic").isNotNull()).withColumn("is_stationary", F.col("p_value") < alpha)
