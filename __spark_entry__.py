@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def digits(df: DataFrame, default: int | None = 6, **per_column: int) -> DataFrame:
+def digits(df: DataFrame, default: int | None = 6, /, **per_column: int) -> DataFrame:
     """Round the double columns, so that both engines can be compared by value."""
     out = []
     for f in df.schema.fields:
@@ -124,8 +124,9 @@ def hourly_events(spark, d):
 
 def resampled(freq: str, agg: str, fill: str, group_by=()):
     def query(spark, d):
-        out = timeseries.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", freq, agg, fill, group_by)
-        return day(digits(out, 4), "date")
+        # In cents, whose sums are exact: a mean then rounds alike in both engines.
+        cents = table(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100))
+        return day(digits(timeseries.resample(cents, "o_orderdate", "cents", freq, agg, fill, group_by), 4), "date")
 
     return query
 

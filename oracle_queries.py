@@ -356,8 +356,6 @@ SELECT event_type, 'value' AS "column", round(min(value) FILTER (value BETWEEN q
   round(max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 4) AS whisker_high,
   count(*) FILTER (NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS n_outliers FROM events JOIN q USING (event_type) GROUP BY event_type""",
     "quantile_grid_orders": union([
-        f"SELECT '{c}' AS \"column\", i::INTEGER AS i, round(quantile_cont({c}::DOUBLE, i / 10.0), 4) AS edge FROM orders, range(0, 11) r(i) GROUP BY i"
-        if False else
         f"SELECT '{c}' AS \"column\", unnest(range(0, 11))::INTEGER AS i, round(unnest(quantile_cont({c}::DOUBLE, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])), 4) AS edge FROM orders"
         for c in ("o_totalprice", "o_custkey")]),
     "upper_median_orders": union([
@@ -480,20 +478,20 @@ SELECT 'o_orderdate' AS date_column, 'total' AS value_column, {REGULAR_OUT}, 0::
 SELECT event_type, 'day' AS date_column, 'total' AS value_column, {REGULAR_OUT}, 0::BIGINT AS missing_values, {ADVICE} FROM found""",
     "time_regularity_events": f"""WITH e AS (SELECT 'ts' AS date_column, ts FROM events), {regularity('e', 'date_column', 'ts')}
 SELECT date_column, {REGULAR_OUT}, {ADVICE} FROM found""",
-    "resample_daily_mean": f"""WITH c AS ({CALENDAR_D}), v AS (SELECT d, avg(o_totalprice) AS v FROM c LEFT JOIN orders ON o_orderdate = d GROUP BY d),
+    "resample_daily_mean": f"""WITH c AS ({CALENDAR_D}), v AS (SELECT d, avg(round(o_totalprice * 100)) AS v FROM c LEFT JOIN orders ON o_orderdate = d GROUP BY d),
 k AS (SELECT d, v, last_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER p AS d0, last_value(v IGNORE NULLS) OVER p AS v0,
   first_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER n AS d1, first_value(v IGNORE NULLS) OVER n AS v1 FROM v
   WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, round(coalesce(v, v0 + (v1 - v0) * date_diff('day', d0, d) / date_diff('day', d0, d1)), 4) AS value, v IS NULL AS was_filled FROM k""",
     "resample_daily_by_status": """WITH s AS (SELECT o_orderstatus, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY ALL),
 c AS (SELECT o_orderstatus, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM s),
-v AS (SELECT c.o_orderstatus, d, max(o_totalprice) AS v FROM c LEFT JOIN orders o ON o_orderdate = d AND o.o_orderstatus = c.o_orderstatus GROUP BY ALL)
+v AS (SELECT c.o_orderstatus, d, max(round(o_totalprice * 100)) AS v FROM c LEFT JOIN orders o ON o_orderdate = d AND o.o_orderstatus = c.o_orderstatus GROUP BY ALL)
 SELECT o_orderstatus, strftime(d, '%Y-%m-%d %H:%M:%S') AS date, round(last_value(v IGNORE NULLS) OVER (PARTITION BY o_orderstatus ORDER BY d), 4) AS value, v IS NULL AS was_filled FROM v""",
     "resample_weekly_sum": """WITH c AS (SELECT unnest(generate_series((SELECT date_trunc('week', min(o_orderdate)) FROM orders), (SELECT date_trunc('week', max(o_orderdate)) FROM orders), INTERVAL 7 DAY)) AS w)
-SELECT strftime(w + INTERVAL 6 DAY, '%Y-%m-%d %H:%M:%S') AS date, round(coalesce(sum(o_totalprice), 0), 4) AS value, false AS was_filled
+SELECT strftime(w + INTERVAL 6 DAY, '%Y-%m-%d %H:%M:%S') AS date, round(coalesce(sum(round(o_totalprice * 100)), 0), 4) AS value, false AS was_filled
 FROM c LEFT JOIN orders ON date_trunc('week', o_orderdate) = w GROUP BY w""",
-    "resample_monthly_median": """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS date, round(median(o_totalprice), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('month', o_orderdate)""",
-    "resample_quarter_end_min": """SELECT strftime(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH), '%Y-%m-%d 00:00:00') AS date, round(min(o_totalprice), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('quarter', o_orderdate)""",
+    "resample_monthly_median": """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS date, round(median(round(o_totalprice * 100)), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('month', o_orderdate)""",
+    "resample_quarter_end_min": """SELECT strftime(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH), '%Y-%m-%d 00:00:00') AS date, round(min(round(o_totalprice * 100)), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('quarter', o_orderdate)""",
     "resample_report_orders": """SELECT count(*) AS rows_before, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 AS rows_after,
   date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 - count(DISTINCT o_orderdate) AS filled_count, 'D' AS freq, 'mean' AS agg, 'interpolate' AS fill FROM orders""",
     "future_index_by_type": f"""WITH {DAILY_EVENTS}, l AS (SELECT event_type, count(*) AS n, max(day) AS last FROM daily GROUP BY ALL)

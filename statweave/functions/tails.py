@@ -157,17 +157,17 @@ def fisher_upper(f: float, d1: float, d2: float) -> float:
 
 
 def student_quantile(p: float, df: float) -> float:
-    """Upper quantile t with P(|T| > t) = 1 − p, by bisection."""
-    lo, hi = 0.0, 1.0
-    while student_two_sided(hi, df) > 1.0 - p:
-        hi *= 2.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if student_two_sided(mid, df) > 1.0 - p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
+    """t with P(|T| ≤ t) = p: Newton steps from the expansion around the normal quantile."""
+    z = float(normal_quantile(np.array([0.5 + p / 2.0]))[0])
+    t = z + (z**3 + z) / (4.0 * df) if df > 2 else z
+    front = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    for _ in range(100):
+        density = math.exp(front - (df + 1) / 2 * math.log1p(t * t / df))
+        step = (student_two_sided(t, df) - (1.0 - p)) / (2.0 * density)
+        t = max(t / 2.0, t + step)
+        if abs(step) < 1e-13 * max(1.0, t):
+            break
+    return t
 
 
 def vectorized(fn, first, *degrees) -> np.ndarray:

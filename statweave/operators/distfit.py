@@ -23,43 +23,51 @@ def _by(keys: Sequence[str]) -> list[Column]:
     return [quoted(k) for k in keys]
 
 
-def _lognormal(long: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+def _lognormal(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """(keys, s, loc, scale) by profile likelihood over loc < min(x).
 
     For a fixed loc the best scale and s are the mean and deviation of ln(x − loc), so
-    one aggregate scores a whole grid of loc values; the grid is then narrowed around
-    the best. loc = min − gap, with gap on a log scale; loc = 0 is always a candidate.
+    one pass over the value counts scores a whole grid of loc values, which is then
+    narrowed around the best. loc = min − gap with gap on a log scale; loc = 0 always
+    competes. Logs are taken relative to the mean, which keeps their squares accurate.
     """
     by = _by(keys)
-    base = stats.where(F.col("min") > 0).select(*by, "min", (F.col("max") - F.col("min")).alias("_span"))
-    lo, hi = F.log(F.col("_span") * 1e-6), F.log(F.col("_span") * 1e3)
-    state = base.where(F.col("_span") > 0).select(*by, "min", lo.alias("_lo"), hi.alias("_hi"))
+    span = F.col("max") - F.col("min")
+    state = stats.where((F.col("min") > 0) & (span > 0)).select(
+        *by, "min", "mean", F.log(span * 1e-6).alias("_lo"), F.log(span * 1e3).alias("_hi")
+    )
     best = None
     for _ in range(LOC_ROUNDS):
+        rows = attach(counts, state, keys, small=small).where(F.col("_lo").isNotNull())
         width = (F.col("_hi") - F.col("_lo")) / (LOC_GRID - 1)
-        # Candidate gaps per key: an equal grid on the log scale, and loc = 0.
-        grid = state.select(*by, "_lo", "_hi", width.alias("_w"), "min", F.concat(F.transform(
-            F.sequence(F.lit(0), F.lit(LOC_GRID - 1)),
-            lambda i: F.exp(F.col("_lo") + i * width),
-        ), F.array(F.col("min"))).alias("_gaps"))
-        rows = attach(long, grid, keys, small=small).where(F.col("_gaps").isNotNull())
-        logs = [F.log(F.col("x") - F.col("min") + F.get("_gaps", F.lit(i))) for i in range(LOC_GRID + 1)]
-        sums = rows.groupBy(*by).agg(
-            F.first("min").alias("min"), F.first("_gaps").alias("_gaps"), F.first("_w").alias("_w"),
-            *[a for i, v in enumerate(logs) for a in (F.avg(v).alias(f"_m{i}"), F.stddev_pop(v).alias(f"_s{i}"))],
+        gaps = F.concat(
+            F.transform(F.sequence(F.lit(0), F.lit(LOC_GRID - 1)), lambda i: F.exp(F.col("_lo") + i * width)),
+            F.array(F.col("min")),
+        )
+        tried = rows.withColumn("gap", F.explode(gaps))
+        centre = F.col("mean") - F.col("min") + F.col("gap")
+        log = F.log((F.col("x") - F.col("min") + F.col("gap")) / centre)
+        tried = tried.select(*by, "w", "min", "mean", "gap", width.alias("_w"), log.alias("l"))
+        sums = tried.groupBy(*by, "gap").agg(
+            F.sum("w").alias("n"), F.sum(F.col("w") * F.col("l")).alias("l1"),
+            F.sum(F.col("w") * F.col("l") * F.col("l")).alias("l2"),
+            *[F.max(c).alias(c) for c in ("min", "mean", "_w")],
         )
+        m = F.col("l1") / F.col("n")
+        s = F.sqrt(F.greatest(F.lit(0.0), F.col("l2") / F.col("n") - m * m))
+        fits = sums.select(
+            *by, "min", "mean", "_w", "gap", s.alias("s"),
+            (m + F.log(F.col("mean") - F.col("min") + F.col("gap"))).alias("m"),
+        ).where(F.col("s") > 0)
         # −log-likelihood per row is ln(s) + mean(ln(x − loc)) up to a constant.
-        options = F.array(*[F.struct(
-            (F.log(F.nullif(F.col(f"_s{i}"), F.lit(0.0))) + F.col(f"_m{i}")).alias("loss"),
-            F.get("_gaps", F.lit(i)).alias("gap"), F.col(f"_m{i}").alias("m"), F.col(f"_s{i}").alias("s"),
-        ) for i in range(LOC_GRID + 1)])
-        best = sums.withColumn("_best", F.array_min(F.filter(options, lambda o: o.getField("loss").isNotNull())))
-        centre = F.log(F.col("_best.gap"))
-        state = best.select(*by, "min", (centre - F.col("_w")).alias("_lo"), (centre + F.col("_w")).alias("_hi"))
-    return best.select(
-        *by, F.col("_best.s").alias("s"), (F.col("min") - F.col("_best.gap")).alias("loc"),
-        F.exp("_best.m").alias("scale"),
-    )
+        fields = ("min", "mean", "_w", "gap", "s", "m")
+        best = fits.groupBy(*by).agg(
+            F.min_by(F.struct(*fields), F.struct(F.log("s") + F.col("m"), F.col("gap"))).alias("_b")
+        ).select(*by, *[F.col(f"_b.{f}").alias(f) for f in fields])
+        state = best.select(
+            *by, "min", "mean", (F.log("gap") - F.col("_w")).alias("_lo"), (F.log("gap") + F.col("_w")).alias("_hi")
+        )
+    return best.select(*by, "s", (F.col("min") - F.col("gap")).alias("loc"), F.exp("m").alias("scale"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -91,7 +99,7 @@ def _merge_bins(keys: Sequence[str]):
     return merge
 
 
-def _poisson(long: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """(keys, lambda, statistic, p_value) for columns of non-negative integers.
 
     Expected counts cover the whole law: each observed value k also takes the mass of
@@ -103,7 +111,6 @@ def _poisson(long: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool
     usable = stats.where(F.col("whole") & (F.col("min") >= 0)).select(
         *by, F.col("mean").alias("lam"), F.col("n").alias("n")
     )
-    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
     rows = attach(counts, usable, keys, small=small).where(F.col("lam").isNotNull())
     reach = 40 * (F.sqrt("lam") + 1)
     near = F.greatest(F.floor(F.col("lam") - reach), F.least(F.ceil(F.col("lam") + reach), F.col("x")))
@@ -160,11 +167,11 @@ def fit_distributions(
         *by, F.struct(F.col("mean").alias("loc"), F.col("sd").alias("scale")).alias("_norm"),
         F.struct(F.col("min").alias("loc"), (F.col("mean") - F.col("min")).alias("scale")).alias("_expon"),
     )
+    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
     laws = [c for c in ("norm", "lognorm", "expon") if c in candidates]
     if "lognorm" in laws:
-        params = _lognormal(long, stats, keys, small).select(*by, F.struct("s", "loc", "scale").alias("_lognorm"))
+        params = _lognormal(counts, stats, keys, small).select(*by, F.struct("s", "loc", "scale").alias("_lognorm"))
         fits = null_safe_join(fits, params, keys)
-    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
     run = attach(running(counts, keys, "x", ["w"]), fits, keys, small=small).where(F.col("_norm").isNotNull())
     upper = F.col("cum_w") / F.col("tot_w")
     lower = (F.col("cum_w") - F.col("w")) / F.col("tot_w")
@@ -196,7 +203,7 @@ def fit_distributions(
         ) for i, c in enumerate(laws)
     ]))).where(F.col("statistic").isNotNull())
     if "poisson" in candidates:
-        poisson = _poisson(long, stats, keys, small)
+        poisson = _poisson(counts, stats, keys, small)
         out = out.unionByName(poisson.select(
             *by, F.lit("poisson").alias("distribution"), F.lit(len(laws)).alias("_order"),
             F.create_map(F.lit("lambda"), F.col("lambda")).alias("params"), "statistic", "p_value",

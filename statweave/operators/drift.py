@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from statweave.functions.columns import as_double, clean, melt, quoted, ratio
 from statweave.functions.labels import DEFAULT, Thresholds, psi_label
 from statweave.operators.hypothesis import (
-    TwoSamples, benjamini_hochberg, chi_square_finish, decide, paired_t_of_long, rank_statistics,
-    second_pass, shapiro_of_long, two_sample_table, wilcoxon_of_long, _two_sample_ks,
+    TwoSamples, benjamini_hochberg, chi_square_finish, decide, paired_t_of, rank_statistics, second_pass,
+    shapiro_of_counts, two_sample_table, value_counts_of, wilcoxon_of_counts, _two_sample_ks,
 )
 from statweave.operators.profile import common_columns
 from statweave.plans.joins import null_safe_join
@@ -221,13 +221,15 @@ def paired_differences(a: DataFrame, b: DataFrame, id_column: str, columns: Sequ
 
 def _paired_tests(diffs: DataFrame, alpha: float) -> DataFrame:
     """Per column: paired t where differences look normal, else signed ranks; at least 3 pairs."""
-    t = paired_t_of_long(diffs, ["column"]).select(
+    # The differences are counted once; both tests read that one shuffled table.
+    counts = value_counts_of(diffs, ["column"])
+    sw = shapiro_of_counts(counts, ["column"], True).withColumn("sd", F.sqrt(ratio(F.col("ss"), F.col("n") - 1)))
+    t = paired_t_of(sw.withColumnRenamed("p_value", "sw_p"), ["column"], ["sw_p"]).select(
         "column", F.col("n").alias("pairs"), F.col("statistic").alias("t"), F.col("p_value").alias("t_p"),
-        F.col("effect_size").alias("effect"),
+        F.col("effect_size").alias("effect"), "sw_p",
     )
-    w = wilcoxon_of_long(diffs, ["column"]).select("column", F.col("statistic").alias("w"), F.col("p_value").alias("w_p"))
-    sw = shapiro_of_long(diffs, ["column"], True).select("column", F.col("p_value").alias("sw_p"))
-    joined = null_safe_join(null_safe_join(t, w, ["column"]), sw, ["column"])
+    w = wilcoxon_of_counts(counts, ["column"]).select("column", F.col("statistic").alias("w"), F.col("p_value").alias("w_p"))
+    joined = null_safe_join(t, w, ["column"])
     normal = F.coalesce(F.col("sw_p") >= alpha, F.lit(False))
     # Without any nonzero difference the signed-rank test has nothing to rank.
     done = (F.col("pairs") >= 3) & (normal | F.col("w").isNotNull())

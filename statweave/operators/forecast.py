@@ -164,8 +164,10 @@ def _holt_round(cut: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
         out = pd.DataFrame(_holt_summary(pdf["y"].to_numpy(float), a, g))
         out = out.assign(_block=int(first["_block"]), cand=np.arange(len(a)), alpha=a, beta=g, half=2 * first["half"] / (size - 1))
         if int(first["n"]) == len(pdf):  # the whole series is here: keep the winner only
-            sse = [_holt_combine(out.iloc[[i]])["sse"] for i in range(len(out))]
-            out = out.iloc[[int(np.argmin(sse))]]
+            h = out[["h00", "h01", "h01", "h11"]].to_numpy().reshape(-1, 2, 2)
+            q = out[["q0", "q1"]].to_numpy()
+            s0 = np.einsum("gij,gj->gi", np.linalg.pinv(h, hermitian=True), q)
+            out = out.iloc[[int(np.argmin(out["k"].to_numpy() - (q * s0).sum(axis=1)))]]
         return out
 
     parts = cut.groupBy(*_by(keys), "_block").applyInPandas(_with_keys(per_block, names), schema)

@@ -274,11 +274,15 @@ def _shapiro_result(
     return pd.DataFrame(rows, columns=["w", "p"])
 
 
-def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """(keys, n, statistic, p_value) for a long frame (keys, x)."""
+def value_counts_of(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, w): how often each value occurs."""
+    return long.groupBy(*[quoted(k) for k in keys], "x").agg(F.count(F.lit(1)).alias("w"))
+
+
+def shapiro_of_counts(counts: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """(keys, n, mean, ss, statistic, p_value) for value counts (keys, x, w); ss = Σ(x − mean)²."""
     by = [quoted(k) for k in keys]
-    centre = long.groupBy(*by).agg(F.avg("x").alias("_mean"), (F.var_pop("x") * F.count("x")).alias("_ss"))
-    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
+    centre = counts.groupBy(*by).agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("_mean"))
     run = running(counts, keys, "x", ["w"]).select(
         *by, "x", (F.col("cum_w") - F.col("w")).alias("start"), F.col("cum_w").alias("end"), F.col("tot_w").alias("n")
     )
@@ -290,9 +294,8 @@ def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFr
     tied = tied.select(
         *by, "x", F.col("_s").alias("start"), F.least(F.col("end"), F.col("_s") + _CHUNK).alias("end"), "n"
     )
-    parts = attach(plain.unionByName(tied), centre.select(*by, "_mean"), keys, small=small).withColumn(
-        "_q", _normal_scores("start", F.col("end") - F.col("start"), "n")
-    )
+    size = F.col("end") - F.col("start")
+    parts = attach(plain.unionByName(tied), centre, keys, small=small).withColumn("_q", _normal_scores("start", size, "n"))
     dx = F.col("x") - F.col("_mean")
 
     def at(position: Column) -> Column:
@@ -300,14 +303,19 @@ def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFr
 
     n = F.col("n")
     sums = parts.groupBy(*by).agg(
-        F.max("n").alias("n"), F.sum(F.col("_q.m") * dx).alias("smx"), F.sum("_q.mm").alias("smm"),
+        F.max("n").alias("n"), F.max("_mean").alias("mean"), F.sum(size * dx * dx).alias("ss"),
+        F.sum(F.col("_q.m") * dx).alias("smx"), F.sum("_q.mm").alias("smm"),
         at(F.lit(0)).alias("x1"), at(F.lit(1)).alias("x2"), at(n - 2).alias("xm"), at(n - 1).alias("xn"),
-    )
-    joined = join_results(sums, centre.select(*by, "_ss"), keys)
+    ).where(F.col("n").isNotNull())
     zero = F.lit(0.0)
-    return joined.withColumn("_r", _shapiro_result(
-        F.col("n").cast("double"), "smx", "smm", "x1", F.coalesce("x2", zero), F.coalesce("xm", zero), "xn", "_ss"
-    )).select(*by, "n", F.col("_r.w").alias("statistic"), F.col("_r.p").alias("p_value"))
+    return sums.withColumn("_r", _shapiro_result(
+        F.col("n").cast("double"), "smx", "smm", "x1", F.coalesce("x2", zero), F.coalesce("xm", zero), "xn", "ss"
+    )).select(*by, "n", "mean", "ss", F.col("_r.w").alias("statistic"), F.col("_r.p").alias("p_value"))
+
+
+def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """(keys, n, statistic, p_value) for a long frame (keys, x)."""
+    return shapiro_of_counts(value_counts_of(long, keys), keys, small).drop("mean", "ss")
 
 
 def shapiro(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
@@ -410,25 +418,25 @@ def compare(s: TwoSamples, thresholds: Thresholds = DEFAULT) -> DataFrame:
 
 # -- paired tests ---------------------------------------------------------------
 
-def paired_t_of_long(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, statistic, p_value, effect_size) for differences x = A − B."""
+def paired_t_of(stats: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, statistic, p_value, effect_size) from n, mean and sd of the differences A − B."""
     by = [quoted(k) for k in keys]
-    stats = long.groupBy(*by).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")
-    )
     out = stats.select(
-        *by, "n", ratio(F.col("mean"), F.col("sd") / F.sqrt(F.col("n"))).alias("statistic"),
+        *by, *keep, "n", ratio(F.col("mean"), F.col("sd") / F.sqrt(F.col("n"))).alias("statistic"),
         (F.col("n") - 1).cast("double").alias("_df"),
         F.when(F.col("sd") > 0, F.abs(ratio(F.col("mean"), F.col("sd")))).otherwise(F.lit(0.0)).alias("effect_size"),
     )
     return out.withColumn("p_value", student_p("statistic", "_df")).drop("_df")
 
 
-def wilcoxon_of_long(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Signed-rank test of differences x; zeros are dropped, ties share their average rank."""
+def wilcoxon_of_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Signed-rank test of differences given as value counts (keys, x, w).
+
+    Zeros are dropped, ties share their average rank.
+    """
     by = [quoted(k) for k in keys]
-    counts = long.where(F.col("x") != 0).groupBy(*by, F.abs("x").alias("d")).agg(
-        F.count(F.when(F.col("x") > 0, 1)).alias("up"), F.count(F.lit(1)).alias("w")
+    counts = values.where(F.col("x") != 0).groupBy(*by, F.abs("x").alias("d")).agg(
+        F.sum(F.when(F.col("x") > 0, F.col("w")).otherwise(F.lit(0))).alias("up"), F.sum("w").alias("w")
     )
     run = running(counts, keys, "d", ["w"])
     rank = F.col("cum_w") - (F.col("w") - 1) / F.lit(2.0)
@@ -456,11 +464,16 @@ def _differences(df: DataFrame, a: str, b: str, group_by: Sequence[str]) -> Data
 
 def paired_t(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Paired t-test of column a − column b with the effect |mean / sd|."""
-    return paired_t_of_long(_differences(df, a, b, group_by), [*group_by, "column"])
+    keys = [*group_by, "column"]
+    stats = _differences(df, a, b, group_by).groupBy(*[quoted(k) for k in keys]).agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")
+    )
+    return paired_t_of(stats, keys)
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
-    return wilcoxon_of_long(_differences(df, a, b, group_by), [*group_by, "column"])
+    keys = [*group_by, "column"]
+    return wilcoxon_of_counts(value_counts_of(_differences(df, a, b, group_by), keys), keys)
 
 
 # -- contingency tables -----------------------------------------------------------

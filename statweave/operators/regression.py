@@ -48,7 +48,7 @@ def _arrays(*names: str) -> list[T.StructField]:
 
 _SOLUTION = T.StructType(
     _arrays("beta", "std_error", "t", "p_value", "vif", "ridge_beta", "inverse")
-    + _doubles("r2", "r2_adj", "f", "f_p", "aic", "bic", "s2", "t_quantile", "pred_r2", "pred_rmse")
+    + _doubles("r2", "r2_adj", "f", "f_p", "aic", "bic", "s2", "df_resid", "pred_r2", "pred_rmse")
 )
 
 
@@ -58,7 +58,7 @@ def _matrix(upper, size: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def _solve_one(n: float, means, cov, centered_vif: bool, confidence: float) -> dict:
+def _solve_one(n: float, means, cov, centered_vif: bool) -> dict:
     """All coefficients of one group from its means and covariances (target last)."""
     p = len(means) - 1
     s = _matrix(cov, p + 1) * n
@@ -106,16 +106,15 @@ def _solve_one(n: float, means, cov, centered_vif: bool, confidence: float) -> d
         "vif": np.concatenate([[nan], vif]), "ridge_beta": ridge_beta, "inverse": inverse.ravel(),
         "r2": r2, "r2_adj": 1 - (1 - r2) * (n - 1) / df if df > 0 else nan, "f": f,
         "f_p": float(vectorized(fisher_upper, [f], [rank], [df])[0]),
-        "aic": base + 2 * (rank + 1), "bic": base + math.log(n) * (rank + 1), "s2": s2,
-        "t_quantile": student_quantile(confidence, df) if df > 0 else nan,
+        "aic": base + 2 * (rank + 1), "bic": base + math.log(n) * (rank + 1), "s2": s2, "df_resid": df,
         "pred_r2": 1.0 - model_sse / syy if syy > 0 else nan, "pred_rmse": math.sqrt(model_sse / n),
     }
 
 
-def _solver(centered_vif: bool, confidence: float):
+def _solver(centered_vif: bool):
     @F.pandas_udf(_SOLUTION)
     def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
-        rows = [_solve_one(float(a), np.asarray(m, float), np.asarray(c, float), centered_vif, confidence)
+        rows = [_solve_one(float(a), np.asarray(m, float), np.asarray(c, float), centered_vif)
                 for a, m, c in zip(n, means, cov)]
         return pd.DataFrame(rows, columns=_SOLUTION.names)
 
@@ -124,7 +123,7 @@ def _solver(centered_vif: bool, confidence: float):
 
 def fit_linear(
     df: DataFrame, target: str, features: Sequence[str], group_by: Sequence[str] = (),
-    order_by: Sequence[str] = (), centered_vif: bool = False, confidence: float = 0.95,
+    order_by: Sequence[str] = (), centered_vif: bool = False,
 ) -> Fit:
     """Least squares (and ridge below 50 rows) per group; groups with under 3 clean rows drop out.
 
@@ -143,7 +142,7 @@ def fit_linear(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in names]).alias("means"),
         F.array(*covariances).alias("cov"),
     ).where(F.col("n") >= MIN_ROWS)
-    solution = moments.withColumn("_r", _solver(centered_vif, confidence)("n", "means", "cov")).select(
+    solution = moments.withColumn("_r", _solver(centered_vif)("n", "means", "cov")).select(
         *by, "n", "means", "_r.*"
     )
     return Fit(cleaned.data, cleaned.report, solution, target, features, keys, few_groups(df, keys))
@@ -246,12 +245,17 @@ def fitted_line(fit: Fit) -> DataFrame:
     return predict(fit).orderBy("y_predicted")
 
 
-def confidence_band(fit: Fit, sort: bool = True) -> DataFrame:
+def confidence_band(fit: Fit, confidence: float = 0.95, sort: bool = True) -> DataFrame:
     """Interval of the mean response per row; x is the feature, or ŷ for several features."""
     p = len(fit.features)
+
+    @F.pandas_udf(T.DoubleType())
+    def quantile(df: pd.Series) -> pd.Series:
+        return pd.Series([student_quantile(confidence, v) if v > 0 else math.nan for v in df], dtype=float)
+
     needed = fit.solution.select(
         *[quoted(k) for k in fit.group_by], F.col("beta").alias("_beta"), F.col("means").alias("_m"),
-        F.col("inverse").alias("_inv"), F.col("s2").alias("_s2"), F.col("t_quantile").alias("_tq"), F.col("n").alias("_n"),
+        F.col("inverse").alias("_inv"), F.col("s2").alias("_s2"), quantile("df_resid").alias("_tq"), F.col("n").alias("_n"),
     )
     rows = attach(fit.rows, needed, fit.group_by, small=fit.small)
     moved = [quoted(f) - F.get("_m", F.lit(i)) for i, f in enumerate(fit.features)]
