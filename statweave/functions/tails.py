@@ -31,53 +31,38 @@ _FAR_DEN = [1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-
             6.05183413124413191e-2, 2.33520497626869185e-3]
 
 
-def let(x: Column, body) -> Column:
-    """body(x) with x computed once, however often the body mentions it."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
+def _horner(x: str, coefficients: list[float]) -> str:
+    """Polynomial in SQL, highest power first."""
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}D)", coefficients[1:], f"{coefficients[0]!r}D")
 
 
-def polynomial(x: Column, coefficients: list[float]) -> Column:
-    """Horner form, highest power first."""
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
-
-
-def erfc(x: Column) -> Column:
-    """Complementary error function; give it a plain column or a :func:`let` variable."""
-    y = F.abs(x)
-    sq = y * y
-    near = F.lit(1.0) - y * polynomial(sq, _ERF_NUM) / polynomial(sq, _ERF_DEN)
-    mid = F.exp(-sq) * polynomial(y, _MID_NUM) / polynomial(y, _MID_DEN)
-    inv = F.lit(1.0) / sq
-    far = F.exp(-sq) / y * (
-        F.lit(1.0 / math.sqrt(math.pi)) - inv * polynomial(inv, _FAR_NUM) / polynomial(inv, _FAR_DEN)
-    )
-    upper = F.when(y <= 0.46875, near).when(y <= 4.0, mid).otherwise(far)
-    return F.when(x < 0, F.lit(2.0) - upper).otherwise(upper)
-
-
-def normal_sf(z: Column) -> Column:
-    return let(z / F.lit(math.sqrt(2.0)), lambda v: F.lit(0.5) * erfc(v))
+def _erfc(x: str) -> str:
+    """Complementary error function of a column or lambda variable, in SQL."""
+    y, sq = f"abs({x})", f"({x} * {x})"
+    near = f"1 - {y} * {_horner(sq, _ERF_NUM)} / {_horner(sq, _ERF_DEN)}"
+    mid = f"exp(-{sq}) * {_horner(y, _MID_NUM)} / {_horner(y, _MID_DEN)}"
+    inv = f"(1D / {sq})"
+    far = f"exp(-{sq}) / {y} * ({1.0 / math.sqrt(math.pi)!r}D - {inv} * {_horner(inv, _FAR_NUM)} / {_horner(inv, _FAR_DEN)})"
+    upper = f"CASE WHEN {y} <= 0.46875D THEN {near} WHEN {y} <= 4D THEN {mid} ELSE {far} END"
+    return f"CASE WHEN {x} < 0 THEN 2 - ({upper}) ELSE {upper} END"
 
 
 def normal_cdf_of(column: str) -> Column:
     """Normal distribution function of a named column, in generated code for bulk rows."""
-    v = F.col(column) * F.lit(-1.0 / math.sqrt(2.0))
-    return F.lit(0.5) * erfc(v)
-
-
-def normal_two_sided(z: Column) -> Column:
-    return let(F.abs(z) / F.lit(math.sqrt(2.0)), lambda v: F.least(F.lit(1.0), erfc(v)))
+    return F.expr(f"0.5D * ({_erfc(f'(`{column}` * {-1.0 / math.sqrt(2.0)!r}D)')})")
 
 
-def kolmogorov_sf(lam: Column) -> Column:
-    """2·Σ(−1)^(k−1)·exp(−2k²λ²); below 0.2 the value is 1 to 12 digits."""
+def normal_two_sided(column: str) -> Column:
+    """Two-sided normal p-value of a named z column (computed once per row)."""
+    z = f"abs(`{column}`) * {1.0 / math.sqrt(2.0)!r}D"
+    return F.expr(f"get(transform(array({z}), v -> least(1D, {_erfc('v')})), 0)")
 
-    def tail(v: Column) -> Column:
-        terms = [F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * v) for k in range(1, 21)]
-        total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, terms)))
-        return F.when(v < 0.04, F.lit(1.0)).when(v.isNotNull(), total)
 
-    return let(lam * lam, tail)
+def kolmogorov_sf(column: str) -> Column:
+    """2·Σ(−1)^(k−1)·exp(−2k²λ²) of a named λ column; below 0.2 the value is 1 to 12 digits."""
+    lam = f"`{column}`"
+    total = f"aggregate(sequence(1, 20), 0D, (s, k) -> s + (CASE WHEN k % 2 = 1 THEN 2D ELSE -2D END) * exp(-2D * k * k * {lam} * {lam}))"
+    return F.expr(f"CASE WHEN {lam} < 0.2D THEN 1D WHEN {lam} IS NOT NULL THEN greatest(0D, least(1D, {total})) END")
 
 
 # -- incomplete beta and gamma: small scalar helpers for reduced rows ------

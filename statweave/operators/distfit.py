@@ -199,9 +199,9 @@ def fit_distributions(
     out = joined.select(*by, F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("distribution"), F.lit(i).alias("_order"), as_map(c).alias("params"),
-            F.col(f"_d_{c}").alias("statistic"), kolmogorov_sf(F.col(f"_d_{c}") * F.sqrt("n")).alias("p_value"),
+            F.col(f"_d_{c}").alias("statistic"), (F.col(f"_d_{c}") * F.sqrt("n")).alias("_lam"),
         ) for i, c in enumerate(laws)
-    ]))).where(F.col("statistic").isNotNull())
+    ]))).where(F.col("statistic").isNotNull()).withColumn("p_value", kolmogorov_sf("_lam")).drop("_lam")
     if "poisson" in candidates:
         poisson = _poisson(counts, stats, keys, small)
         out = out.unionByName(poisson.select(

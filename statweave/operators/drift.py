@@ -14,7 +14,7 @@ from statweave.functions.columns import as_double, clean, melt, quoted, ratio
 from statweave.functions.labels import DEFAULT, Thresholds, psi_label
 from statweave.operators.hypothesis import (
     TwoSamples, benjamini_hochberg, chi_square_finish, decide, paired_t_of, rank_statistics, second_pass,
-    shapiro_of_counts, two_sample_table, value_counts_of, wilcoxon_of_counts, _two_sample_ks,
+    shapiro_of_counts, two_sample_table, value_counts_of, wilcoxon_of_counts, with_ks,
 )
 from statweave.operators.profile import common_columns
 from statweave.plans.joins import null_safe_join
@@ -136,35 +136,34 @@ _DECILES = [i / PSI_BUCKETS for i in range(PSI_BUCKETS + 1)]
 
 
 def _psi_bin() -> list[Column]:
-    """Row columns: decile bin of A for x, and the index after the last bin."""
-    x, q = F.col("x"), F.col("quantiles_a")
-    edges = F.array_distinct(q)
-    last = F.size(edges) - 1
-    below = F.size(F.filter(edges, lambda e: e <= x))
-    inside = (x >= F.get(q, F.lit(0))) & (x <= F.get(q, F.lit(PSI_BUCKETS)))
-    # The last bin is closed on the right; values of B outside the range of A are in no bin.
-    return [F.when(inside, F.least(below, last) - 1).alias("_bin"), last.alias("_last")]
+    """Row columns: decile bin of A for x, and the index after the last bin.
+
+    The last bin is closed on the right; values of B outside the range of A are in no bin.
+    """
+    edges = "array_distinct(quantiles_a)"
+    below = f"size(filter({edges}, e -> e <= x))"
+    return [
+        F.expr(f"CASE WHEN x BETWEEN quantiles_a[0] AND quantiles_a[{PSI_BUCKETS}] THEN least({below}, size({edges}) - 1) - 1 END AS _bin"),
+        F.expr(f"size({edges}) - 1 AS _last"),
+    ]
 
 
 def _psi_counts() -> list[Column]:
     """Aggregates: rows of each side per bin."""
-    return [F.max("_last").alias("last")] + [
-        F.sum(F.when(F.col("_bin") == i, F.col(f"c{t}")).otherwise(F.lit(0))).alias(f"_{t}{i}")
-        for i in range(PSI_BUCKETS) for t in "ab"
+    return [F.expr("max(_last) AS last")] + [
+        F.expr(f"sum(CASE WHEN _bin = {i} THEN c{t} ELSE 0 END) AS _{t}{i}") for i in range(PSI_BUCKETS) for t in "ab"
     ]
 
 
 def _psi_value() -> Column:
-    def share(i: int, t: str) -> Column:
-        count = F.col(f"_{t}{i}")
-        return F.when(count == 0, F.lit(PSI_FLOOR)).otherwise(ratio(count, F.col(f"n_{t}")))
+    """Σ (b − a)·ln(b / a) over the bins in use, an empty share counting as 0.0001."""
+    def shares(t: str) -> str:
+        counts = ", ".join(f"_{t}{i}" for i in range(PSI_BUCKETS))
+        return f"transform(slice(array({counts}), 1, last), c -> CASE WHEN c = 0 THEN {PSI_FLOOR!r}D ELSE c / double(n_{t}) END)"
 
-    total = F.lit(0.0)
-    for i in range(PSI_BUCKETS):
-        base, other = share(i, "a"), share(i, "b")
-        total = total + F.when(F.col("last") > i, (other - base) * F.log(other / base)).otherwise(F.lit(0.0))
-    usable = (F.col("n_a") >= PSI_BUCKETS) & (F.col("n_b") >= PSI_BUCKETS) & (F.col("last") >= 1)
-    return F.when(usable, total).otherwise(F.lit(0.0))
+    terms = f"zip_with({shares('a')}, {shares('b')}, (p, q) -> (q - p) * ln(q / p))"
+    usable = f"n_a >= {PSI_BUCKETS} AND n_b >= {PSI_BUCKETS} AND last >= 1"
+    return F.expr(f"CASE WHEN {usable} THEN aggregate({terms}, 0D, (s, v) -> s + v) ELSE 0D END")
 
 
 def psi(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
@@ -255,10 +254,9 @@ def numeric_drift(
     alpha = thresholds.alpha
     s = two_sides(a, b, targets)
     table = two_sample_table(s, _DECILES, extra=_psi_counts(), derive=_psi_bin())
-    distance, ks_p = _two_sample_ks(F.col("n_a"), F.col("n_b"), F.col("distance"))
-    tests = decide(table, thresholds).select(
+    tests = with_ks(decide(table, thresholds)).select(
         "column", "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b", _psi_value().alias("psi"),
-        distance.alias("ks_stat"), ks_p.alias("ks_p"), "test", "statistic", "p_value", "effect_size",
+        "ks_stat", "ks_p", "test", "statistic", "p_value", "effect_size",
     )
     names = _literal_rows(a, [F.struct(F.lit(c).alias("column")) for c in targets], "column string")
     out = null_safe_join(names, tests, ["column"])

@@ -90,33 +90,26 @@ def rank_statistics(s: TwoSamples, probs_a: Sequence[float] = (), medians: bool
     """Rank sum of A, tie term, largest distance of the two distribution functions,
     medians of both sides and quantiles of A, all from one ordered table."""
     run = running(side_counts(s), s.keys, "x", ["ca", "cb"])
-    ties = F.col("ca") + F.col("cb")
-    rank = F.col("cum_ca") + F.col("cum_cb") - (ties - 1) / F.lit(2.0)
-    t = ties.cast("double")
-    aggs = [
-        F.max("tot_ca").alias("n_a"), F.max("tot_cb").alias("n_b"),
-        F.sum(F.col("ca") * rank).alias("rank_a"), F.sum(t * t * t - t).alias("ties"),
-        F.max(F.abs(
-            ratio(F.col("cum_ca"), F.col("tot_ca")) - ratio(F.col("cum_cb"), F.col("tot_cb"))
-        )).alias("distance"),
-        *[ratio(F.sum(F.col(f"c{t}") * F.col("x")), F.max(f"tot_c{t}")).alias(f"mean_{t}") for t in "ab"],
-    ]
+    aggs = [F.expr(e) for e in (
+        "max(tot_ca) AS n_a", "max(tot_cb) AS n_b",
+        # Average rank of a value: all rows up to it, less half of its other copies.
+        "sum(ca * (cum_ca + cum_cb - (ca + cb - 1) / 2D)) AS rank_a",
+        "sum(pow(double(ca + cb), 3) - (ca + cb)) AS ties",
+        "max(abs(cum_ca / nullif(double(tot_ca), 0D) - cum_cb / nullif(double(tot_cb), 0D))) AS distance",
+        "sum(ca * x) / nullif(double(max(tot_ca)), 0D) AS mean_a",
+        "sum(cb * x) / nullif(double(max(tot_cb)), 0D) AS mean_b",
+    )]
     if medians:
-        for tag in ("a", "b"):
-            aggs += order_statistics(
-                F.col("x"), F.col(f"c{tag}"), F.col(f"cum_c{tag}"), F.col(f"tot_c{tag}"), [0.5], f"_m{tag}_"
-            )
+        for t in "ab":
+            aggs += order_statistics("x", f"c{t}", f"cum_c{t}", f"tot_c{t}", [0.5], f"_m{t}_")
     if probs_a:
-        aggs += order_statistics(
-            F.col("x"), F.col("ca"), F.col("cum_ca"), F.col("tot_ca"), probs_a, "_q_"
-        )
-    out = run.groupBy(*_by(s)).agg(*aggs)
+        aggs += order_statistics("x", "ca", "cum_ca", "tot_ca", probs_a, "_q_")
     columns = [*_by(s), "n_a", "n_b", "rank_a", "ties", "distance", "mean_a", "mean_b"]
     if medians:
-        columns += [F.get(interpolated(F.col(f"n_{t}"), [0.5], f"_m{t}_"), F.lit(0)).alias(f"median_{t}") for t in "ab"]
+        columns += [F.get(interpolated(f"n_{t}", [0.5], f"_m{t}_"), F.lit(0)).alias(f"median_{t}") for t in "ab"]
     if probs_a:
-        columns.append(interpolated(F.col("n_a"), probs_a, "_q_").alias("quantiles_a"))
-    return out.select(*columns)
+        columns.append(interpolated("n_a", probs_a, "_q_").alias("quantiles_a"))
+    return run.groupBy(*_by(s)).agg(*aggs).select(*columns)
 
 
 _TEST = T.StructType([T.StructField(c, T.DoubleType()) for c in ("statistic", "df", "p_value", "effect_size")])
@@ -193,27 +186,27 @@ def mann_whitney(s: TwoSamples, thresholds: Thresholds = DEFAULT) -> DataFrame:
     return out.withColumn("effect_label", biserial_label(F.col("effect_size"), thresholds))
 
 
-def _two_sample_ks(n1: Column, n2: Column, distance: Column) -> tuple[Column, Column]:
-    enough = (n1 >= 2) & (n2 >= 2)
-    lam = distance * F.sqrt(ratio(n1.cast("double") * n2, n1 + n2))
-    return (
-        F.when(enough, distance).otherwise(F.lit(0.0)),
-        F.when(enough, kolmogorov_sf(lam)).otherwise(F.lit(1.0)),
-    )
+def with_ks(table: DataFrame) -> DataFrame:
+    """Add ``ks_stat`` and ``ks_p`` from n_a, n_b and ``distance``; 0 and 1 below two values a side."""
+    enough = "n_a >= 2 AND n_b >= 2"
+    lam = table.withColumn("_lam", F.expr(f"CASE WHEN {enough} THEN distance * sqrt(double(n_a) * n_b / (n_a + n_b)) END"))
+    return lam.withColumns({
+        "ks_stat": F.expr(f"CASE WHEN {enough} THEN distance ELSE 0D END"), "ks_p": F.coalesce(kolmogorov_sf("_lam"), F.lit(1.0)),
+    }).drop("_lam")
 
 
 def ks_two_sample(s: TwoSamples) -> DataFrame:
-    d, p = _two_sample_ks(F.col("n_a"), F.col("n_b"), F.col("distance"))
-    return rank_statistics(s, medians=False).select(*_by(s), "n_a", "n_b", d.alias("statistic"), p.alias("p_value"))
+    """Largest distance of the two distribution functions, asymptotic p."""
+    return with_ks(rank_statistics(s, medians=False)).select(
+        *_by(s), "n_a", "n_b", F.col("ks_stat").alias("statistic"), F.col("ks_p").alias("p_value")
+    )
 
 
 def _levene_sums() -> list[Column]:
     """Aggregates Σ|x − median| and Σ(x − median)² per side."""
-    out = []
-    for tag in ("a", "b"):
-        z, w = F.abs(F.col("x") - F.col(f"median_{tag}")), F.col(f"c{tag}")
-        out += [F.sum(w * z).alias(f"z1_{tag}"), F.sum(w * z * z).alias(f"z2_{tag}")]
-    return out
+    return [
+        F.expr(f"sum(c{t} * pow(abs(x - median_{t}), {k})) AS z{k}_{t}") for t in "ab" for k in (1, 2)
+    ]
 
 
 def levene(s: TwoSamples) -> DataFrame:
@@ -331,12 +324,10 @@ _SMALL = "_sample"
 
 def _central_moments() -> list[Column]:
     """Aggregates Σ(x − mean)^k per side for k = 2, 3, 4."""
-    out = []
-    for tag in ("a", "b"):
-        d, w = F.col("x") - F.col(f"mean_{tag}"), F.col(f"c{tag}")
-        out += [F.sum(w * d * d).alias(f"s2_{tag}"), F.sum(w * d * d * d).alias(f"s3_{tag}"),
-                F.sum(w * d * d * d * d).alias(f"s4_{tag}")]
-    return out
+    power = "* (x - mean_{t}) "
+    return [
+        F.expr(f"sum(c{t} {power.format(t=t) * k}) AS s{k}_{t}") for t in "ab" for k in (2, 3, 4)
+    ]
 
 
 def _uses_shapiro(n_a: Column, n_b: Column) -> Column:
@@ -361,14 +352,11 @@ def two_sample_table(
     table = second_pass(
         s, rank_statistics(s, probs_a), [*_central_moments(), *_levene_sums(), sample, *extra], kept, derive
     )
-    shape = []
-    for t in ("a", "b"):
-        n, s2, s3, s4 = (F.col(f"{c}_{t}") for c in ("n", "s2", "s3", "s4"))
-        var = ratio(s2, n - 1)
-        shape += [
-            var.alias(f"var_{t}"), F.sqrt(var).alias(f"std_{t}"),
-            ratio(F.sqrt(n) * s3, F.pow(s2, 1.5)).alias(f"g1_{t}"), (ratio(n * s4, s2 * s2) - 3).alias(f"g2_{t}"),
-        ]
+    shape = [F.expr(e) for t in "ab" for e in (
+        f"s2_{t} / nullif(n_{t} - 1D, 0D) AS var_{t}", f"sqrt(s2_{t} / nullif(n_{t} - 1D, 0D)) AS std_{t}",
+        f"sqrt(n_{t}) * s3_{t} / nullif(pow(s2_{t}, 1.5D), 0D) AS g1_{t}",
+        f"n_{t} * s4_{t} / nullif(s2_{t} * s2_{t}, 0D) - 3 AS g2_{t}",
+    )]
     return table.select("*", *shape)
 
 
@@ -445,12 +433,10 @@ def wilcoxon_of_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("tot_w").alias("n"), F.sum(F.col("up") * rank).alias("plus"),
         F.sum((F.col("w") - F.col("up")) * rank).alias("minus"), F.sum(t * t * t - t).alias("ties"),
     )
-    n = F.col("n").cast("double")
-    stat = F.least("plus", "minus")
-    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    return sums.select(
-        *by, "n", stat.alias("statistic"),
-        normal_two_sided(ratio(stat - n * (n + 1) / 4, spread)).alias("p_value"),
+    spread = "sqrt((double(n) * (n + 1) * (2 * n + 1) - ties / 2) / 24)"
+    z = f"(least(plus, minus) - double(n) * (n + 1) / 4) / nullif({spread}, 0D)"
+    return sums.withColumn("_z", F.expr(z)).select(
+        *by, "n", F.least("plus", "minus").alias("statistic"), normal_two_sided("_z").alias("p_value")
     )
 
 

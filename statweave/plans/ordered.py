@@ -27,16 +27,14 @@ def _bucket_limit(df: DataFrame) -> int:
     return max(16, min(MAX_BUCKETS, 4 * partitions))
 
 
-def _edges_below(x: Column, edges: Column, limit: int) -> Column:
-    """Number of cut points smaller than x, by binary search."""
-    widths = [1 << b for b in range(limit.bit_length() - 1, -1, -1)]
-    found = F.aggregate(
-        F.array(*[F.lit(w) for w in widths]), F.lit(0),
-        lambda at, w: at + F.when(
-            (at + w <= F.size(edges)) & (F.get(edges, at + w - 1) < x), w
-        ).otherwise(F.lit(0)),
+def _edges_below(x: str, edges: str, limit: int) -> Column:
+    """Number of cut points smaller than column x, by binary search."""
+    widths = ", ".join(str(1 << b) for b in range(limit.bit_length() - 1, -1, -1))
+    step = f"CASE WHEN at + w <= size({edges}) AND get({edges}, at + w - 1) < `{x}` THEN w ELSE 0 END"
+    return F.expr(
+        f"CASE WHEN {edges} IS NULL OR `{x}` IS NULL THEN 0 "
+        f"ELSE aggregate(array({widths}), 0, (at, w) -> at + {step}) END"
     )
-    return F.when(edges.isNull() | x.isNull(), F.lit(0)).otherwise(found)
 
 
 def _numeric_grid(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], limit: int) -> DataFrame:
@@ -81,19 +79,16 @@ def bucketed(
         sketch = _text_grid(df, order, sums, limit)
     else:
         sketch = _numeric_grid(df, keys, order, sums, limit)
-    wanted = F.least(F.lit(limit), F.ceil(F.col("_rows") / F.lit(rows)).cast("int"))
+    wanted = f"least({limit}, int(ceil(_rows / {rows})))"
     split = sketch.where(F.col("_rows") > rows).select(
         *[quoted(k) for k in keys],
-        F.transform(
-            F.sequence(F.lit(1), wanted - 1),
-            lambda i: F.get(F.col("_grid"), F.floor(i * F.lit(limit) / wanted).cast("int") - 1),
-        ).alias("_edges"),
-        *[F.col(f"_all_{s}") for s in sums],
+        F.expr(f"transform(sequence(1, {wanted} - 1), i -> get(_grid, int(floor(i * {limit} / {wanted})) - 1)) AS _edges"),
+        *[f"_all_{s}" for s in sums],
     )
     # Bounded: one cut point per `rows` rows of df, at most `limit` per key.
     with_edges = attach(df, split, keys, small=True)
     return with_edges.withColumn(
-        "_b", _edges_below(quoted(order), F.col("_edges"), limit)
+        "_b", _edges_below(order, "_edges", limit)
     ).withColumn("_split", F.col("_edges").isNotNull()).drop("_edges")
 
 
@@ -127,8 +122,8 @@ def running(
     out = null_safe_join(out, F.broadcast(offsets), [*keys, "_b"])
     return out.select(
         *[quoted(c) for c in df.columns],
-        *[(F.coalesce(F.col(f"_off_{s}"), F.lit(0)) + F.col(f"_in_{s}")).alias(f"cum_{s}") for s in sums],
-        *[F.coalesce(F.col(f"_key_{s}"), F.col(f"_all_{s}"), F.col(f"_bk_{s}")).alias(f"tot_{s}") for s in sums],
+        *[F.expr(f"coalesce(`_off_{s}`, 0) + `_in_{s}` AS `cum_{s}`") for s in sums],
+        *[F.expr(f"coalesce(`_key_{s}`, `_all_{s}`, `_bk_{s}`) AS `tot_{s}`") for s in sums],
     )
 
 

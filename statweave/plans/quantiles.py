@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,42 +14,34 @@ MARGIN = 5.0 / ACCURACY
 
 
 def order_statistics(
-    x: Column, weight: Column, cumulative: Column, total: Column, probs: Sequence[float], prefix: str
+    x: str, weight: str, cumulative: str, total: str, probs: Sequence[float], prefix: str
 ) -> list[Column]:
     """Aggregates that pick the two neighbours of each quantile from a running count."""
     picks = []
     for i, p in enumerate(probs):
-        low = F.floor(F.lit(float(p)) * (total - 1))
-        high = F.least(low + 1, total - 1)
-        for tag, k in (("lo", low), ("hi", high)):
-            here = (cumulative > k) & (cumulative - weight <= k)
-            picks.append(F.max(F.when(here, x)).alias(f"{prefix}{tag}{i}"))
+        low = f"floor({float(p)!r}D * ({total} - 1))"
+        for tag, k in (("lo", low), ("hi", f"least({low} + 1, {total} - 1)")):
+            here = f"{cumulative} > {k} AND {cumulative} - {weight} <= {k}"
+            picks.append(F.expr(f"max(CASE WHEN {here} THEN {x} END) AS {prefix}{tag}{i}"))
     return picks
 
 
-def interpolated(total: Column, probs: Sequence[float], prefix: str) -> Column:
+def interpolated(total: str, probs: Sequence[float], prefix: str) -> Column:
     """Array of quantiles from the aggregates of :func:`order_statistics`."""
-    out = []
+    parts = []
     for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (total - 1)
-        lo, hi = F.col(f"{prefix}lo{i}"), F.col(f"{prefix}hi{i}")
-        out.append(F.when(total > 0, lo + (h - F.floor(h)) * (hi - lo)))
-    return F.array(*out)
+        h, lo, hi = f"{float(p)!r}D * ({total} - 1)", f"{prefix}lo{i}", f"{prefix}hi{i}"
+        parts.append(f"CASE WHEN {total} > 0 THEN {lo} + ({h} - floor({h})) * ({hi} - {lo}) END")
+    return F.expr(f"array({', '.join(parts)})")
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Sequence[float], x: str = "x", weight: str = "w"
-) -> DataFrame:
-    """(keys, n, q) from a table of distinct values with counts."""
-    run = running(counts, keys, x, [weight])
-    total = F.col(f"tot_{weight}")
-    picked = run.groupBy(*[quoted(k) for k in keys]).agg(
-        F.max(total).alias("n"),
-        *order_statistics(quoted(x), quoted(weight), F.col(f"cum_{weight}"), total, probs, "_"),
-    )
-    return picked.select(
-        *[quoted(k) for k in keys], "n", interpolated(F.col("n"), probs, "_").alias("q")
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, n, q) from a table (keys, x, w) of distinct values with counts."""
+    by = [quoted(k) for k in keys]
+    picked = running(counts, keys, "x", ["w"]).groupBy(*by).agg(
+        F.max("tot_w").alias("n"), *order_statistics("x", "w", "cum_w", "tot_w", probs, "_")
     )
+    return picked.select(*by, "n", interpolated("n", probs, "_").alias("q"))
 
 
 def exact_quantiles(
@@ -69,70 +60,46 @@ def exact_quantiles(
             F.count(F.lit(1)).alias("w")
         )
         return quantiles_of_counts(counts, [*keys, "column"], probs)
-    return _bracketed(numbers(df, columns), columns, probs)
+    wide = numbers(df, columns)
+    # Short names, and the columns' own names only in the result.
+    plain = wide.toDF(*[f"c{j}" for j in range(len(columns))])
+    return _bracketed(plain, columns, probs)
 
 
 def _bracketed(wide: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     cuts = [v for p in probs for v in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    sketch = wide.agg(*[
-        F.percentile_approx(quoted(c), cuts, ACCURACY).alias(f"_c{j}") for j, c in enumerate(columns)
-    ])
-    brackets = sketch.select(F.struct(*sketch.columns).alias("_k")).scalar()
-    rows = wide.withColumn("_k", brackets)
-
-    def bound(j: int, i: int, side: int) -> Column:
-        return F.get(F.col("_k").getField(f"_c{j}"), F.lit(2 * i + side))
-
-    slots = [(j, c, i) for j, c in enumerate(columns) for i in range(len(probs))]
+    span = range(len(columns))
+    sketch = wide.agg(*[F.percentile_approx(f"c{j}", cuts, ACCURACY).alias(f"c{j}") for j in span])
+    rows = wide.withColumn("_k", sketch.select(F.struct(*sketch.columns)).scalar())
+    slots = [(j, i) for j in span for i in range(len(probs))]
     below = rows.agg(
-        *[F.count(quoted(c)).alias(f"_n{j}") for j, c in enumerate(columns)],
-        *[F.count(F.when(quoted(c) < bound(j, i, 0), 1)).alias(f"_u{j}_{i}") for j, c, i in slots],
+        *[F.expr(f"count(c{j}) AS n{j}") for j in span],
+        *[F.expr(f"count_if(c{j} < _k.c{j}[{2 * i}]) AS u{j}_{i}") for j, i in slots],
     )
-    base = below.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("_i"), F.lit(None).cast("double").alias("x"),
-            F.col(f"_u{j}_{i}").alias("w"), F.col(f"_n{j}").alias("m"),
-        ) for j, c, i in slots
-    ])))
-
-    def inside(j: int, c: str, i: int) -> Column:
-        return (quoted(c) >= bound(j, i, 0)) & (quoted(c) <= bound(j, i, 1))
-
-    near = rows.where(reduce(lambda a, b: a | b, [inside(*s) for s in slots])).select(
-        F.explode(F.array(*[
-            F.when(inside(j, c, i), F.struct(F.lit(c).alias("column"), F.lit(i).alias("_i"), quoted(c).alias("x")))
-            for j, c, i in slots
-        ])).alias("e")
-    ).where(F.col("e").isNotNull()).select("e.*")
-    counts = near.groupBy("column", "_i", "x").agg(F.count(F.lit(1)).alias("w")).withColumn("m", F.lit(0).cast("long"))
+    base = below.select(F.expr("inline(array(" + ", ".join(
+        f"struct({j} AS _j, {i} AS _i, cast(NULL AS double) AS x, u{j}_{i} AS w, n{j} AS m)" for j, i in slots
+    ) + "))"))
+    inside = {(j, i): f"c{j} BETWEEN _k.c{j}[{2 * i}] AND _k.c{j}[{2 * i + 1}]" for j, i in slots}
+    near = rows.where(F.expr(" OR ".join(inside.values()))).select(F.expr("explode(array(" + ", ".join(
+        f"CASE WHEN {inside[j, i]} THEN struct({j} AS _j, {i} AS _i, c{j} AS x) END" for j, i in slots
+    ) + ")) AS e")).where("e IS NOT NULL").select("e.*")
+    counts = near.groupBy("_j", "_i", "x").agg(F.count(F.lit(1)).alias("w")).withColumn("m", F.lit(0).cast("long"))
     # The row with x NULL sorts first and carries the rows below the bracket.
-    run = running(base.unionByName(counts), ["column", "_i"], "x", ["w", "m"])
-    per = run.groupBy("column", "_i").agg(
-        F.max("tot_m").alias("n"),
-        *[a for i, p in enumerate(probs) for a in _one(p, i)],
+    run = running(base.unionByName(counts), ["_j", "_i"], "x", ["w", "m"])
+    chosen = f"array({', '.join(f'{float(p)!r}D' for p in probs)})[_i]"
+    run = run.withColumn("_h", F.expr(f"{chosen} * (tot_m - 1)"))
+    low, high = "floor(_h)", "least(floor(_h) + 1, tot_m - 1)"
+    per = run.groupBy("_j", "_i").agg(
+        F.max("tot_m").alias("n"), F.max("_h").alias("_h"),
+        *[F.expr(f"max(CASE WHEN cum_w > {k} AND cum_w - w <= {k} THEN x END) AS {name}")
+          for name, k in (("lo", low), ("hi", high))],
     )
-    q = F.lit(None).cast("double")
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        value = lo + (h - F.floor(h)) * (hi - lo)
-        missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
-        q = F.when(
-            (F.col("_i") == i) & (F.col("n") > 0),
-            F.when(lo.isNull() | hi.isNull(), missed).otherwise(value),
-        ).otherwise(q)
-    return per.withColumn("q", q).groupBy("column").agg(
-        F.max("n").alias("n"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda s: s.getField("q")
-        ).alias("q"),
+    value = F.expr(
+        "CASE WHEN n > 0 THEN CASE WHEN lo IS NULL OR hi IS NULL "
+        "THEN cast(raise_error('a quantile fell outside its bracket') AS double) "
+        "ELSE lo + (_h - floor(_h)) * (hi - lo) END END"
     )
-
-
-def _one(p: float, i: int) -> list[Column]:
-    mine = F.col("_i") == i
-    return order_statistics(
-        F.when(mine, F.col("x")), F.col("w"), F.col("cum_w"), F.col("tot_m"), [p], "_"
-    )[0].alias(f"_lo{i}"), order_statistics(
-        F.when(mine, F.col("x")), F.col("w"), F.col("cum_w"), F.col("tot_m"), [p], "_"
-    )[1].alias(f"_hi{i}")
+    names = F.array(*[F.lit(c) for c in columns])
+    return per.withColumn("q", value).groupBy("_j").agg(
+        F.max("n").alias("n"), F.expr("transform(array_sort(collect_list(struct(_i, q))), s -> s.q) AS q"),
+    ).select(F.get(names, F.col("_j")).alias("column"), "n", "q")
