@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statweave.functions.columns import melt, numeric_columns, quoted, ratio
 from statweave.functions.tails import chi2_p, kolmogorov_sf, normal_cdf_of
@@ -144,34 +145,19 @@ def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bo
     )
 
 
-def fit_distributions(
-    df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = (),
-    candidates: Sequence[str] = ("norm", "lognorm", "expon", "poisson"),
+def _continuous(
+    counts: DataFrame, stats: DataFrame, keys: Sequence[str], laws: Sequence[str], small: bool
 ) -> DataFrame:
-    """(column, distribution, params, statistic, p_value, is_best) per candidate law.
-
-    Continuous laws are judged by the Kolmogorov–Smirnov distance of their fitted law
-    (Poisson by χ²); the best has the largest p. Columns with under 5 values drop out.
-    """
-    targets = numeric_columns(df, columns, exclude=group_by)
-    keys = [*group_by, "column"]
+    """Fitted continuous laws with their Kolmogorov–Smirnov distance, one ordered pass for all."""
     by = _by(keys)
-    small = few_groups(df, group_by)
-    long = melt(df, targets, group_by)
-    x = F.col("x")
-    stats = long.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"),
-        F.max(x).alias("max"), F.min(x == F.round(x)).alias("whole"),
-    ).where(F.col("n") >= MIN_VALUES)
     fits = stats.select(
         *by, F.struct(F.col("mean").alias("loc"), F.col("sd").alias("scale")).alias("_norm"),
         F.struct(F.col("min").alias("loc"), (F.col("mean") - F.col("min")).alias("scale")).alias("_expon"),
     )
-    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
-    laws = [c for c in ("norm", "lognorm", "expon") if c in candidates]
     if "lognorm" in laws:
         params = _lognormal(counts, stats, keys, small).select(*by, F.struct("s", "loc", "scale").alias("_lognorm"))
         fits = null_safe_join(fits, params, keys)
+    x = F.col("x")
     run = attach(running(counts, keys, "x", ["w"]), fits, keys, small=small).where(F.col("_norm").isNotNull())
     upper = F.col("cum_w") / F.col("tot_w")
     lower = (F.col("cum_w") - F.col("w")) / F.col("tot_w")
@@ -182,36 +168,58 @@ def fit_distributions(
     if "lognorm" in laws:
         shifted = x - F.col("_lognorm.loc")
         z["lognorm"] = ratio(F.log(F.when(shifted > 0, shifted) / F.col("_lognorm.scale")), F.col("_lognorm.s"))
-    rows = run.select(*by, upper.alias("_up"), lower.alias("_low"), "tot_w", *[z[c].alias(f"_z_{c}") for c in laws])
+    rows = run.select(*by, upper.alias("_up"), lower.alias("_low"), "tot_w", *[f"_{c}" for c in laws], *[z[c].alias(f"_z_{c}") for c in laws])
     for c in laws:
         value = normal_cdf_of(f"_z_{c}") if c != "expon" else 1 - F.exp(-F.col("_z_expon"))
         rows = rows.withColumn(f"_t_{c}", value)
     distances = rows.groupBy(*by).agg(F.max("tot_w").alias("n"), *[
         F.max(F.greatest(F.col("_up") - F.col(f"_t_{c}"), F.col(f"_t_{c}") - F.col("_low"))).alias(f"_d_{c}")
         for c in laws
-    ])
-    joined = null_safe_join(distances, fits, keys)
+    ], *[F.first(f"_{c}").alias(f"_{c}") for c in laws])
 
     def as_map(c: str) -> Column:
         names = {"norm": ("loc", "scale"), "expon": ("loc", "scale"), "lognorm": ("s", "loc", "scale")}[c]
         return F.create_map(*[v for name in names for v in (F.lit(name), F.col(f"_{c}.{name}"))])
 
-    out = joined.select(*by, F.inline(F.array(*[
+    return distances.select(*by, F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("distribution"), F.lit(i).alias("_order"), as_map(c).alias("params"),
             F.col(f"_d_{c}").alias("statistic"), (F.col(f"_d_{c}") * F.sqrt("n")).alias("_lam"),
         ) for i, c in enumerate(laws)
     ]))).where(F.col("statistic").isNotNull()).withColumn("p_value", kolmogorov_sf("_lam")).drop("_lam")
+
+
+def fit_distributions(
+    df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = (),
+    candidates: Sequence[str] = ("norm", "lognorm", "expon", "poisson"),
+) -> DataFrame:
+    """(column, distribution, params, statistic, p_value, is_best) per candidate law.
+
+    Continuous laws are judged by the Kolmogorov–Smirnov distance of their fitted law
+    (Poisson by χ²); the best has the largest p. Columns with under 5 values drop out.
+    """
+    targets = numeric_columns(df, columns, exclude=group_by)
+    keys = [*group_by, "column"]
+    by = _by(keys)
+    small = few_groups(df, group_by)
+    long = melt(df, targets, group_by)
+    x = F.col("x")
+    stats = long.groupBy(*by).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.min(x == F.round(x)).alias("whole"),
+    ).where(F.col("n") >= MIN_VALUES)
+    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
+    laws = [c for c in ("norm", "lognorm", "expon") if c in candidates]
+    parts = [_continuous(counts, stats, keys, laws, small)] if laws else []
     if "poisson" in candidates:
-        poisson = _poisson(counts, stats, keys, small)
-        out = out.unionByName(poisson.select(
+        parts.append(_poisson(counts, stats, keys, small).select(
             *by, F.lit("poisson").alias("distribution"), F.lit(len(laws)).alias("_order"),
             F.create_map(F.lit("lambda"), F.col("lambda")).alias("params"), "statistic", "p_value",
         ))
-    # At most four candidates per key; the first one wins a tie.
-    best = out.groupBy(*by).agg(F.max_by("distribution", F.struct("p_value", -F.col("_order"))).alias("_best"))
-    return null_safe_join(out, best, keys).select(
-        *by, "distribution", "params", "statistic", "p_value", (F.col("distribution") == F.col("_best")).alias("is_best")
+    # At most four rows per key; the first candidate wins a tie.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("p_value"), "_order"))
+    return reduce(DataFrame.unionByName, parts).select(
+        *by, "distribution", "params", "statistic", "p_value", (place == 1).alias("is_best")
     )
 
 

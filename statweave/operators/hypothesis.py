@@ -546,7 +546,7 @@ def benjamini_hochberg(
     the number of columns. A single p-value is left uncorrected (NULL).
     """
     by = [quoted(k) for k in group_by]
-    value = quoted(p)
+    value = clean(df, p)
     present = Window.partitionBy(*by, value.isNull())
     ranked = df.withColumn("_m", F.count(F.lit(1)).over(present)).withColumn(
         "_r", F.row_number().over(present.orderBy(value))

@@ -11,6 +11,7 @@ from statweave.plans.ordered import running
 
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
+SMALL = 20_000  # up to here the bracket is the whole range: the margin would be under a few rows
 
 
 def order_statistics(
@@ -69,7 +70,12 @@ def exact_quantiles(
 def _bracketed(wide: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     cuts = [v for p in probs for v in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     span = range(len(columns))
-    sketch = wide.agg(*[F.percentile_approx(f"c{j}", cuts, ACCURACY).alias(f"c{j}") for j in span])
+    sketch = wide.agg(*[e for j in span for e in (
+        F.percentile_approx(f"c{j}", cuts, ACCURACY).alias(f"q{j}"),
+        F.expr(f"count(c{j}) AS n{j}"), F.expr(f"min(c{j}) AS a{j}"), F.expr(f"max(c{j}) AS z{j}"),
+    )]).select(*[F.expr(
+        f"CASE WHEN n{j} > {SMALL} THEN q{j} ELSE flatten(array_repeat(array(a{j}, z{j}), {len(probs)})) END AS c{j}"
+    ) for j in span])
     rows = wide.withColumn("_k", sketch.select(F.struct(*sketch.columns)).scalar())
     slots = [(j, i) for j in span for i in range(len(probs))]
     below = rows.agg(
