@@ -451,7 +451,7 @@ def arima(
     order = F.greatest(F.lit(1), F.least(F.ceil(12 * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 4)))
     rows = attach(series.rows, ends, keys, small=series.small)
     overlap = (order + 2 * MAX_ORDER + MAX_D).cast("long")
-    cut = blocks(rows, "pos", block, overlap).select(
+    cut = blocks(rows, "pos", block, overlap).where(F.col("_block") * block < F.col("n")).select(
         *by, "_block", "_halo", "pos", "n", "y", "cum", "mean", "y0", "y1", "y_end1", "y_end"
     )
     kf = _key_fields(cut, keys)
@@ -470,7 +470,7 @@ def arima(
     def beside(stats: DataFrame, fn, schema: T.StructType) -> DataFrame:
         def call(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({f.name: [] for f in schema.fields})
+                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
             return fn(left.sort_values("pos"), right.iloc[0]).assign(**{k: left[k].iloc[0] for k in keys})
 
         return cut.groupBy(*by, "_block").cogroup(per_block(stats).groupBy(*by, "_block")).applyInPandas(call, schema)

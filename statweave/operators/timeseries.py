@@ -202,18 +202,18 @@ def resample(
     by = _by(keys)
     table = _buckets(df, date, value, freq, agg, keys)
     span = table.groupBy(*by).agg(
-        F.max("i").alias("_hi"), F.min(F.when(F.col("v").isNotNull(), F.col("i"))).alias("_first"),
+        F.min("i").alias("_lo"), F.max("i").alias("_hi"), F.min(F.when(F.col("v").isNotNull(), F.col("i"))).alias("_first"),
         F.max("origin").alias("origin"),
     )
     known = with_next(table.where(F.col("v").isNotNull()).select(*by, "i", "v"), keys, "i", ["i", "v"])
     known = attach(known, span, keys, small=few_groups(df, keys))
     # A series without any value still gets its calendar.
     empty = span.where(F.col("_first").isNull()).select(
-        *by, F.lit(0).cast("long").alias("i"), F.lit(None).cast("double").alias("v"),
-        F.lit(None).cast("long").alias("next_i"), F.lit(None).cast("double").alias("next_v"), "_hi", "_first", "origin",
+        *by, F.col("_lo").alias("i"), F.lit(None).cast("double").alias("v"),
+        F.lit(None).cast("long").alias("next_i"), F.lit(None).cast("double").alias("next_v"), "_lo", "_hi", "_first", "origin",
     )
     rows = known.unionByName(empty)
-    start = F.when(F.col("i") == F.coalesce("_first", F.lit(0)), F.lit(0).cast("long")).otherwise(F.col("i"))
+    start = F.when(F.col("i") == F.col("_first"), F.col("_lo")).otherwise(F.col("i"))
     end = F.coalesce(F.col("next_i") - 1, F.col("_hi"))
     rows = rows.withColumn("_end", end).withColumn("_chunk", F.explode(F.sequence(start, end, F.lit(_SPAN).cast("long"))))
     rows = rows.withColumn("_j", F.explode(F.sequence(
@@ -397,7 +397,7 @@ def adf_test(
     # Centring changes no lag coefficient and keeps the cross-products well scaled.
     placed = placed.select(*by, "pos", "n", (F.col("_y") - F.col("mean")).alias("y"))
     overlap = F.least(F.ceil(12 * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 2) - 2) + 1
-    cut = blocks(placed, "pos", block, overlap.cast("long"))
+    cut = blocks(placed, "pos", block, overlap.cast("long")).where(F.col("_block") * block < F.col("n"))
     schema = T.StructType([
         *[f for f in placed.schema.fields if f.name in set(keys)], T.StructField("gram", T.ArrayType(T.DoubleType())),
         T.StructField("head", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()),
