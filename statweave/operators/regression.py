@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from statweave.functions.columns import as_double, quoted, ratio
 from statweave.functions.labels import DEFAULT, Thresholds, durbin_watson_label, r2_label, stars
-from statweave.functions.tails import fisher_upper, student_quantile, student_two_sided, vectorized
+from statweave.functions.tails import fisher_p, student_p, student_quantile
 from statweave.operators.clean import clean_regression_rows
 from statweave.operators.hypothesis import shapiro_of_long
 from statweave.plans.joins import attach, few_groups, join_results
@@ -47,76 +47,74 @@ def _arrays(*names: str) -> list[T.StructField]:
 
 
 _SOLUTION = T.StructType(
-    _arrays("beta", "std_error", "t", "p_value", "vif", "ridge_beta", "inverse")
-    + _doubles("r2", "r2_adj", "f", "f_p", "aic", "bic", "s2", "df_resid", "pred_r2", "pred_rmse")
+    _arrays("beta", "std_error", "vif", "ridge_beta", "inverse")
+    + _doubles("r2", "r2_adj", "f", "rank", "aic", "bic", "s2", "df_resid", "pred_r2", "pred_rmse")
 )
 
 
-def _matrix(upper, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
-    out[np.triu_indices(size)] = upper
-    return out + np.triu(out, 1).T
-
-
-def _solve_one(n: float, means, cov, centered_vif: bool) -> dict:
-    """All coefficients of one group from its means and covariances (target last)."""
-    p = len(means) - 1
-    s = _matrix(cov, p + 1) * n
-    sxx, sxy, syy = s[:p, :p], s[:p, p], s[p, p]
-    mean_x, mean_y = np.array(means[:p]), means[p]
-    scale = np.sqrt(np.diag(sxx))
-    scale = np.where(scale > 0, scale, 1.0)
-    corr = sxx / np.outer(scale, scale)
-    inner = np.linalg.pinv(corr, hermitian=True)
-    rank = int(np.linalg.matrix_rank(corr, hermitian=True))
-    inverse = inner / np.outer(scale, scale)
-    b = inverse @ sxy
-    beta = np.concatenate([[mean_y - b @ mean_x], b])
-    sse = max(0.0, syy - b @ sxy)
-    df = n - rank - 1
-    nan = math.nan
-    s2 = sse / df if df > 0 else nan
-    variances = np.concatenate([[1.0 / n + mean_x @ inverse @ mean_x], np.diag(inverse)])
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a stack of symmetric matrices, scaled to unit diagonal first."""
+    d = np.sqrt(np.einsum("gii->gi", m))
+    d = np.where(d > 0, d, 1.0)
+    outer = d[:, :, None] * d[:, None, :]
+    return np.linalg.pinv(m / outer, hermitian=True) / outer
+
+
+def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool) -> pd.DataFrame:
+    """Coefficients of all groups of a batch from their means and covariances (target last)."""
+    p = means.shape[1] - 1
+    full = np.zeros((len(n), p + 1, p + 1))
+    rows, cols = np.triu_indices(p + 1)
+    full[:, rows, cols] = full[:, cols, rows] = cov
+    full *= n[:, None, None]
+    sxx, sxy, syy = full[:, :p, :p], full[:, :p, p], full[:, p, p]
+    mx, my = means[:, :p], means[:, p]
+    diag = np.einsum("gii->gi", sxx)
+    inverse = _inverse(sxx)
+    scale = np.where(diag > 0, np.sqrt(diag), 1.0)
+    rank = np.linalg.matrix_rank(sxx / (scale[:, :, None] * scale[:, None, :]), hermitian=True).astype(float)
+    b = np.einsum("gij,gj->gi", inverse, sxy)
+
+    def with_intercept(slopes):
+        return np.column_stack([my - (slopes * mx).sum(axis=1), slopes])
+
     with np.errstate(all="ignore"):
-        se = np.sqrt(s2 * variances)
-        t = beta / se
-        r2 = 1.0 - sse / syy if syy > 0 else nan
-        f = (syy - sse) / rank / s2 if df > 0 and rank and s2 > 0 else nan
-        log_sse = math.log(sse / n) if sse > 0 else -math.inf
-    base = n * (math.log(2 * math.pi) + log_sse + 1)
-    if p == 1:
-        vif = np.array([1.0])
-    elif centered_vif:
-        vif = np.diag(inner)
-    else:
-        raw = sxx + n * np.outer(mean_x, mean_x)
-        d = np.sqrt(np.diag(raw))
-        d = np.where(d > 0, d, 1.0)
-        vif = np.diag(np.linalg.pinv(raw / np.outer(d, d), hermitian=True))
-    model_b, ridge_beta = b, beta
-    if n < SMALL_SAMPLE:
+        sse = np.maximum(0.0, syy - (b * sxy).sum(axis=1))
+        df = n - rank - 1
+        s2 = np.where(df > 0, sse / df, np.nan)
+        spread = np.column_stack([1 / n + np.einsum("gi,gij,gj->g", mx, inverse, mx), np.einsum("gii->gi", inverse)])
+        r2 = np.where(syy > 0, 1 - sse / syy, np.nan)
+        base = n * (math.log(2 * math.pi) + np.log(sse / n) + 1)
+        if p == 1:
+            vif = np.ones((len(n), 1))
+        else:
+            moment = sxx if centered_vif else sxx + n[:, None, None] * mx[:, :, None] * mx[:, None, :]
+            vif = np.einsum("gii->gi", _inverse(moment)) * np.einsum("gii->gi", moment)
         # Ridge (penalty 1) on standardised features, written back in raw units.
-        sd = np.sqrt(np.diag(sxx) / n)
-        sd = np.where(sd > 0, sd, 1.0)
-        model_b = np.linalg.solve(sxx / np.outer(sd, sd) + np.eye(p), sxy / sd) / sd
-        ridge_beta = np.concatenate([[mean_y - model_b @ mean_x], model_b])
-    model_sse = max(0.0, syy - 2 * model_b @ sxy + model_b @ sxx @ model_b)
-    return {
-        "beta": beta, "std_error": se, "t": t, "p_value": vectorized(student_two_sided, t, np.full(len(t), df)),
-        "vif": np.concatenate([[nan], vif]), "ridge_beta": ridge_beta, "inverse": inverse.ravel(),
-        "r2": r2, "r2_adj": 1 - (1 - r2) * (n - 1) / df if df > 0 else nan, "f": f,
-        "f_p": float(vectorized(fisher_upper, [f], [rank], [df])[0]),
-        "aic": base + 2 * (rank + 1), "bic": base + math.log(n) * (rank + 1), "s2": s2, "df_resid": df,
-        "pred_r2": 1.0 - model_sse / syy if syy > 0 else nan, "pred_rmse": math.sqrt(model_sse / n),
-    }
+        sd = scale / np.sqrt(n)[:, None]
+        z = sxx / (sd[:, :, None] * sd[:, None, :]) + np.eye(p)
+        ridge = np.linalg.solve(z, (sxy / sd)[:, :, None])[:, :, 0] / sd
+        model = np.where((n < SMALL_SAMPLE)[:, None], ridge, b)
+        model_sse = np.maximum(
+            0.0, syy - 2 * (model * sxy).sum(axis=1) + np.einsum("gi,gij,gj->g", model, sxx, model)
+        )
+        return pd.DataFrame({
+            "beta": list(with_intercept(b)), "std_error": list(np.sqrt(s2[:, None] * spread)),
+            "vif": list(np.column_stack([np.full(len(n), np.nan), vif])), "ridge_beta": list(with_intercept(model)),
+            "inverse": list(inverse.reshape(len(n), -1)), "r2": r2,
+            "r2_adj": np.where(df > 0, 1 - (1 - r2) * (n - 1) / df, np.nan),
+            "f": np.where((rank > 0) & (s2 > 0), (syy - sse) / rank / s2, np.nan), "rank": rank,
+            "aic": base + 2 * (rank + 1), "bic": base + np.log(n) * (rank + 1), "s2": s2, "df_resid": df,
+            "pred_r2": np.where(syy > 0, 1 - model_sse / syy, np.nan), "pred_rmse": np.sqrt(model_sse / n),
+        })
 
 
 def _solver(centered_vif: bool):
     @F.pandas_udf(_SOLUTION)
     def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
-        rows = [_solve_one(float(a), np.asarray(m, float), np.asarray(c, float), centered_vif)
-                for a, m, c in zip(n, means, cov)]
-        return pd.DataFrame(rows, columns=_SOLUTION.names)
+        if not len(n):
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in _SOLUTION.names})
+        return _solve(n.to_numpy(float), np.stack(means.to_numpy()), np.stack(cov.to_numpy()), centered_vif)
 
     return solve
 
@@ -152,12 +150,13 @@ def coefficients(fit: Fit) -> DataFrame:
     """One row per term (``const`` first): coefficient, error, t, p, VIF, significance stars."""
     terms = F.array(F.lit("const"), *[F.lit(f) for f in fit.features])
     keys = [quoted(k) for k in fit.group_by]
-    out = fit.solution.withColumn("term", terms).select(*keys, F.inline(
-        F.arrays_zip("term", "beta", "std_error", "t", "p_value", "vif")
-    ))
+    out = fit.solution.withColumn("term", terms).select(
+        *keys, "df_resid", F.inline(F.arrays_zip("term", "beta", "std_error", "vif"))
+    )
+    out = out.withColumn("t", ratio(F.col("beta"), F.col("std_error"))).withColumn("p_value", student_p("t", "df_resid"))
     return out.select(
-        *keys, "term", F.col("beta").alias("coefficient"), "std_error", "t", "p_value", F.nanvl("vif", F.lit(None).cast("double")).alias("vif"),
-        stars(F.col("p_value")).alias("stars"),
+        *keys, "term", F.col("beta").alias("coefficient"), "std_error", "t", "p_value",
+        F.nanvl("vif", F.lit(None).cast("double")).alias("vif"), stars(F.col("p_value")).alias("stars"),
     )
 
 
@@ -213,7 +212,7 @@ def model_summary(
     """One row per group: fit quality, and residual checks where asked for."""
     keys = [quoted(k) for k in fit.group_by]
     highest = F.array_max(F.filter("vif", lambda v: ~F.isnan(v)))
-    out = fit.solution.select(
+    out = fit.solution.withColumn("f_p", fisher_p("f", "rank", "df_resid")).select(
         *keys, "n", "r2", "r2_adj", r2_label(F.col("r2")).alias("r2_label"), "f", "f_p", "aic", "bic",
         F.coalesce(highest > thresholds.vif, F.lit(False)).alias("multicollinear"),
         (F.col("n") < SMALL_SAMPLE).alias("small_sample"),
