@@ -261,14 +261,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_structure": lambda s, d: drift.structure_rows(*orders_sides(s, d)),
         "drift_columns": lambda s, d: drift.structure_columns(
             orders(s, d).drop("o_custkey"), orders(s, d).drop("o_orderstatus").withColumn("o_totalprice", F.col("o_totalprice").cast("string"))),
-        "drift_quality": lambda s, d: drift.quality(*orders_sides(s, d)).withColumn("new_categories", F.array_join("new_categories", "|")),
+        "drift_quality": lambda s, d: drift.quality(*orders_sides(s, d)).withColumn("first_new_categories", F.array_join("first_new_categories", "|")),
         "drift_new_categories": lambda s, d: drift.new_categories(*orders_sides(s, d)),
         "drift_psi": lambda s, d: digits(drift.psi(*orders_sides(s, d))),
         "drift_numeric": lambda s, d: numeric_out(drift.drift_ranking(drift.numeric_drift(*orders_sides(s, d)))),
         "drift_paired": lambda s, d: drift.numeric_drift(*orders_revised(s, d), id_column="o_orderkey"),
         "drift_judged": lambda s, d: drift.judge_verdicts(
             drift.numeric_drift(*orders_sides(s, d)), {"o_totalprice": "down_good"}).select("column", "verdict", "judgement"),
-        "drift_categorical": lambda s, d: digits(drift.categorical_drift(*orders_sides(s, d), shares=False).drop("p_value", "p_corrected")),
+        "drift_categorical": lambda s, d: digits(drift.categorical_drift(*orders_sides(s, d)).drop("p_value", "p_corrected")),
         "drift_shares": lambda s, d: digits(drift.category_shares(*orders_sides(s, d))),
         # regression
         "ols_lineitem": lambda s, d: digits(regression.coefficients(lineitem_fit(s, d)[0]), coefficient=5, std_error=5),

@@ -303,6 +303,14 @@ ORDERS_COLUMNS = [
 ]
 GAPS_COLUMNS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("l_returnflag", "string"), ("l_quantity", "double"), ("l_tax", "double")]
 
+TEXTS = ("o_orderstatus", "o_orderpriority")
+
+
+def fresh(c: str) -> str:
+    """Values of a text column that only side B has."""
+    return f"(SELECT {c} AS v FROM b WHERE {c} IS NOT NULL EXCEPT SELECT {c} FROM a)"
+
+
 ORACLES: dict[str, str] = {
     "profile_orders": profile_sql("orders", ORDERS_COLUMNS),
     "missing_lineitem": f"WITH {GAPS} " + union([
@@ -412,7 +420,8 @@ SELECT na AS rows_base, nb AS rows_compare, nb - na AS rows_delta, round((nb - n
     "drift_quality": f"WITH {SIDES} " + union([
         f"""SELECT '{c}' AS "column", 0.0::DOUBLE AS missing_base_pct, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_compare_pct,
   round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_delta_pct, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) > 5 AS degraded,
-  {"(SELECT coalesce(string_agg(v, '|' ORDER BY v), '') FROM (SELECT " + c + " AS v FROM b EXCEPT SELECT " + c + " FROM a))" if c in ('o_orderstatus', 'o_orderpriority') else "''"} AS new_categories FROM b"""
+  {"(SELECT count(*) FROM " + fresh(c) + ")" if c in TEXTS else "0::BIGINT"} AS new_category_count,
+  {"(SELECT coalesce(string_agg(v, '|' ORDER BY v), '') FROM (FROM " + fresh(c) + " ORDER BY v LIMIT 5))" if c in TEXTS else "''"} AS first_new_categories FROM b"""
         for c, _, _ in ORDERS_COLUMNS]),
     "drift_new_categories": f"WITH {SIDES} " + union([
         f"SELECT '{c}' AS \"column\", v AS value FROM (SELECT {c} AS v FROM b EXCEPT SELECT {c} FROM a)" for c in ("o_orderstatus", "o_orderpriority")]),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statweave.functions.columns import as_double, clean, melt, quoted, ratio
 from statweave.functions.labels import DEFAULT, Thresholds, psi_label
@@ -29,6 +29,7 @@ class Comparison(NamedTuple):
     quality: DataFrame
     numeric: DataFrame
     categorical: DataFrame
+    shares: DataFrame
 
 
 def _literal_rows(df: DataFrame, items: list[Column], schema: str) -> DataFrame:
@@ -102,25 +103,31 @@ def new_categories(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = N
 def quality(
     a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT
 ) -> DataFrame:
-    """Missing percent per common column on both sides, and the values new in B.
+    """Missing percent per common column on both sides, and how many text values are new in B.
 
-    ``new_categories`` lists values per column; take :func:`new_categories` for text
-    columns whose set of new values is too large to sit in one row.
+    ``first_new_categories`` shows up to five of them in order; :func:`new_categories`
+    gives all as rows, since their number has no bound.
     """
     shared = common_columns(a, b)
     targets = [c for c in shared["all"] if columns is None or c in set(columns)]
     base = _missing_percent(a, targets, "missing_base_pct")
     other = _missing_percent(b, targets, "missing_compare_pct")
-    fresh = new_categories(a, b, targets).groupBy("column").agg(
-        F.array_sort(F.collect_set("value")).alias("new_categories")
+    fresh = new_categories(a, b, targets)
+    counts = fresh.groupBy("column").agg(F.count(F.lit(1)).alias("_new"))
+    # Spark cuts each task's rows to the first five before the shuffle.
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    head = fresh.withColumn("_r", place).where(F.col("_r") <= 5).groupBy("column").agg(
+        F.array_sort(F.collect_list("value")).alias("_head")
     )
-    # All three sides have at most one row per column.
-    joined = null_safe_join(null_safe_join(base, F.broadcast(other), ["column"]), fresh, ["column"])
+    # All sides have at most one row per column.
+    joined = null_safe_join(base, F.broadcast(other), ["column"])
+    joined = null_safe_join(null_safe_join(joined, counts, ["column"]), head, ["column"])
     delta = F.round(F.col("missing_compare_pct") - F.col("missing_base_pct"), 2)
     return joined.select(
         "column", "missing_base_pct", "missing_compare_pct", delta.alias("missing_delta_pct"),
         (delta > thresholds.quality_loss_points).alias("degraded"),
-        F.coalesce("new_categories", F.array().cast("array<string>")).alias("new_categories"),
+        F.coalesce("_new", F.lit(0).cast("long")).alias("new_category_count"),
+        F.coalesce("_head", F.array().cast("array<string>")).alias("first_new_categories"),
     )
 
 
@@ -327,13 +334,11 @@ def judge_verdicts(numeric: DataFrame, polarity: dict[str, str]) -> DataFrame:
 # -- categorical drift ----------------------------------------------------------
 
 def categorical_drift(
-    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT,
-    shares: bool = True,
+    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT
 ) -> DataFrame:
     """χ² of the 2×K table (side, value) per common text column, FDR over columns.
 
-    ``shares=False`` leaves out the two share maps, whose size is the number of
-    distinct values; :func:`category_shares` gives the same numbers as rows.
+    The shares per value come as rows from :func:`category_shares`.
     """
     texts = common_columns(a, b)["categorical"]
     targets = [c for c in texts if columns is None or c in set(columns)]
@@ -355,9 +360,6 @@ def categorical_drift(
         F.max("ta").alias("ta"), F.max("tb").alias("tb"), F.count(F.lit(1)).alias("cols"),
         F.sum(fit).alias("fit"), F.sum(low).alias("low_expected_cells"), F.sum(1 / size).alias("inv_cols"),
         F.max(F.struct(F.col("ca"), size.alias("size"))).alias("_cell"),
-        *([F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col(f"c{t}") > 0, F.struct("value", ratio(F.col(f"c{t}"), F.col(f"t{t}")).alias("share")))
-        ))).alias(f"{name}_shares") for t, name in (("a", "base"), ("b", "compare"))] if shares else []),
     ).where((F.col("ta") > 0) & (F.col("tb") > 0) & (F.col("cols") >= 2))
     table = sums.select(
         "column", (F.col("ta") + F.col("tb")).alias("n"), F.lit(2).cast("long").alias("rows"), "cols", "fit",
@@ -366,11 +368,8 @@ def categorical_drift(
         F.col("_cell.ca").alias("o"), F.col("ta").alias("ro"), F.col("_cell.size").alias("co"), "low_expected_cells",
     )
     result = benjamini_hochberg(chi_square_finish(table, [F.col("column")], thresholds), alpha=thresholds.alpha)
-    if shares:
-        result = null_safe_join(result, sums.select("column", "base_shares", "compare_shares"), ["column"])
     return result.select(
-        "column", "chi2", "p_value", "dof", "cramers_v",
-        *(["base_shares", "compare_shares"] if shares else []), "low_expected_cells", "total_cells", "p_corrected",
+        "column", "chi2", "p_value", "dof", "cramers_v", "low_expected_cells", "total_cells", "p_corrected",
         F.coalesce("rejected", F.col("p_value") < thresholds.alpha).alias("drifted"),
     )
 
@@ -394,4 +393,5 @@ def compare_datasets(
     return Comparison(
         structure_rows(a, b), structure_columns(a, b), quality(a, b, thresholds=thresholds),
         numeric_drift(a, b, id_column, thresholds=thresholds), categorical_drift(a, b, thresholds=thresholds),
+        category_shares(a, b),
     )

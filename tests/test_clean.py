@@ -105,8 +105,11 @@ def test_sample_pair_of_sales_files(spark):
     assert rows(drift.structure_columns(a, b).select("column", "change")) == [("Defect_Rate", "removed"), ("Online_Clicks", "added")]
     quality = {r["column"]: r for r in drift.quality(a, b).collect()}
     assert (quality["Customer_Rating"]["missing_base_pct"], quality["Customer_Rating"]["missing_compare_pct"]) == (9.86, 40.0)
-    assert quality["Customer_Rating"]["degraded"] and quality["Region"]["new_categories"] == ["East"]
+    assert quality["Customer_Rating"]["degraded"] and quality["Region"]["first_new_categories"] == ["East"]
+    assert (quality["Region"]["new_category_count"], quality["Store_Type"]["new_category_count"]) == (1, 0)
     numeric = {r["column"]: r["verdict"] for r in drift.numeric_drift(a, b).collect()}
     assert numeric["Sales_Revenue"] == "significant_decrease" and numeric["Marketing_Spend"] == "no_difference"
     assert all(r["drifted"] for r in drift.categorical_drift(a, b).collect())
-    assert math.isclose(sum(drift.categorical_drift(a, b).first()["base_shares"].values()), 1.0)
+    shares = drift.category_shares(a, b).where("column = 'Region'").collect()
+    assert math.isclose(sum(r["compare_share"] for r in shares), 1.0) and len(shares) == 4
+    assert len(drift.compare_datasets(a, b)) == 6

@@ -26,16 +26,23 @@ def test_shapiro_example(spark):
     assert closed.shapiro_of_counts(sorted(SHAPIRO_EXAMPLE), [1] * 11)[0] == pytest.approx(row["statistic"])
 
 
-@pytest.mark.parametrize("chunk", [3, 100_000])
-def test_shapiro_with_ties_in_chunks(spark, monkeypatch, chunk):
-    monkeypatch.setattr(hypothesis, "_CHUNK", chunk)
-    x = np.round(np.random.default_rng(1).normal(100, 2, 400), 0)
+@pytest.mark.parametrize("decimals", [0, 3])
+def test_shapiro_with_ties(spark, decimals):
+    x = np.round(np.random.default_rng(1).normal(100, 2, 400), decimals)
     row = hypothesis.shapiro(frame(spark, v=x)).first()
     values, counts = np.unique(x, return_counts=True)
     w, p = closed.shapiro_of_counts(values, counts)
     assert (row["statistic"], row["p_value"]) == (pytest.approx(w, rel=1e-9), pytest.approx(p, rel=1e-6))
 
 
+@pytest.mark.parametrize("start,end", [(0, 90_000), (10_000, 60_000), (0, 200_000), (150_000, 200_000), (1_000, 40_000)])
+def test_scores_of_a_value_with_many_copies(start, end):
+    n = 200_000
+    exact = hypothesis._exact_scores(np.array([start]), np.array([end - start]), np.array([float(n)]))
+    quick = hypothesis._run_scores(float(start), float(end), float(n))
+    assert quick == pytest.approx((exact[0][0], exact[1][0]), rel=1e-10, abs=1e-8)
+
+
 def test_shapiro_edges(spark):
     df = spark.createDataFrame([("k", 5.0)] * 4 + [("two", 1.0), ("two", 2.0)], "g string, v double")
     got = {r["g"]: r for r in hypothesis.shapiro(df, ["v"], ["g"]).collect()}
