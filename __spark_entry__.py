@@ -281,7 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ci_band_orders": lambda s, d: digits(regression.confidence_band(one_feature_fit(s, d)).select("o_orderkey", "x", "y_predicted", "ci_lower", "ci_upper"), 3),
         "ridge_by_customer": lambda s, d: digits(regression.predictive_model(customer_fit(s, d)).withColumn(
             "slope", F.col("coefficients")["o_orderkey"]).drop("coefficients"), 4),
-        "model_by_customer": lambda s, d: regression.model_summary(customer_fit(s, d), normality=False),
+        "model_by_customer": lambda s, d: digits(regression.model_summary(customer_fit(s, d), normality=False), aic=3, bic=3, f=3),
         # time series
         "ts_validate_orders": lambda s, d: timeseries.validate_series(daily_totals(s, d), "o_orderdate", "total").withColumn("suggestions", F.array_join("suggestions", "|")),
         "ts_validate_by_type": lambda s, d: timeseries.validate_series(daily_events(s, d), "day", "total", ["event_type"]).withColumn("suggestions", F.array_join("suggestions", "|")),

@@ -29,8 +29,9 @@ def normal_cdf(z: str) -> str:
 
 
 def student_two_sided(t: str, df: str) -> str:
-    body = f"exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * pow(1 + {{x}} * {{x}} / ({df}), -(({df}) + 1) / 2)"
-    return f"greatest(0.0, 1 - 2 * {simpson(body, f'least(abs({t}), 60.0)', 4000)})"
+    """Through the angle atan(t/√df), whose density is a smooth power of the cosine."""
+    body = f"exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()) * pow(cos({{x}}), ({df}) - 1)"
+    return f"greatest(0.0, 1 - 2 * {simpson(body, f'atan(abs({t}) / sqrt({df}))', 2000)})"
 
 
 def kolmogorov(lam: str) -> str:
@@ -481,6 +482,13 @@ e AS (SELECT o_custkey, avg(abs(o_totalprice - (my - slope * mx) - slope * o_ord
   FROM orders JOIN b USING (o_custkey) GROUP BY o_custkey)
 SELECT o_custkey, n, CASE WHEN n < 50 THEN 'ridge' ELSE 'ols' END AS model, round(my - slope * mx, 4) AS intercept, round(1 - rmse * rmse / vy, 4) AS r2,
   round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(slope, 4) + 0.0 AS slope FROM b JOIN e USING (o_custkey)""",
+    "model_by_customer": f"""WITH m AS (SELECT o_custkey, count(*) AS n, regr_r2(o_totalprice, o_orderkey) AS r2, var_pop(o_totalprice) AS vy FROM orders GROUP BY o_custkey HAVING count(*) >= 3),
+q AS (SELECT *, (n - 2)::DOUBLE AS df, r2 / (1 - r2) * (n - 2) AS f, n * (ln(2 * pi()) + ln(vy * (1 - r2)) + 1) AS base FROM m)
+SELECT o_custkey, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) + 0.0 AS r2_adj,
+  CASE WHEN r2 >= 0.9 THEN 'very_strong' WHEN r2 >= 0.7 THEN 'strong' WHEN r2 >= 0.5 THEN 'moderate' WHEN r2 >= 0.3 THEN 'weak' ELSE 'none' END AS r2_label,
+  round(f, 3) AS f, round({student_two_sided('sqrt(f)', 'df')}, 6) AS f_p, round(base + 4, 3) AS aic, round(base + 2 * ln(n), 3) AS bic,
+  false AS multicollinear, n < 50 AS small_sample FROM q""",
+    "preview_orders": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders LIMIT 10""",
     "ts_validate_orders": f"""WITH daily AS (SELECT 1 AS one, o_orderdate, sum(o_totalprice) AS total FROM orders GROUP BY ALL), {regularity('daily', 'one', 'o_orderdate')}
 SELECT 'o_orderdate' AS date_column, 'total' AS value_column, {REGULAR_OUT}, 0::BIGINT AS missing_values, {ADVICE} FROM found""",
     "ts_validate_by_type": f"""WITH {DAILY_EVENTS}, {regularity('daily', 'event_type', 'day')}
