@@ -470,9 +470,11 @@ SELECT count(*) AS n, 'ols' AS model, round(any_value(b0), 5) AS intercept, roun
   round(sqrt(avg(pow(o_totalprice - b0 - slope * o_custkey, 2))), 5) AS rmse, round(avg(abs(o_totalprice - b0 - slope * o_custkey)), 5) AS mae, round(any_value(slope), 5) AS slope FROM orders, f""",
     "ci_band_orders": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b1, regr_intercept(o_totalprice, o_custkey) AS b0, avg(o_custkey) AS mx, var_pop(o_custkey) AS vx, count(*)::DOUBLE AS n FROM orders),
 s AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(mx) AS mx, any_value(vx) AS vx, any_value(n) AS n, sum(pow(o_totalprice - b0 - b1 * o_custkey, 2)) / (any_value(n) - 2) AS s2 FROM orders, f),
-q AS (SELECT *, 1.959963984540054 AS z FROM s),
+q AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM s),
 -- Student quantile by its expansion around the normal one
-t AS (SELECT *, z + (pow(z, 3) + z) / (4 * (n - 2)) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(n - 2, 2)) AS tq FROM q),
+t AS (SELECT *, z + (pow(z, 3) + z) / (4 * (n - 2)) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(n - 2, 2))
+  + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(n - 2, 3))
+  + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(n - 2, 4)) AS tq FROM q),
 b AS (SELECT o_orderkey, o_custkey, b0 + b1 * o_custkey AS y, tq * sqrt(s2 * (1 / n + pow(o_custkey - mx, 2) / (n * vx))) AS h FROM orders, t)
 SELECT o_orderkey, o_custkey::DOUBLE AS x, round(y, 3) AS y_predicted, round(y - h, 3) AS ci_lower, round(y + h, 3) AS ci_upper FROM b""",
     "ridge_by_customer": """WITH m AS (SELECT o_custkey, count(*) AS n, avg(o_orderkey) AS mx, avg(o_totalprice) AS my, stddev_pop(o_orderkey) AS sx,
