@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +18,9 @@ from statweave.plans.ordered import running
 from statweave.plans.quantiles import exact_quantiles
 
 
+MAX_PAIRS = 200
+
+
 def by_column(stats: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join two (keys, column, ...) tables; without groups they have one row per column."""
     return null_safe_join(stats, other if keys else F.broadcast(other), [*keys, "column"])
@@ -93,19 +97,22 @@ def correlation(
         for i, c in enumerate(targets)
     ]
     if method == "pearson":
-        cross = []
-        for i, (a, b) in enumerate(pairs):
-            both = quoted(a).isNotNull() & quoted(b).isNotNull()
-            x, y = F.when(both, quoted(a)), F.when(both, quoted(b))
-            # corr() divides by zero on a constant column, so r is put together from its parts.
-            r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            cross.append(F.coalesce(r, F.lit(0.0)).alias(f"_p{i}"))
-        one = wide.groupBy(*keys).agg(*own, *cross)
-        items = diagonal + [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_p{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-        table = one.select(*keys, F.inline(F.array(*items)))
+        # Many columns: several aggregates of bounded size instead of one that outgrows
+        # generated code; each reads only its own columns.
+        chunks = [pairs[i:i + MAX_PAIRS] for i in range(0, len(pairs), MAX_PAIRS)] or [[]]
+        tables = []
+        for number, chunk in enumerate(chunks):
+            cross, items = [], list(diagonal) if number == 0 else []
+            for i, (a, b) in enumerate(chunk):
+                both = quoted(a).isNotNull() & quoted(b).isNotNull()
+                x, y = F.when(both, quoted(a)), F.when(both, quoted(b))
+                # corr() divides by zero on a constant column, so r is put together from its parts.
+                r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+                cross.append(F.coalesce(r, F.lit(0.0)).alias(f"_p{i}"))
+                items.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_p{i}").alias("r")))
+            one = wide.groupBy(*keys).agg(*(own if number == 0 else []), *cross)
+            tables.append(one.select(*keys, F.inline(F.array(*items))))
+        table = reduce(DataFrame.unionByName, tables)
     elif method == "spearman":
         table = wide.groupBy(*keys).agg(*own).select(*keys, F.inline(F.array(*diagonal)))
         if pairs:
