@@ -17,6 +17,18 @@ from statweave.operators import (  # noqa: E402
 )
 from statweave.sources.tables import preview  # noqa: E402
 
+# The training-data operators are an optional part: their folder may be missing as a whole.
+try:
+    from corpus_pipeline import ORACLE_SQL, run  # noqa: E402
+    from statweave.llm.queries import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "statweave.llm", "statweave.llm.queries"):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": run}
+    LLM_ORACLES = LLM_ORACLES | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -300,7 +312,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "future_index_by_type": lambda s, d: day(forecast.future_index(
             forecast.prepare_series(daily_events(s, d), "day", "total", ["event_type"]), 7), "date"),
         "forecast_metrics_orders": lambda s, d: digits(forecast.forecast_metrics(priced_orders(s, d), "o_totalprice", "revised", ["o_orderstatus"]), 4),
-    }
+    } | LLM_QUERIES
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -309,4 +321,4 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES
