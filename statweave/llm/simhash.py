@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from statweave.llm.common import durable
+from statweave.llm.common import content_key, durable, without
 
 SHINGLE = 3
 SEED = 42
@@ -156,3 +156,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select(
         "doc_id", hexed("fp").alias("fingerprint"),
         F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of its class; all columns stay.
+
+    Of rows that repeat that ``doc_id`` within the class all stay, as nothing tells them
+    apart; so do the rows of a class without any ``doc_id``.
+    """
+    key = [F.col(doc_id).alias("doc_id"), *content_key(F.col(text))]
+    fps = durable(docs.select(*key, _fingerprints(F.col(text)).alias("fp")))
+    known = classes(fps).withColumnRenamed("fp", "of")
+    gone = fps.join(known, fps.fp == known.of).where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)")
+    return without(docs, gone, doc_id, text)
