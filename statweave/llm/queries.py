@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import chat, decontaminate, mixing, simhash
+from statweave.llm import chat, decontaminate, linededup, mixing, simhash
 from statweave.llm.common import table
 
 
@@ -34,11 +34,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_removed", F.length("left").cast("long").alias("n_chars"), F.sha2("left", 256).alias("left_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _CONTROL = r"[<\[]\\*(\|im_start\|>|\|im_sep\|>|\|im_next\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])"
