@@ -79,7 +79,7 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 
 def rates(wanted: DataFrame) -> DataFrame:
     """Add ``rate``: Newton's method on the dual, from lambda = 0."""
-    step = ("l - (1 - target / (source_size * exp(l)))")
+    step = "l - (1 - target / (source_size * exp(l)))"
     solved = f"aggregate(sequence(1, {NEWTON_STEPS}), 0D, (l, i) -> {step})"
     return wanted.withColumn(
         "rate", F.when(F.col("source_size") > 0, F.round(F.exp(F.expr(solved)), 12)).otherwise(0.0))
