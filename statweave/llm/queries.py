@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import chat, decontaminate, linededup, mixing, quality, simhash
-from statweave.llm.common import table
+from statweave.llm import chat, decontaminate, linededup, mixing, quality, simhash, topk
+from statweave.llm.common import WORD, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op5_topk": op5_topk,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
@@ -57,6 +62,16 @@ _CONTROL = r"[<\[]\\*(\|im_start\|>|\|im_sep\|>|\|im_next\|>|\|im_end\|>|\|endof
 _ESCAPED = f"(length({{0}}) + len(regexp_extract_all({{0}}, '{_CONTROL}')))"
 
 ORACLES: dict[str, str] = {
+    "op5_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op2_chat": f"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -71,4 +86,27 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum({_ESCAPED.format("text")} + CASE WHEN opens
     THEN {len(chat.START + chat.SEP + chat.END)} + {_ESCAPED.format("role")} ELSE {len(chat.NEXT)} END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
+    "op10_line_dedup": f"""
+WITH docs AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, unnest(ls) AS said, unnest(range(len(ls))) AS line FROM docs WHERE text IS NOT NULL
+), repeated AS (
+  SELECT *, len(regexp_extract_all(said, '{WORD}')) AS w FROM lines QUALIFY count(*) OVER (PARTITION BY said) > 1
+), pairs AS (
+  SELECT x.doc_id AS d, x.line AS l, x.w, y.doc_id AS e, x.line - y.line AS shift
+  FROM repeated x JOIN repeated y USING (said) WHERE y.doc_id < x.doc_id OR (y.doc_id = x.doc_id AND y.line < x.line)
+), islands AS (
+  SELECT *, l - row_number() OVER (PARTITION BY d, e, shift ORDER BY l) AS island FROM pairs
+), runs AS (
+  SELECT d, min(l) AS a, max(l) AS b FROM islands GROUP BY d, e, shift, island HAVING sum(w) >= {linededup.MIN_WORDS}
+), gone AS (
+  SELECT DISTINCT d, unnest(range(a, b + 1)) AS line FROM runs
+), remaining AS (
+  SELECT lines.doc_id, count(gone.line) AS n_removed,
+    coalesce(string_agg(said, chr(10) ORDER BY lines.line) FILTER (gone.line IS NULL), '') AS kept
+  FROM lines LEFT JOIN gone ON gone.d = lines.doc_id AND gone.line = lines.line GROUP BY lines.doc_id
+)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, length(kept) AS n_chars, sha256(kept) AS left_sha256
+FROM docs LEFT JOIN remaining USING (doc_id)""",
 }
