@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import chat, decontaminate, linededup, mixing, quality, simhash, topk
+from statweave.llm import chat, decontaminate, language, linededup, mixing, quality, simhash, topk
 from statweave.llm.common import WORD, table
 
 
@@ -32,6 +32,19 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identified(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("row.lang").alias("declared"), "language", "probability", "accepted")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for raw pages, where markup and addresses bear evidence."""
+    evidence = language.page_evidence(F.col("html"), F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", *[c.alias(name) for name, c in evidence.items()])
+    found = language.identified(pages, "text", "declared", "suffix", "host")
+    return found.select("row.page_id", "row.declared", "language", "probability", "accepted")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -53,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op5_topk": op5_topk,
+    "op6_language": op6_language,
+    "page_languages": page_languages,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
@@ -64,10 +79,10 @@ _ESCAPED = f"(length({{0}}) + len(regexp_extract_all({{0}}, '{_CONTROL}')))"
 ORACLES: dict[str, str] = {
     "op5_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
