@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import chat, decontaminate, language, linededup, mixing, quality, simhash, topk
-from statweave.llm.common import WORD, table
+from statweave.llm import chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, topk
+from statweave.llm.common import WORD, checkpoint_dir, content_key, durable, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.extracted(pages, extract.train(pages))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -45,6 +51,28 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.declared", "language", "probability", "accepted")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each sent twice: estimates on arrival, then exact counts, then later copies go."""
+    version, text = "byte_bpe_50k", F.col("text")
+    docs = durable(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.length(text).alias("chars"), *content_key(text),
+        rollup.token_count(spark)(text).alias("tokens")))
+    estimate, exact = (
+        rollup.counted(F.col("source"), F.col("lang"), version, F.col("chars"), tokens)
+        for tokens in (F.ceil(F.col("chars") / 4), F.col("tokens")))
+    firsts = docs.where("chars IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    later = docs.join(firsts.where("n > 1"), ["h1", "h2"]).where("doc_id <> first")
+    totals = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/token-totals-{uuid.uuid4().hex}")
+    batches = {
+        "0001-arrived": docs.select(*rollup.change("insert", after=estimate)),
+        "0002-counted": docs.select(*rollup.change("revise", estimate, exact)),
+        "0003-copies": later.select(*rollup.change("delete", before=exact)),
+    }
+    for batch, changes in [*batches.items(), *batches.items()]:
+        totals.commit(batch, changes)
+    return totals.totals()
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_extract": op4_extract,
     "op5_topk": op5_topk,
     "op6_language": op6_language,
+    "op7_token_counts": op7_token_counts,
     "page_languages": page_languages,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
