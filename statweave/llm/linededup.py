@@ -57,8 +57,11 @@ def positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """``key``, ``first`` of each class of equal keys with at least two positions."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
+    """``key``, ``first`` of each class of equal keys with at least two positions.
+
+    Written before it is joined, so that the join deals both sides anew and a large class can be split.
+    """
+    return durable(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n"))
 
 
 def levels(lines: DataFrame) -> list[DataFrame]:
@@ -106,8 +109,8 @@ def _refined(state: DataFrame, level: DataFrame, step: int) -> DataFrame:
     ahead = level.select(F.col("pos").alias("at"), F.col("rank").alias("r"))
     after = F.col("pos") + F.col("len")
     known = state.join(ahead, (after == F.col("at")) & (after <= F.col("last")), "left").drop("at")
-    classes = known.where("r IS NOT NULL").groupBy("len", "first", "r").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("start")).where("n > 1").drop("n")
+    classes = _repeated(known.where("r IS NOT NULL").select("len", F.col("first").alias("prefix"), "r", "pos"), "len", "prefix", "r")
+    classes = classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start"))
     joined = known.join(classes, ["len", "first", "r"], "left")
 
     def row(length: Column, first: Column) -> Column:
