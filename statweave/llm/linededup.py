@@ -59,64 +59,65 @@ def positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
     """``key``, ``first`` of each class of equal keys with at least two positions.
 
-    Written before it is joined, so that the join deals both sides anew and a large class can be split.
+    Dealt out by another column in the end, so that a join on ``key`` deals both sides anew and
+    Spark can split a large class.
     """
-    return durable(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n"))
+    classes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
+    return classes.drop("n").repartition("first")
 
 
 def levels(lines: DataFrame) -> list[DataFrame]:
-    """Prefix doubling: per level the rows (``pos``, ``last``, ``rank``, ``first``)."""
+    """Prefix doubling: per level the rows (``pos``, ``last``, ``rank``, ``first``, ``size``).
+
+    ``size``, the number of lines compared, is a column: all rounds then run the same compiled code.
+    """
     found = _repeated(lines, "a", "b")
-    level = durable(lines.join(found, ["a", "b"]).select("pos", "last", F.col("first").alias("rank"), "first"))
+    level = durable(lines.join(found, ["a", "b"]).select(
+        "pos", "last", F.col("first").alias("rank"), "first", F.lit(1).cast("long").alias("size")))
     out = []
     while not level.isEmpty():
         out.append(level)
-        step = 1 << (len(out) - 1)
-        ahead = level.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
-        pairs = level.where(F.col("pos") + step <= F.col("last")).select(
-            "pos", "last", F.col("rank").alias("r1")).join(ahead, "pos")
-        classes = _repeated(pairs, "r1", "r2")
+        ahead = level.select((F.col("pos") - F.col("size")).alias("pos"), F.col("rank").alias("r2"))
+        pairs = level.where("pos + size <= last").select("pos", "last", F.col("rank").alias("r1"), "size").join(ahead, "pos")
+        classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
         # Row numbers of the sorted pairs keep their order.
-        ranked = classes.repartitionByRange(partitions(lines), "r1", "r2").sortWithinPartitions("r1", "r2").withColumn(
-            "rank", F.monotonically_increasing_id())
-        level = durable(pairs.join(ranked, ["r1", "r2"]).select("pos", "last", "rank", "first"))
+        ranked = classes.repartitionByRange(partitions(lines), "r1", "r2").sortWithinPartitions("r1", "r2").select(
+            "r1", "r2", "first", F.monotonically_increasing_id().alias("rank"))
+        level = durable(pairs.join(ranked, ["r1", "r2"]).select(
+            "pos", "last", "rank", "first", (F.col("size") * 2).alias("size")))
     return out
 
 
-def longest_repeats(doubling: list[DataFrame], spark) -> DataFrame:
+def longest_repeats(doubling: list[DataFrame]) -> DataFrame:
     """(``pos``, ``len``, ``first``): the longest run at ``pos`` that also starts at an earlier position, ``first``."""
-    schema = "pos long, last long, len long, first long"
-    state, above = spark.createDataFrame([], schema), None
-    for m in range(len(doubling) - 1, -1, -1):
-        level, step = doubling[m], 1 << m
-        if above is not None:
-            state = _refined(state, level, step)
+    state = above = None
+    for level in reversed(doubling):
         # Positions whose longest power of two with an earlier copy is this one, and their witnesses.
         new = level.where("pos <> first")
         if above is not None:
-            new = new.join(above, "pos", "left_anti")
-        new = new.select("pos", "last", F.lit(step).cast("long").alias("len"), "first")
+            new = new.join(above.where("pos <> first").select("pos"), "pos", "left_anti")
+        new = new.select("pos", "last", F.col("size").alias("len"), "first")
         seen = new.select(F.col("first").alias("pos"), "len", "first").distinct()
         witnesses = level.where("pos = first").select("pos", "last").join(seen, "pos").select("pos", "last", "len", "first")
-        state = durable(state.unionByName(new).unionByName(witnesses))
-        above = level.where("pos <> first").select("pos")
+        new = new.unionByName(witnesses)
+        state = durable(new if state is None else new.unionByName(_refined(state, level)))
+        above = level
     return state.where("pos <> first").groupBy("pos").agg(
         F.max("len").alias("len"), F.max_by("first", "len").alias("first"))
 
 
-def _refined(state: DataFrame, level: DataFrame, step: int) -> DataFrame:
-    """Split each interval of ``state`` by the rank of the ``step`` lines that follow its prefix."""
-    ahead = level.select(F.col("pos").alias("at"), F.col("rank").alias("r"))
+def _refined(state: DataFrame, level: DataFrame) -> DataFrame:
+    """Split each interval of ``state`` by the rank of the next ``size`` lines behind its prefix."""
+    ahead = level.select(F.col("pos").alias("at"), F.col("rank").alias("r"), "size")
     after = F.col("pos") + F.col("len")
     known = state.join(ahead, (after == F.col("at")) & (after <= F.col("last")), "left").drop("at")
     classes = _repeated(known.where("r IS NOT NULL").select("len", F.col("first").alias("prefix"), "r", "pos"), "len", "prefix", "r")
-    classes = classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start"))
-    joined = known.join(classes, ["len", "first", "r"], "left")
+    joined = known.join(classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start")), ["len", "first", "r"], "left")
 
     def row(length: Column, first: Column) -> Column:
         return F.struct("pos", "last", length.alias("len"), first.alias("first"))
 
-    old, new = row(F.col("len"), F.col("first")), row(F.col("len") + step, F.col("start"))
+    old, new = row(F.col("len"), F.col("first")), row(F.col("len") + F.col("size"), F.col("start"))
     return joined.select(F.inline(
         F.when(F.col("start").isNull(), F.array(old))
         .when(F.col("start") == F.col("pos"), F.array(old, new)).otherwise(F.array(new))))
@@ -129,7 +130,7 @@ def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     if not doubling:
         return lines.where("false").select(*KEY, F.array(F.struct(
             F.lit(0).alias("start"), F.lit(0).alias("stop"))).alias("ranges"))
-    runs = longest_repeats(doubling, docs.sparkSession)
+    runs = longest_repeats(doubling)
     ends = lines.select(F.col("pos").alias("end"), F.col("upto").alias("total"))
     spans = runs.withColumn("end", F.col("pos") + F.col("len") - 1).join(ends, "end").select("pos", "end", "total")
     starts = lines.select(*KEY, "line", "pos", (F.col("upto") - F.col("w")).alias("before"))

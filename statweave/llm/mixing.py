@@ -36,6 +36,8 @@ SHARE = 1.5
 MOST = 2
 NEWTON_STEPS = 60
 BUCKETS = 256
+#: Sources up to which their decisions, under 2 KB each, are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -122,7 +124,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = durable(sizes(docs, doc_id, text, source))
     rated = rates(targets(sized, weights, share, most))
     tilted = rated.select(F.col("source").alias("of"), "source_size", "target", "rate")
-    by_source = cuts(sized, rated).join(tilted, F.col("source").eqNullSafe(F.col("of"))).drop("source")
+    by_source = durable(cuts(sized, rated).join(tilted, F.col("source").eqNullSafe(F.col("of"))).drop("source"))
+    if by_source.count() <= BROADCAST_SOURCES:  # else a shuffle, in which Spark can split a large source
+        by_source = F.broadcast(by_source)
     found = sized.select("*", *_cell()).join(by_source, F.col("source").eqNullSafe(F.col("of")))
     more = F.when(F.col("bucket") < F.col("cut")[F.col("class")], 1).otherwise(0)
     copies = F.least(F.floor("rate") + more, F.lit(most))

@@ -84,9 +84,17 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, l2: float) -> np.ndarray:
 
 
 def _grid_tree(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
-    """The same over a grid: one cut across the rows, then on either side a tree along the columns."""
-    gl, hl = np.cumsum(g.sum(1))[:-1], np.cumsum(h.sum(1))[:-1]
-    at = int((gl**2 / (hl + l2) + (g.sum() - gl) ** 2 / (h.sum() - hl + l2)).argmax()) + 1 if len(g) > 1 else len(g)
+    """The same over a grid: one cut across the rows, and on either side one along the columns.
+
+    The three cuts are chosen together, so that a pure interaction is found as well.
+    """
+    def best(left_g: np.ndarray, left_h: np.ndarray) -> np.ndarray:
+        """Gain of the best column cut, from column-cumulated sums; one per row cut."""
+        right_g, right_h = left_g[:, -1:] - left_g, left_h[:, -1:] - left_h
+        return (left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2)).max(axis=1)
+
+    cg, ch = g.cumsum(0).cumsum(1), h.cumsum(0).cumsum(1)
+    at = int((best(cg, ch) + best(cg[-1] - cg, ch[-1] - ch)).argmax()) + 1
     parts = [np.tile(_tree(g[a:b].sum(0), h[a:b].sum(0), 1, l2), (b - a, 1)) for a, b in ((0, at), (at, len(g))) if b > a]
     return np.concatenate(parts)
 
