@@ -103,11 +103,25 @@ def rounded(df: DataFrame, digits: int | None) -> DataFrame:
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+# Accepted text formats, month first, tried in this order after ISO 8601.
+DATE_FORMATS = (
+    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "yyyy/M/d", "yyyy/M/d H:mm:ss",
+    "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy",
+)
+
+
+def date_of_text(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Text as TIMESTAMP_NTZ: ISO first, then ``formats`` in turn; unreadable text is NULL."""
+    tries = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    # A bare number such as "2024" casts to a year; it is not taken for a date.
+    return F.when(~c.rlike(r"^\s*\d{1,6}\s*$"), F.coalesce(c.try_cast("timestamp_ntz"), *tries))
+
+
 def wall_clock(df: DataFrame, name: str) -> Column:
-    """Date-like column as TIMESTAMP_NTZ; text is parsed, unreadable text is NULL."""
+    """Date-like column as TIMESTAMP_NTZ; text is parsed as by :func:`date_of_text`."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        return F.expr(f"try_cast(`{name}` AS timestamp_ntz)")
+        return date_of_text(quoted(name))
     if isinstance(dtype, _TIME):
         return quoted(name).cast("timestamp_ntz")
     raise ValueError(f"column {name!r} cannot be read as a date")

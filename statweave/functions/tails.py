@@ -110,10 +110,27 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return min(1.0, math.exp(log_front) / a * _fraction(step, 0.0))
 
 
+#: From here on the uniform expansion is used: its error falls as s^(-3/2), series grow as s^(1/2).
+LARGE_SHAPE = 1e5
+
+
+def _gamma_sf_large(s: float, x: float) -> float:
+    """Q(s, x) by the leading terms of the uniform asymptotic expansion in 1/s."""
+    m = (x - s) / s
+    # m - ln(1 + m), without cancellation near 0.
+    gap = m * m * (0.5 - m * (1 / 3 - m * (0.25 - m * 0.2))) if abs(m) < 1e-3 else m - math.log1p(m)
+    eta = math.copysign(math.sqrt(2.0 * gap), m)
+    near = -1 / 3 + eta / 12 if abs(eta) < 1e-3 else 1 / m - 1 / eta
+    rest = math.exp(-0.5 * s * eta * eta) / math.sqrt(2 * math.pi * s) * near
+    return min(1.0, max(0.0, 0.5 * math.erfc(eta * math.sqrt(s / 2.0)) + rest))
+
+
 def gamma_sf(s: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(s, x)."""
     if not x > 0.0:
         return 1.0
+    if s >= LARGE_SHAPE:
+        return _gamma_sf_large(s, x)
     front = math.exp(s * math.log(x) - x - math.lgamma(s))
     if x < s + 1.0:
         term = total = 1.0 / s

@@ -8,7 +8,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import (
+    DATE_FORMATS, date_of_text,
     as_double, clean, melt, numbers, numeric_columns, quoted, ratio, require_numeric, string_columns,
 )
 from statweave.plans.joins import BROADCAST_ROWS, attach, few_groups, join_by_value, null_safe_join
@@ -21,13 +23,6 @@ class Cleaned(NamedTuple):
     report: DataFrame
 
 
-# Accepted text formats, month first, tried in this order after ISO 8601.
-DATE_FORMATS = (
-    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "yyyy/M/d", "yyyy/M/d H:mm:ss",
-    "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy",
-)
-
-
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -50,10 +45,7 @@ def promote_dates(
         return df
 
     def parsed(c: str) -> Column:
-        iso = F.col(f"`{c}`").try_cast("timestamp_ntz")
-        tries = [F.try_to_timestamp(quoted(c), F.lit(f)).cast("timestamp_ntz") for f in formats]
-        # A bare number such as "2024" casts to a year; it is not taken for a date.
-        return F.when(~quoted(c).rlike(r"^\s*\d{1,6}\s*$"), F.coalesce(iso, *tries))
+        return date_of_text(quoted(c), formats)
 
     # One pass over all text columns; the driver receives one row of shares.
     shares = df.agg(*[
@@ -84,6 +76,7 @@ def _spread(long: DataFrame, columns: Sequence[str], values: dict[str, Column],
     ])
 
 
+@reserved_keys
 def fill_missing(
     df: DataFrame, strategy: str = "mean", columns: Sequence[str] | None = None,
     group_by: Sequence[str] = (),
@@ -137,6 +130,7 @@ def _outside(df: DataFrame, c: str, i: int) -> Column:
     return F.coalesce((x < F.col(f"_lo{i}")) | (x > F.col(f"_hi{i}")), F.lit(False))
 
 
+@reserved_keys
 def outlier_report(
     df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -160,6 +154,7 @@ def outlier_report(
     )
 
 
+@reserved_keys
 def remove_outliers(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = ()) -> Cleaned:
     """Keep rows whose listed values are all inside their limits or missing."""
     targets = numeric_columns(df, columns, exclude=group_by)
@@ -223,11 +218,13 @@ def _scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str], centre, w
     return rows.select(*[scaled(c) if c in place else quoted(c) for c in df.columns])
 
 
+@reserved_keys
 def scale_standard(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
     """(x − mean) / population standard deviation; a constant column becomes 0."""
     return _scale(df, columns, group_by, F.avg, F.stddev_pop)
 
 
+@reserved_keys
 def scale_minmax(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
     """(x − min) / (max − min); a constant column becomes 0."""
     return _scale(df, columns, group_by, F.min, lambda c: F.max(c) - F.min(c))

@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import (
     clean, kind_of, melt, numbers, numeric_columns, quoted, ratio, rounded,
 )
@@ -34,6 +35,7 @@ def unbiased_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * g2 + 6.0))
 
 
+@reserved_keys
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = (),
     digits: int | None = None, exact: bool = True,
@@ -81,6 +83,7 @@ def _mirrored(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     ))).alias("p"), "r").select(*[quoted(k) for k in keys], "p.*", "r")
 
 
+@reserved_keys
 def correlation(
     df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None,
     group_by: Sequence[str] = (), digits: int | None = None,
@@ -154,6 +157,7 @@ def _rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], group_by:
     return sums.select(*by, F.coalesce(r, F.lit(0.0)).alias("r"))
 
 
+@reserved_keys
 def value_counts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
     """(column, value, count, share) of the non-missing values."""
     keys = [quoted(k) for k in group_by]
@@ -167,6 +171,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]
     )
 
 
+@reserved_keys
 def contingency(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
     """(value_a, value_b, count) where both values are present."""
     return df.select(
@@ -186,6 +191,7 @@ def check_categorical(df: DataFrame, columns: Sequence[str], limit: int = 20) ->
             raise ValueError(f"column {c!r} is numeric with more than {limit} distinct values")
 
 
+@reserved_keys
 def histogram(
     df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30, group_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -214,6 +220,7 @@ def histogram(
     )
 
 
+@reserved_keys
 def ecdf(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """(column, x, ecdf) at every distinct value."""
     targets = numeric_columns(df, columns, exclude=group_by)
@@ -223,6 +230,7 @@ def ecdf(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence
     return run.select(*[quoted(k) for k in keys], "x", ratio(F.col("cum_w"), F.col("tot_w")).alias("ecdf"))
 
 
+@reserved_keys
 def box_summary(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and number of outliers."""
     targets = numeric_columns(df, columns, exclude=group_by)
@@ -249,6 +257,7 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None, group_by: S
     )
 
 
+@reserved_keys
 def quantile_grid(
     df: DataFrame, columns: Sequence[str] | None = None, parts: int = 10, group_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -259,6 +268,7 @@ def quantile_grid(
     return q.select(*[quoted(k) for k in group_by], "column", F.array_distinct("q").alias("edges"))
 
 
+@reserved_keys
 def upper_median(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """(column, value): the element at position n // 2 of the sorted values."""
     targets = numeric_columns(df, columns, exclude=group_by)

@@ -6,14 +6,14 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import melt, numeric_columns, quoted, ratio
 from statweave.functions.tails import chi2_p, kolmogorov_sf, normal_cdf_of
 from statweave.plans.joins import attach, few_groups, null_safe_join
-from statweave.plans.ordered import running
+from statweave.plans.ordered import running, with_next
 
 MIN_VALUES = 5
 LOC_GRID = 24
@@ -78,69 +78,41 @@ def _poisson_pmf(k: pd.Series, lam: pd.Series) -> pd.Series:
     ], dtype=float)
 
 
-def _merge_bins(keys: Sequence[str]):
-    """Greedy merge of neighbouring bins until the expected count reaches 5."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        observed, expected, o_acc, e_acc = [], [], 0.0, 0.0
-        for o, e in zip(pdf["o"], pdf["e"]):
-            o_acc, e_acc = o_acc + o, e_acc + e
-            if e_acc >= 5:
-                observed.append(o_acc)
-                expected.append(e_acc)
-                o_acc = e_acc = 0.0
-        if expected:
-            observed[-1] += o_acc
-            expected[-1] += e_acc
-        o, e = np.array(observed), np.array(expected)
-        stat = float(((o - e) ** 2 / e).sum()) if len(o) > 2 else None
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "chi2": [stat], "bins": [float(len(o))]})
-
-    return merge
+BIN = 10.0
+LEAST_EXPECTED = 5.0
 
 
 def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """(keys, lambda, statistic, p_value) for columns of non-negative integers.
 
-    Expected counts cover the whole law: each observed value k also takes the mass of
-    the unobserved values below it, and the last one the upper tail, so totals agree.
-    Values further than 40 standard deviations out share one cell per side, which
-    bounds the table at about 80·√λ rows per key however many values occur.
+    Expected counts cover the whole law: an observed value also takes the mass of the
+    unobserved ones up to the next, the first also what lies below it, so totals agree.
+    Bins are cut where the running expectation passes a multiple of ``BIN``. One value may
+    carry the expectation far beyond a cut; what then remains of the next bin can be under
+    ``LEAST_EXPECTED``, and belongs to the bin before, which is never that small itself.
     """
     by = _by(keys)
     usable = stats.where(F.col("whole") & (F.col("min") >= 0)).select(
-        *by, F.col("mean").alias("lam"), F.col("n").alias("n")
+        *by, F.col("mean").alias("lam"), F.col("n").alias("n"), F.col("min").alias("_first")
     )
     rows = attach(counts, usable, keys, small=small).where(F.col("lam").isNotNull())
-    reach = 40 * (F.sqrt("lam") + 1)
-    near = F.greatest(F.floor(F.col("lam") - reach), F.least(F.ceil(F.col("lam") + reach), F.col("x")))
-    cells = rows.groupBy(*by, F.greatest(F.lit(0), near).cast("long").alias("k")).agg(F.sum("w").alias("o"))
-    # The law on 0 … λ + reach, and for each of its points the observed cell it falls to.
-    frame = usable.select(*by, "lam", "n", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.floor(F.col("lam") - reach)).cast("long"), F.ceil(F.col("lam") + reach).cast("long")
-    )).alias("k")).withColumn("_pmf", _poisson_pmf(F.col("k").cast("double"), "lam"))
-    joined = null_safe_join(frame, cells, [*keys, "k"])
-    schema = T.StructType([
-        *[f for f in frame.schema.fields if f.name in set(keys)],
-        T.StructField("chi2", T.DoubleType()), T.StructField("bins", T.DoubleType()),
-    ])
-
-    def cells_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        cell = (pdf["o"].fillna(0) > 0).to_numpy()
-        owner = np.minimum(np.cumsum(cell) - cell, cell.sum() - 1)
-        grouped = pd.DataFrame({
-            "k": owner, "o": pdf["o"].fillna(0).to_numpy(float), "e": pdf["_pmf"].to_numpy(float) * float(pdf["n"].iloc[0])
-        }).groupby("k", as_index=False).sum()
-        total = float(pdf["n"].iloc[0])
-        grouped.loc[grouped.index[-1], "e"] += total - grouped["e"].sum()
-        return grouped.assign(**{k: pdf[k].iloc[0] for k in keys})
-
-    merge = _merge_bins(keys)
-    tested = joined.groupBy(*by).applyInPandas(lambda pdf: merge(cells_of(pdf)), schema)
-    out = null_safe_join(usable.select(*by, "lam"), tested, keys).where(F.col("chi2").isNotNull())
-    return out.withColumn("_df", F.col("bins") - 2).select(
+    rows = with_next(rows, keys, "x", ["x"])
+
+    def below(x: Column) -> Column:
+        """Expected number of values under x: the Poisson law through the gamma tail."""
+        return F.col("n") * chi2_p(2 * F.col("lam"), 2 * x)
+
+    rows = rows.withColumn("_lo", F.when(F.col("x") > F.col("_first"), below(F.col("x"))).otherwise(0.0)).withColumn(
+        "_hi", F.when(F.col("next_x").isNull(), F.col("n").cast("double")).otherwise(below(F.col("next_x"))))
+    bins = rows.groupBy(*by, F.floor(F.col("_lo") / BIN).alias("_bin")).agg(
+        F.sum("w").alias("o"), (F.max("_hi") - F.min("_lo")).alias("e"))
+    bins = with_next(bins, keys, "_bin", ["o", "e"])
+    rest = F.col("next_e") < LEAST_EXPECTED
+    o = F.col("o") + F.when(rest, F.col("next_o")).otherwise(0)
+    e = F.col("e") + F.when(rest, F.col("next_e")).otherwise(0.0)
+    tested = bins.where(F.col("e") >= LEAST_EXPECTED).groupBy(*by).agg(
+        F.sum((o - e) * (o - e) / e).alias("chi2"), F.count(F.lit(1)).alias("bins")).where("bins > 2")
+    return null_safe_join(usable.select(*by, "lam"), tested, keys, "inner").withColumn("_df", F.col("bins") - 2).select(
         *by, F.col("lam").alias("lambda"), F.col("chi2").alias("statistic"), chi2_p("chi2", "_df").alias("p_value")
     )
 
@@ -189,6 +161,7 @@ def _continuous(
     ]))).where(F.col("statistic").isNotNull()).withColumn("p_value", kolmogorov_sf("_lam")).drop("_lam")
 
 
+@reserved_keys
 def fit_distributions(
     df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = (),
     candidates: Sequence[str] = ("norm", "lognorm", "expon", "poisson"),

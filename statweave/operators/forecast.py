@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import as_double, quoted, ratio
 from statweave.operators.timeseries import (
     _frequency, _frequency_facts, _least_squares, _steps, points, positions, summed_arrays,
@@ -194,6 +195,7 @@ def _attach_by_join(rows: DataFrame, stats: DataFrame, series: Series) -> DataFr
     return rows.withColumn("_all", F.lit(0)).join(F.broadcast(stats.withColumn("_all", F.lit(0))), "_all").drop("_all")
 
 
+@reserved_keys
 def holt(
     df: DataFrame, date: str, value: str, steps: int, group_by: Sequence[str] = (), rounds: int = 3,
     block: int = HOLT_BLOCK,
@@ -278,10 +280,6 @@ def _long_order(n: int) -> int:
     return max(1, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 4))
 
 
-def _short_order(n: int) -> int:
-    return 3 if n >= 24 else 2 if n >= 16 else 1 if n >= 12 else 0
-
-
 def _kpss_lags(n: int) -> int:
     return int(4.0 * (n / 100.0) ** 0.25)
 
@@ -342,7 +340,7 @@ def _stage_one(n: int, sums: np.ndarray) -> tuple[int, np.ndarray]:
 
 def _second_design(y: np.ndarray, n: int, d: int, ar: np.ndarray, halo: int, at: int):
     """(design [1, z lags, e lags, z], y rows, e) over the rows with complete lags."""
-    order, short = len(ar) - 1, _short_order(n)
+    order, short = len(ar) - 1, MAX_ORDER
     z = np.diff(y, n=d)
     e = np.full(len(z), np.nan)
     if len(z) > order:
@@ -363,7 +361,7 @@ def _roots_outside(coefficients: np.ndarray, sign: float) -> bool:
 
 def _stage_two(n: int, d: int, gram: np.ndarray, rows: float) -> dict:
     """Best (p, q) by AIC among stationary, invertible candidates."""
-    short = _short_order(n)
+    short = MAX_ORDER
     g = gram.reshape(2 * short + 2, 2 * short + 2)
     base = [0] if d < 2 else []
     best = None
@@ -431,6 +429,7 @@ def _solve_two(n: pd.Series, d: pd.Series, sums: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([f or dict.fromkeys(_TWO.names) for f in found], columns=_TWO.names)
 
 
+@reserved_keys
 def arima(
     df: DataFrame, date: str, value: str, steps: int, confidence: float = 0.95, group_by: Sequence[str] = (),
     block: int = ARIMA_BLOCK,
@@ -493,7 +492,7 @@ def arima(
         n, d, at = int(param["n"]), int(param["d"]), int(pdf["pos"].iloc[0])
         y = pdf["y"].to_numpy(float)
         x, actual, z, e = _second_design(y, n, d, np.asarray(param["ar"], float), int(pdf["_halo"].sum()), at)
-        short = _short_order(n)
+        short = MAX_ORDER
         phi, theta = np.asarray(param["phi"], float), np.asarray(param["theta"], float)
         fit = param["const"] + x[:, 1:1 + len(phi)] @ phi + x[:, 1 + short:1 + short + len(theta)] @ theta
         out = _error_sums(actual, x[:, -1] - fit)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions import closed
 from statweave.functions.columns import (
     as_double, clean, melt, numeric_columns, quoted, ratio, require_numeric,
@@ -228,6 +229,7 @@ def second_pass(
     return rows.groupBy(*_by(s)).agg(*[F.max(c).alias(c) for c in carry], *aggs)
 
 
+@reserved_keys
 def normality_k2(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """D'Agostino–Pearson test per column, from one pass of moments."""
     targets = numeric_columns(df, columns, exclude=group_by)
@@ -335,6 +337,7 @@ def shapiro_of_long(long: DataFrame, keys: Sequence[str], small: bool) -> DataFr
     return shapiro_of_counts(value_counts_of(long, keys), keys, small).drop("mean", "ss")
 
 
+@reserved_keys
 def shapiro(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """Shapiro–Wilk test per column on all values."""
     targets = numeric_columns(df, columns, exclude=group_by)
@@ -472,6 +475,7 @@ def _differences(df: DataFrame, a: str, b: str, group_by: Sequence[str]) -> Data
     ).where(F.col("x").isNotNull())
 
 
+@reserved_keys
 def paired_t(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Paired t-test of column a − column b with the effect |mean / sd|."""
     keys = [*group_by, "column"]
@@ -481,6 +485,7 @@ def paired_t(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> Dat
     return paired_t_of(stats, keys)
 
 
+@reserved_keys
 def wilcoxon(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
     keys = [*group_by, "column"]
     return wilcoxon_of_counts(value_counts_of(_differences(df, a, b, group_by), keys), keys)
@@ -516,6 +521,7 @@ def chi_square_finish(
     )
 
 
+@reserved_keys
 def chi_square(
     df: DataFrame, a: str, b: str, group_by: Sequence[str] = (), thresholds: Thresholds = DEFAULT
 ) -> DataFrame:

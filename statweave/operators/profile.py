@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import (
     clean, columns_of_kind, kind_of, quoted, ratio, string_columns,
 )
@@ -27,11 +28,13 @@ def _counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataF
     return wide.select(*[quoted(k) for k in keys], F.inline(F.array(*items)))
 
 
+@reserved_keys
 def profile(df: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """One row per column: kind, data type, rows, non-missing count."""
     return _counts(df, [c for c in df.columns if c not in set(group_by)], group_by)
 
 
+@reserved_keys
 def missing_profile(df: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """One row per column: missing count and percent of all rows."""
     counts = profile(df, group_by)

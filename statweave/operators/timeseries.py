@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import as_double, columns_of_kind, epoch_micros, quoted, wall_clock
 from statweave.functions.labels import DEFAULT, frequency_name
 from statweave.plans.calendar import DAY, TICKS, bucket_number, label, origin_unit, parse_frequency, unit_number
@@ -134,6 +135,7 @@ def _report(found: DataFrame, keys: Sequence[str], head: list[Column], missing:
     )
 
 
+@reserved_keys
 def validate_series(df: DataFrame, date: str, value: str, group_by: Sequence[str] = ()) -> DataFrame:
     """One row per series: points, range, inferred frequency, gaps, missing values, advice."""
     keys = list(group_by)
@@ -185,6 +187,7 @@ def _buckets(df: DataFrame, date: str, value: str, freq: str, agg: str, keys: Se
     return placed.groupBy(*by).agg(F.first("origin").alias("origin"), reducers[agg].alias("v"))
 
 
+@reserved_keys
 def resample(
     df: DataFrame, date: str, value: str, freq: str = "D", agg: str = "mean", fill: str = "interpolate",
     group_by: Sequence[str] = (),
@@ -236,6 +239,7 @@ def resample(
     return rows.select(*by, label(F.col("origin"), j, freq).alias("date"), filled.alias("value"), was_filled.alias("was_filled"))
 
 
+@reserved_keys
 def resample_report(
     df: DataFrame, date: str, value: str, freq: str = "D", agg: str = "mean", fill: str = "interpolate",
     group_by: Sequence[str] = (),
@@ -380,6 +384,7 @@ def _adf_result(n: pd.Series, gram: pd.Series, head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_ADF.names)
 
 
+@reserved_keys
 def adf_test(
     df: DataFrame, column: str, order_by: Sequence[str], group_by: Sequence[str] = (), alpha: float = DEFAULT.alpha,
     block: int = BLOCK,

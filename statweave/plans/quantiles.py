@@ -27,12 +27,17 @@ def order_statistics(
     return picks
 
 
+def between(lo: str, hi: str, share: str) -> str:
+    """Interpolation that is exact beside infinities: no arithmetic where none is needed."""
+    return f"CASE WHEN {share} = 0 OR {hi} = {lo} THEN {lo} ELSE {lo} + {share} * ({hi} - {lo}) END"
+
+
 def interpolated(total: str, probs: Sequence[float], prefix: str) -> Column:
     """Array of quantiles from the aggregates of :func:`order_statistics`."""
     parts = []
     for i, p in enumerate(probs):
         h, lo, hi = f"{float(p)!r}D * ({total} - 1)", f"{prefix}lo{i}", f"{prefix}hi{i}"
-        parts.append(f"CASE WHEN {total} > 0 THEN {lo} + ({h} - floor({h})) * ({hi} - {lo}) END")
+        parts.append(f"CASE WHEN {total} > 0 THEN {between(lo, hi, f'({h} - floor({h}))')} END")
     return F.expr(f"array({', '.join(parts)})")
 
 
@@ -103,7 +108,7 @@ def _bracketed(wide: DataFrame, columns: Sequence[str], probs: Sequence[float])
     value = F.expr(
         "CASE WHEN n > 0 THEN CASE WHEN lo IS NULL OR hi IS NULL "
         "THEN cast(raise_error('a quantile fell outside its bracket') AS double) "
-        "ELSE lo + (_h - floor(_h)) * (hi - lo) END END"
+        f"ELSE {between('lo', 'hi', '(_h - floor(_h))')} END END"
     )
     names = F.array(*[F.lit(c) for c in columns])
     return per.withColumn("q", value).groupBy("_j").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from statweave.functions.columns import clean, columns_of_kind, quoted
 
 SEPARATORS = (",", ";", "\t", "|")
+QUOTED = re.compile(r'"(?:[^"]|"")*"')
 
 
 def detect_separator(spark: SparkSession, path: str, encoding: str = "utf-8", lines: int = 20) -> str:
-    """The separator that occurs equally often, and most often, in the first lines."""
-    head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(lines).collect() if r[0]]
+    """The separator that occurs equally often, and most often, in the first lines, quoted fields aside."""
+    read = spark.read.option("encoding", encoding).text(path).limit(lines).collect()
+    head = [QUOTED.sub("", r[0]) for r in read if r[0]]
     best, best_count = ",", 0
     for sep in SEPARATORS:
         counts = {line.count(sep) for line in head}
