@@ -101,11 +101,12 @@ def new_categories(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = N
 
 
 def quality(
-    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT
+    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT,
+    shown: int = 5,
 ) -> DataFrame:
     """Missing percent per common column on both sides, and how many text values are new in B.
 
-    ``first_new_categories`` shows up to five of them in order; :func:`new_categories`
+    ``first_new_categories`` shows up to ``shown`` of them in order; :func:`new_categories`
     gives all as rows, since their number has no bound.
     """
     shared = common_columns(a, b)
@@ -114,9 +115,9 @@ def quality(
     other = _missing_percent(b, targets, "missing_compare_pct")
     fresh = new_categories(a, b, targets)
     counts = fresh.groupBy("column").agg(F.count(F.lit(1)).alias("_new"))
-    # Spark cuts each task's rows to the first five before the shuffle.
+    # Spark cuts each task's rows to the first few before the shuffle.
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    head = fresh.withColumn("_r", place).where(F.col("_r") <= 5).groupBy("column").agg(
+    head = fresh.withColumn("_r", place).where(F.col("_r") <= shown).groupBy("column").agg(
         F.array_sort(F.collect_list("value")).alias("_head")
     )
     # All sides have at most one row per column.
@@ -173,13 +174,22 @@ def _psi_value() -> Column:
     return F.expr(f"CASE WHEN {usable} THEN aggregate({terms}, 0D, (s, v) -> s + v) ELSE 0D END")
 
 
-def psi(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
-    """Population stability index of every common numeric column over the deciles of A."""
+def psi(
+    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, thresholds: Thresholds = DEFAULT,
+    min_rows: int = PSI_BUCKETS,
+) -> DataFrame:
+    """Population stability index of every common numeric column over the deciles of A.
+
+    With under ten values on a side the index is 0; below ``min_rows`` the label is
+    ``insufficient_data``, so that little data does not read as no drift.
+    """
     targets = [c for c in common_columns(a, b)["numeric"] if columns is None or c in set(columns)]
     s = two_sides(a, b, targets)
     first = rank_statistics(s, _DECILES, medians=False)
     binned = second_pass(s, first, _psi_counts(), ["n_a", "n_b"], _psi_bin())
-    return binned.select("column", _psi_value().alias("psi")).withColumn("psi_label", psi_label(F.col("psi"), thresholds))
+    valued = binned.select("column", _psi_value().alias("psi"), F.least("n_a", "n_b").alias("_n"))
+    label = F.when(F.col("_n") < min_rows, "insufficient_data").otherwise(psi_label(F.col("psi"), thresholds))
+    return valued.withColumn("psi_label", label).drop("_n")
 
 
 class Pairing(NamedTuple):

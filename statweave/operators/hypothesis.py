@@ -523,10 +523,14 @@ def chi_square_finish(
 
 @reserved_keys
 def chi_square(
-    df: DataFrame, a: str, b: str, group_by: Sequence[str] = (), thresholds: Thresholds = DEFAULT
+    df: DataFrame, a: str, b: str, group_by: Sequence[str] = (), thresholds: Thresholds = DEFAULT,
+    max_numeric_levels: int = 20,
 ) -> DataFrame:
-    """χ² independence test of two categorical columns, Yates-corrected for 2×2 tables."""
-    check_categorical(df, [a, b])
+    """χ² independence test of two categorical columns, Yates-corrected for 2×2 tables.
+
+    Numeric columns with more than ``max_numeric_levels`` distinct values are refused.
+    """
+    check_categorical(df, [a, b], max_numeric_levels)
     keys = list(group_by)
     by = [quoted(k) for k in keys]
     cells = contingency(df, a, b, keys)

@@ -22,7 +22,7 @@ from statweave.operators.hypothesis import shapiro_of_long
 from statweave.plans.joins import attach, few_groups, join_results
 from statweave.plans.ordered import with_next
 
-SMALL_SAMPLE = 50
+RIDGE_BELOW = 50  # default of fit_linear
 MIN_ROWS = 3
 
 
@@ -36,6 +36,7 @@ class Fit(NamedTuple):
     features: tuple[str, ...]
     group_by: tuple[str, ...]
     small: bool
+    ridge_below: float = RIDGE_BELOW
 
 
 def _doubles(*names: str) -> list[T.StructField]:
@@ -94,7 +95,7 @@ def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool
         sd = scale / np.sqrt(n)[:, None]
         z = sxx / (sd[:, :, None] * sd[:, None, :]) + np.eye(p)
         ridge = np.linalg.solve(z, (sxy / sd)[:, :, None])[:, :, 0] / sd
-        model = np.where((n < SMALL_SAMPLE)[:, None], ridge, b)
+        model = np.where((n < ridge_below)[:, None], ridge, b)
         model_sse = np.maximum(
             0.0, syy - 2 * (model * sxy).sum(axis=1) + np.einsum("gi,gij,gj->g", model, sxx, model)
         )
@@ -109,7 +110,7 @@ def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool
         })
 
 
-def _solver(centered_vif: bool):
+def _solver(centered_vif: bool, ridge_below: float):
     @F.pandas_udf(_SOLUTION)
     def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
         if not len(n):
@@ -121,9 +122,12 @@ def _solver(centered_vif: bool):
 
 def fit_linear(
     df: DataFrame, target: str, features: Sequence[str], group_by: Sequence[str] = (),
-    order_by: Sequence[str] = (), centered_vif: bool = False,
+    order_by: Sequence[str] = (), centered_vif: bool = False, ridge_below: float = RIDGE_BELOW,
 ) -> Fit:
-    """Least squares (and ridge below 50 rows) per group; groups with under 3 clean rows drop out.
+    """Least squares per group, and ridge for prediction in groups of under ``ridge_below`` rows.
+
+    0 means least squares everywhere, ``math.inf`` ridge everywhere. Groups with under 3 clean
+    rows drop out.
 
     Moments are Spark's mergeable covariances, so the fit is one pass with one row per
     group shuffled per task.
@@ -140,10 +144,10 @@ def fit_linear(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in names]).alias("means"),
         F.array(*covariances).alias("cov"),
     ).where(F.col("n") >= MIN_ROWS)
-    solution = moments.withColumn("_r", _solver(centered_vif)("n", "means", "cov")).select(
+    solution = moments.withColumn("_r", _solver(centered_vif, ridge_below)("n", "means", "cov")).select(
         *by, "n", "means", "_r.*"
     )
-    return Fit(cleaned.data, cleaned.report, solution, target, features, keys, few_groups(df, keys))
+    return Fit(cleaned.data, cleaned.report, solution, target, features, keys, few_groups(df, keys), ridge_below)
 
 
 def coefficients(fit: Fit) -> DataFrame:
@@ -215,7 +219,7 @@ def model_summary(
     out = fit.solution.withColumn("f_p", fisher_p("f", "rank", "df_resid")).select(
         *keys, "n", "r2", "r2_adj", r2_label(F.col("r2")).alias("r2_label"), "f", "f_p", "aic", "bic",
         F.coalesce(highest > thresholds.vif, F.lit(False)).alias("multicollinear"),
-        (F.col("n") < SMALL_SAMPLE).alias("small_sample"),
+        (F.col("n") < fit.ridge_below).alias("small_sample"),
     )
     if order_by:
         out = join_results(out, durbin_watson(fit, order_by), fit.group_by)
@@ -232,7 +236,7 @@ def predictive_model(fit: Fit) -> DataFrame:
         F.array(*[F.lit(f) for f in fit.features]), F.slice("ridge_beta", 2, len(fit.features))
     )
     model = fit.solution.select(
-        *keys, "n", F.when(F.col("n") < SMALL_SAMPLE, "ridge").otherwise("ols").alias("model"),
+        *keys, "n", F.when(F.col("n") < fit.ridge_below, "ridge").otherwise("ols").alias("model"),
         F.get("ridge_beta", F.lit(0)).alias("intercept"), named.alias("coefficients"),
         F.col("pred_r2").alias("r2"), F.col("pred_rmse").alias("rmse"),
     )
