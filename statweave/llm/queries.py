@@ -61,7 +61,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.counted(F.col("source"), F.col("lang"), version, F.col("chars"), tokens)
         for tokens in (F.ceil(F.col("chars") / 4), F.col("tokens")))
     firsts = docs.where("chars IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    later = docs.join(firsts.where("n > 1"), ["h1", "h2"]).where("doc_id <> first")
+    # Dealt out by another column in between, so that Spark can split a large group of copies in the join.
+    later = docs.join(firsts.where("n > 1").repartition("first"), ["h1", "h2"]).where("doc_id <> first")
     totals = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/token-totals-{uuid.uuid4().hex}")
     batches = {
         "0001-arrived": docs.select(*rollup.change("insert", after=estimate)),

@@ -96,7 +96,9 @@ def candidates(fingerprints: DataFrame) -> DataFrame:
                      for t, m in enumerate(covering_masks())])
     dealt = fingerprints.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     shared = dealt.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    return dealt.join(shared.select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
+    # Dealt out otherwise once more: the join then deals both sides anew, and Spark can split a large bucket.
+    shared = shared.repartition("lo").select("t", "key")
+    return dealt.join(shared, ["t", "key"], "left_semi").select("fp").distinct()
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
@@ -111,16 +113,17 @@ def links(fingerprints: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge: alternating large and small stars.
 
-    Each step is a combined minimum per node and a join, so that a hub is never gathered.
+    Each step is a combined minimum per node and a join, so that a hub is never gathered. The
+    minima are dealt out otherwise in between, so that Spark can split a hub in the join.
     """
     edges = durable(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
     mark = None
     while True:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition(F.col("u") + 1)
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).repartition(F.col("hi") + 1)
         small = large.join(least, "hi").select("m", F.explode(F.array("lo", "hi")).alias("hi"))
         edges = durable(small.where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
