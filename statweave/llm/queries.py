@@ -132,6 +132,67 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum({_ESCAPED.format("text")} + CASE WHEN opens
     THEN {len(chat.START + chat.SEP + chat.END)} + {_ESCAPED.format("role")} ELSE {len(chat.NEXT)} END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
+    "op8_decontaminate": r"""
+WITH RECURSIVE item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS start, w
+  FROM item_words WHERE len(w) > 0
+), patterns AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, start, start + n - 1), ' ') AS said FROM windows
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents
+), grams AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS start, w FROM doc_words, (SELECT DISTINCT n FROM patterns)
+), hits AS (
+  SELECT doc_id, start, n, item_id FROM (SELECT doc_id, start, n, array_to_string(list_slice(w, start, start + n - 1), ' ') AS said FROM grams) JOIN patterns USING (n, said)
+), words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS place FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_mixing": f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM per
+), filling AS (
+  SELECT cap, weight, CAST((1.5 * sum(source_size) OVER () - (sum(cap) OVER w - cap)) AS DOUBLE) / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level
+  FROM weighted WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(
+    (SELECT max(level) FROM filling WHERE cap > weight * level), CAST('inf' AS DOUBLE))) AS target FROM weighted
+), rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN round(target / source_size, 12) ELSE 0 END AS rate FROM targets
+), cells AS (
+  SELECT source, length(bin(size)) AS class, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS INTEGER) AS bucket, doc_id, size FROM sized
+), masses AS (
+  SELECT source, class, bucket, CAST(sum(size) AS DOUBLE) AS mass FROM cells GROUP BY ALL
+), classes AS (
+  SELECT source, class, sum(mass) AS mass, list({{'bucket': bucket, 'upto': upto, 'mass': mass}} ORDER BY bucket) AS cells,
+    row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k
+  FROM (SELECT *, sum(mass) OVER (PARTITION BY source, class ORDER BY bucket) AS upto FROM masses) GROUP BY source, class
+), steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, source, CAST(0 AS DOUBLE) AS owed, CAST(NULL AS BIGINT) AS class, 0 AS cut FROM rates
+  UNION ALL
+  SELECT k, source, due - coalesce(kept[-1].upto, 0), class, coalesce(kept[-1].bucket + 1, 0) FROM (
+    SELECT c.k, c.source, c.class, s.owed + (r.rate - floor(r.rate)) * c.mass AS due,
+      list_filter(c.cells, lambda x: x.upto - x.mass / 2 <= s.owed + (r.rate - floor(r.rate)) * c.mass) AS kept
+    FROM steps s JOIN classes c ON c.source IS NOT DISTINCT FROM s.source AND c.k = s.k + 1
+    JOIN rates r ON r.source IS NOT DISTINCT FROM s.source)
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * least(2, floor(rate) + CASE WHEN bucket < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM cells JOIN rates ON rates.source IS NOT DISTINCT FROM cells.source
+JOIN steps ON steps.source IS NOT DISTINCT FROM cells.source AND steps.class = cells.class""",
     "op10_line_dedup": f"""
 WITH docs AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
