@@ -58,8 +58,8 @@ def token_count(spark: SparkSession, path: str = TOKENIZER, pattern: str = PATTE
 
 def change(op: str, before: Column | None = None, after: Column | None = None) -> list[Column]:
     """The columns of a change: ``op`` and the structs ``before`` and ``after`` (group and measures)."""
-    kind = ", ".join(["source string", "lang string", "version string", *[f"{m} bigint" for m in MEASURES]])
-    none = F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+    kind = ",".join([*[f"{g}:string" for g in GROUP], *[f"{m}:bigint" for m in MEASURES]])
+    none = F.lit(None).cast(f"struct<{kind}>")
     return [F.lit(op).alias("op"), (none if before is None else before).alias("before"), (none if after is None else after).alias("after")]
 
 
