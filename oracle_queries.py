@@ -457,7 +457,7 @@ FROM t WINDOW w AS (PARTITION BY "column")""",
     ]) + """) SELECT term, round(coefficient, 5) AS coefficient, round(std_error, 5) AS std_error, round(t, 6) AS t, round(p_value, 6) AS p_value, round(vif, 6) AS vif,
   CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM terms""",
     "ols_model_lineitem": f"""WITH {OLS}, q AS (SELECT *, 1 - sse / (n * vyy) AS r2, (n * vyy - sse) / 2 / s2 AS f, n * (ln(2 * pi()) + ln(sse / n) + 1) AS base FROM f3)
-SELECT n::BIGINT AS n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS r2_adj,
+SELECT n::BIGINT AS n, 'ok' AS status, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS r2_adj,
   CASE WHEN r2 >= 0.9 THEN 'very_strong' WHEN r2 >= 0.7 THEN 'strong' WHEN r2 >= 0.5 THEN 'moderate' WHEN r2 >= 0.3 THEN 'weak' ELSE 'none' END AS r2_label,
   round(f, 5) AS f, round(pow(1 + 2 * f / (n - 3), -(n - 3) / 2), 6) AS f_p, round(base + 6, 3) AS aic, round(base + 3 * ln(n), 3) AS bic,
   vif > 10 AS multicollinear, n < 50 AS small_sample FROM q""",
@@ -466,7 +466,7 @@ d AS (SELECT e, e - lag(e) OVER (ORDER BY {LINE_ORDER}) AS de FROM e), w AS (SEL
 SELECT round(dw, 6) AS durbin_watson, CASE WHEN dw < 1.5 THEN 'positive' WHEN dw > 2.5 THEN 'negative' ELSE 'none' END AS dw_label FROM w""",
     "predict_lineitem": f"WITH {OLS} SELECT l_orderkey, l_linenumber, l_partkey, round(b0 + b1 * l_quantity + b2 * l_discount, 4) AS y_predicted FROM lineitem, f3",
     "predictive_model_orders": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS slope, regr_intercept(o_totalprice, o_custkey) AS b0, regr_r2(o_totalprice, o_custkey) AS r2 FROM orders)
-SELECT count(*) AS n, 'ols' AS model, round(any_value(b0), 5) AS intercept, round(any_value(r2), 5) AS r2,
+SELECT count(*) AS n, 'ok' AS status, 'ols' AS model, round(any_value(b0), 5) AS intercept, round(any_value(r2), 5) AS r2,
   round(sqrt(avg(pow(o_totalprice - b0 - slope * o_custkey, 2))), 5) AS rmse, round(avg(abs(o_totalprice - b0 - slope * o_custkey)), 5) AS mae, round(any_value(slope), 5) AS slope FROM orders, f""",
     "ci_band_orders": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b1, regr_intercept(o_totalprice, o_custkey) AS b0, avg(o_custkey) AS mx, var_pop(o_custkey) AS vx, count(*)::DOUBLE AS n FROM orders),
 s AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(mx) AS mx, any_value(vx) AS vx, any_value(n) AS n, sum(pow(o_totalprice - b0 - b1 * o_custkey, 2)) / (any_value(n) - 2) AS s2 FROM orders, f),
@@ -478,17 +478,17 @@ t AS (SELECT *, z + (pow(z, 3) + z) / (4 * (n - 2)) + (5 * pow(z, 5) + 16 * pow(
 b AS (SELECT o_orderkey, o_custkey, b0 + b1 * o_custkey AS y, tq * sqrt(s2 * (1 / n + pow(o_custkey - mx, 2) / (n * vx))) AS h FROM orders, t)
 SELECT o_orderkey, o_custkey::DOUBLE AS x, round(y, 3) AS y_predicted, round(y - h, 3) AS ci_lower, round(y + h, 3) AS ci_upper FROM b""",
     "ridge_by_customer": """WITH m AS (SELECT o_custkey, count(*) AS n, avg(o_orderkey) AS mx, avg(o_totalprice) AS my, stddev_pop(o_orderkey) AS sx,
-  covar_pop(o_orderkey, o_totalprice) AS cxy, var_pop(o_totalprice) AS vy FROM orders GROUP BY o_custkey HAVING count(*) >= 3),
-b AS (SELECT *, CASE WHEN n < 50 THEN n * cxy / sx / (n + 1) / sx ELSE cxy / (sx * sx) END AS slope FROM m),
+  covar_pop(o_orderkey, o_totalprice) AS cxy, var_pop(o_totalprice) AS vy FROM orders GROUP BY o_custkey),
+b AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN n < 50 THEN n * cxy / sx / (n + 1) / sx ELSE cxy / (sx * sx) END AS slope FROM m),
 e AS (SELECT o_custkey, avg(abs(o_totalprice - (my - slope * mx) - slope * o_orderkey)) AS mae, sqrt(avg(pow(o_totalprice - (my - slope * mx) - slope * o_orderkey, 2))) AS rmse
   FROM orders JOIN b USING (o_custkey) GROUP BY o_custkey)
-SELECT o_custkey, n, CASE WHEN n < 50 THEN 'ridge' ELSE 'ols' END AS model, round(my - slope * mx, 4) AS intercept, round(1 - rmse * rmse / vy, 4) AS r2,
+SELECT o_custkey, n, CASE WHEN n < 3 THEN 'too_few_rows' ELSE 'ok' END AS status, CASE WHEN n < 3 THEN NULL WHEN n < 50 THEN 'ridge' ELSE 'ols' END AS model, round(my - slope * mx, 4) AS intercept, round(1 - rmse * rmse / vy, 4) AS r2,
   round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(slope, 4) + 0.0 AS slope FROM b JOIN e USING (o_custkey)""",
-    "model_by_customer": f"""WITH m AS (SELECT o_custkey, count(*) AS n, regr_r2(o_totalprice, o_orderkey) AS r2, var_pop(o_totalprice) AS vy FROM orders GROUP BY o_custkey HAVING count(*) >= 3),
+    "model_by_customer": f"""WITH m AS (SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 3 THEN regr_r2(o_totalprice, o_orderkey) END AS r2, var_pop(o_totalprice) AS vy FROM orders GROUP BY o_custkey),
 q AS (SELECT *, (n - 2)::DOUBLE AS df, r2 / (1 - r2) * (n - 2) AS f, n * (ln(2 * pi()) + ln(vy * (1 - r2)) + 1) AS base FROM m)
-SELECT o_custkey, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) + 0.0 AS r2_adj,
-  CASE WHEN r2 >= 0.9 THEN 'very_strong' WHEN r2 >= 0.7 THEN 'strong' WHEN r2 >= 0.5 THEN 'moderate' WHEN r2 >= 0.3 THEN 'weak' ELSE 'none' END AS r2_label,
-  round(f, 3) AS f, round({student_two_sided('sqrt(f)', 'df')}, 6) AS f_p, round(base + 4, 3) AS aic, round(base + 2 * ln(n), 3) AS bic,
+SELECT o_custkey, n, CASE WHEN n < 3 THEN 'too_few_rows' ELSE 'ok' END AS status, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) + 0.0 AS r2_adj,
+  CASE WHEN n < 3 THEN NULL WHEN r2 >= 0.9 THEN 'very_strong' WHEN r2 >= 0.7 THEN 'strong' WHEN r2 >= 0.5 THEN 'moderate' WHEN r2 >= 0.3 THEN 'weak' ELSE 'none' END AS r2_label,
+  round(f, 3) AS f, CASE WHEN n >= 3 THEN round({student_two_sided('sqrt(f)', 'df')}, 6) END AS f_p, round(base + 4, 3) AS aic, round(base + 2 * ln(n), 3) AS bic,
   false AS multicollinear, n < 50 AS small_sample FROM q""",
     "preview_orders": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders LIMIT 10""",
     "ts_validate_orders": f"""WITH daily AS (SELECT 1 AS one, o_orderdate, sum(o_totalprice) AS total FROM orders GROUP BY ALL), {regularity('daily', 'one', 'o_orderdate')}

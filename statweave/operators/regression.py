@@ -61,7 +61,7 @@ def _inverse(m: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(m / outer, hermitian=True) / outer
 
 
-def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool) -> pd.DataFrame:
+def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool, ridge_below: float) -> pd.DataFrame:
     """Coefficients of all groups of a batch from their means and covariances (target last)."""
     p = means.shape[1] - 1
     full = np.zeros((len(n), p + 1, p + 1))
@@ -115,7 +115,7 @@ def _solver(centered_vif: bool, ridge_below: float):
     def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame({c: pd.Series(dtype=object) for c in _SOLUTION.names})
-        return _solve(n.to_numpy(float), np.stack(means.to_numpy()), np.stack(cov.to_numpy()), centered_vif)
+        return _solve(n.to_numpy(float), np.stack(means.to_numpy()), np.stack(cov.to_numpy()), centered_vif, ridge_below)
 
     return solve
 
@@ -127,7 +127,7 @@ def fit_linear(
     """Least squares per group, and ridge for prediction in groups of under ``ridge_below`` rows.
 
     0 means least squares everywhere, ``math.inf`` ridge everywhere. Groups with under 3 clean
-    rows drop out.
+    rows keep their row in the summaries, with NULL results and the status ``too_few_rows``.
 
     Moments are Spark's mergeable covariances, so the fit is one pass with one row per
     group shuffled per task.
@@ -143,13 +143,18 @@ def fit_linear(
     moments = cleaned.data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in names]).alias("means"),
         F.array(*covariances).alias("cov"),
-    ).where(F.col("n") >= MIN_ROWS)
-    solution = moments.withColumn("_r", _solver(centered_vif, ridge_below)("n", "means", "cov")).select(
+    )
+    solved = F.when(F.col("n") >= MIN_ROWS, _solver(centered_vif, ridge_below)("n", "means", "cov"))
+    solution = moments.withColumn("_r", solved).select(
         *by, "n", "means", "_r.*"
     )
     return Fit(cleaned.data, cleaned.report, solution, target, features, keys, few_groups(df, keys), ridge_below)
 
 
+def _status() -> Column:
+    return F.when(F.col("n") >= MIN_ROWS, "ok").otherwise("too_few_rows").alias("status")
+
+
 def coefficients(fit: Fit) -> DataFrame:
     """One row per term (``const`` first): coefficient, error, t, p, VIF, significance stars."""
     terms = F.array(F.lit("const"), *[F.lit(f) for f in fit.features])
@@ -217,7 +222,8 @@ def model_summary(
     keys = [quoted(k) for k in fit.group_by]
     highest = F.array_max(F.filter("vif", lambda v: ~F.isnan(v)))
     out = fit.solution.withColumn("f_p", fisher_p("f", "rank", "df_resid")).select(
-        *keys, "n", "r2", "r2_adj", r2_label(F.col("r2")).alias("r2_label"), "f", "f_p", "aic", "bic",
+        *keys, "n", _status(), "r2", "r2_adj", F.when(F.col("n") >= MIN_ROWS, r2_label(F.col("r2"))).alias("r2_label"),
+        "f", "f_p", "aic", "bic",
         F.coalesce(highest > thresholds.vif, F.lit(False)).alias("multicollinear"),
         (F.col("n") < fit.ridge_below).alias("small_sample"),
     )
@@ -236,7 +242,8 @@ def predictive_model(fit: Fit) -> DataFrame:
         F.array(*[F.lit(f) for f in fit.features]), F.slice("ridge_beta", 2, len(fit.features))
     )
     model = fit.solution.select(
-        *keys, "n", F.when(F.col("n") < fit.ridge_below, "ridge").otherwise("ols").alias("model"),
+        *keys, "n", _status(),
+        F.when(F.col("n") < MIN_ROWS, None).when(F.col("n") < fit.ridge_below, "ridge").otherwise("ols").alias("model"),
         F.get("ridge_beta", F.lit(0)).alias("intercept"), named.alias("coefficients"),
         F.col("pred_r2").alias("r2"), F.col("pred_rmse").alias("rmse"),
     )

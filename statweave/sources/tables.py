@@ -29,11 +29,11 @@ def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8",
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Delimited text with a header. Give ``schema`` on large inputs: inference reads the file twice."""
+    """Delimited text with a header; a quote within quotes is doubled. Give ``schema`` on large inputs: inference reads the file twice."""
     reader = (
         spark.read.option("header", True)
         .option("sep", sep or detect_separator(spark, path, encoding))
-        .option("encoding", encoding).option("mode", "FAILFAST")
+        .option("encoding", encoding).option("escape", "\"").option("mode", "FAILFAST")
     )
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return check_table(df)
@@ -53,7 +53,7 @@ def from_rows(spark: SparkSession, rows: Sequence[dict], schema: T.StructType |
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    df.write.mode(mode).option("header", True).option("sep", sep).option("escape", "\"").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:

@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from statweave.operators import clean, describe, distfit, hypothesis, timeseries
 from statweave.plans.joins import join_by_value
 from statweave.plans.ordered import blocks, running, with_next
 from statweave.plans.quantiles import exact_quantiles
+from statweave.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +93,55 @@ def test_plan_has_no_single_task_sort_and_scans_once(spark):
     assert "Exchange SinglePartition" not in plan
     assert plan.count("FileScan") == 1
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["x", "n", "w", "column", "k.`1"])
+def test_group_columns_may_have_any_name(spark, name):
+    rows = [(f"g{i % 2}", float(i % 7), float(i * i % 11), f"{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, ["key", "m1", "m2", "c"])
+    other = df.withColumnRenamed("key", name)
+    for operator in (
+        lambda d, k: describe.describe(d, ["m1", "m2"], group_by=[k]),
+        lambda d, k: describe.correlation(d, method="spearman", columns=["m1", "m2"], group_by=[k]),
+        lambda d, k: describe.histogram(d, ["m1"], group_by=[k]),
+        lambda d, k: describe.box_summary(d, ["m1"], group_by=[k]),
+        lambda d, k: describe.value_counts(d, ["c"], group_by=[k]),
+        lambda d, k: clean.scale_standard(d, ["m1"], group_by=[k]),
+        lambda d, k: hypothesis.shapiro(d, ["m1"], group_by=[k]),
+        lambda d, k: distfit.fit_distributions(d, ["m1"], group_by=[k]),
+    ):
+        plain, renamed = operator(df, "key"), operator(other, name)
+        assert sorted(map(repr, map(tuple, plain.collect()))) == sorted(map(repr, map(tuple, renamed.collect())))
+
+
+def test_quantiles_beside_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (inf, "a"), (-inf, "b"), (3.0, "b"), (4.0, "b")], ["v", "g"])
+    assert exact_quantiles(df, ["v"], [0.0, 0.2, 0.4, 0.6, 1.0]).first().q == [-inf, 1.0, 2.0, 3.0, inf]
+    assert {r.g: r.q for r in exact_quantiles(df, ["v"], [0.5], ["g"]).collect()} == {"a": [2.0], "b": [3.0]}
+
+
+def test_separator_beside_quoted_fields(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('name;val\n"x,y,z";1\n"a;b";2\n"say ""hi; you""";3\n')
+    assert tables.detect_separator(spark, str(tmp_path / "t.csv")) == ";"
+    assert tables.read_delimited(spark, str(tmp_path / "t.csv")).columns == ["name", "val"]
+
+
+def test_text_dates_in_time_series(spark):
+    rows = [(f"1/{d}/2024", float(d)) for d in range(1, 21) if d != 7]
+    df = spark.createDataFrame(rows, ["day", "v"])
+    found = timeseries.validate_series(df, "day", "v").first()
+    assert found.total_points == 19 and found.is_valid is not None
+    assert timeseries.resample(df, "day", "v", freq="D").count() == 20
+
+
+def test_poisson_bins_of_large_numbers(spark):
+    ids = spark.range(1000).select((F.col("id") + 10**10).alias("v"))
+    assert distfit.fit_distributions(ids, ["v"], candidates=["poisson"]).collect() == []
+    for mean in (3.0, 900.0):
+        rng = np.random.default_rng(int(mean))
+        drawn = spark.createDataFrame([(int(x),) for x in rng.poisson(mean, 2000)], ["v"])
+        fit = distfit.fit_distributions(drawn, ["v"], candidates=["poisson"]).first()
+        assert fit.params["lambda"] == pytest.approx(mean, rel=0.05) and fit.p_value > 0.001
+    skewed = spark.createDataFrame([(int(x),) for x in np.random.default_rng(1).geometric(0.1, 2000)], ["v"])
+    assert distfit.fit_distributions(skewed, ["v"], candidates=["poisson"]).first().p_value < 1e-9
