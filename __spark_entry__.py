@@ -237,6 +237,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "histogram_events": lambda s, d: digits(describe.histogram(events(s, d), ["value"]), density=9),
         "ecdf_part_size": lambda s, d: digits(describe.ecdf(part(s, d), ["p_size"])),
         "box_events_by_type": lambda s, d: digits(describe.box_summary(events(s, d), ["value"], ["event_type"]), 4),
+        "box_outliers_by_type": lambda s, d: digits(describe.box_outliers(events(s, d), ["value"], ["event_type"])),
+        "describe_infinite": lambda s, d: digits(describe.describe(lineitem_infinite(s, d)).select("column", "count", "min", "q25", "median", "q75", "max")),
         "quantile_grid_orders": lambda s, d: describe.quantile_grid(orders(s, d), ["o_totalprice", "o_custkey"]).select(
             "column", F.posexplode("edges").alias("i", "edge")).withColumn("edge", F.round("edge", 4)),
         "upper_median_orders": lambda s, d: describe.upper_median(orders(s, d), ["o_totalprice", "o_custkey"]),

@@ -516,7 +516,15 @@ FROM c LEFT JOIN orders ON date_trunc('week', o_orderdate) = w GROUP BY w""",
     "future_index_by_type": f"""WITH {DAILY_EVENTS}, l AS (SELECT event_type, count(*) AS n, max(day) AS last FROM daily GROUP BY ALL)
 SELECT event_type, s::INTEGER AS step, n + s - 1 AS "index", strftime(last + to_days(s::INTEGER), '%Y-%m-%d %H:%M:%S') AS date FROM l, range(1, 8) r(s)""",
     "forecast_metrics_orders": """WITH e AS (SELECT o_orderstatus, o_totalprice AS y, o_totalprice - (o_totalprice * 0.999 + o_custkey) AS e FROM orders)
-SELECT o_orderstatus, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e / y)) * 100, 4) AS mape FROM e GROUP BY ALL""",
+SELECT o_orderstatus, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e / y)) * 100, 4) AS mape,
+  CASE WHEN avg(abs(e / y)) < 0.1 THEN 'high' WHEN avg(abs(e / y)) < 0.2 THEN 'good' WHEN avg(abs(e / y)) < 0.5 THEN 'moderate' ELSE 'low' END AS mape_label FROM e GROUP BY ALL""",
+    "describe_infinite": """WITH v AS (
+  SELECT 'l_quantity' AS "column", CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN 'inf'::DOUBLE ELSE l_quantity END AS x FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CASE WHEN l_linenumber = 6 THEN '-inf'::DOUBLE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END FROM lineitem)
+SELECT "column", count(x) AS "count", round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(median(x), 6) AS median,
+  round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max FROM v GROUP BY ALL""",
+    "box_outliers_by_type": """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY ALL)
+SELECT event_type, 'value' AS "column", round(value, 6) AS x FROM events JOIN q USING (event_type) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""",
 }
 
 

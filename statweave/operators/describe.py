@@ -257,6 +257,17 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None, group_by: S
     )
 
 
+@reserved_keys
+def box_outliers(df: DataFrame, columns: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
+    """(column, x): the values outside the fences of :func:`box_summary`, one row each."""
+    targets = numeric_columns(df, columns, exclude=group_by)
+    rows = with_fences(numbers(df, targets, group_by), targets, group_by)
+    outside = [F.when((quoted(c) < F.col(f"_lo{i}")) | (quoted(c) > F.col(f"_hi{i}")), F.struct(
+        F.lit(c).alias("column"), quoted(c).alias("x"))) for i, c in enumerate(targets)]
+    found = rows.select(*[quoted(k) for k in group_by], F.explode(F.array(*outside)).alias("_o")).where("_o IS NOT NULL")
+    return found.select(*[quoted(k) for k in group_by], "_o.column", "_o.x")
+
+
 @reserved_keys
 def quantile_grid(
     df: DataFrame, columns: Sequence[str] | None = None, parts: int = 10, group_by: Sequence[str] = ()

@@ -20,6 +20,7 @@ from statweave.functions.columns import as_double, quoted, ratio
 from statweave.operators.timeseries import (
     _frequency, _frequency_facts, _least_squares, _steps, points, positions, summed_arrays,
 )
+from statweave.functions.labels import mape_label
 from statweave.plans.calendar import shifted
 from statweave.plans.joins import attach, few_groups, null_safe_join
 from statweave.plans.ordered import blocks
@@ -90,12 +91,13 @@ def future_index(series: Series, steps: int) -> DataFrame:
 def forecast_metrics(
     df: DataFrame, actual: str, predicted: str, group_by: Sequence[str] = ()
 ) -> DataFrame:
-    """MAE, RMSE and MAPE (percent, over non-zero actual values; NULL if there are none)."""
+    """MAE, RMSE, MAPE (percent, over non-zero actual values; NULL if there are none) and its label."""
     y, e = as_double(df, actual), as_double(df, actual) - as_double(df, predicted)
-    return df.groupBy(*_by(group_by)).agg(
+    out = df.groupBy(*_by(group_by)).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.avg(F.when(y != 0, F.abs(ratio(e, y)))) * 100).alias("mape"),
     )
+    return out.withColumn("mape_label", F.when(F.col("mape").isNotNull(), mape_label(F.col("mape"))))
 
 
 # -- Holt -----------------------------------------------------------------------
