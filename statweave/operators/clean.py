@@ -109,18 +109,22 @@ def fill_missing(
 
 
 def _fences(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, column, q1, q3, iqr, lower_bound, upper_bound)."""
-    q = exact_quantiles(df, columns, [0.25, 0.75], keys)
-    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    """(keys, column, q1, median, q3, iqr, lower_bound, upper_bound)."""
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], keys)
+    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
     return q.select(
-        *[quoted(k) for k in keys], "column", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
+        *[quoted(k) for k in keys], "column", q1.alias("q1"), F.get("q", F.lit(1)).alias("median"),
+        q3.alias("q3"), (q3 - q1).alias("iqr"),
         (q1 - 1.5 * (q3 - q1)).alias("lower_bound"), (q3 + 1.5 * (q3 - q1)).alias("upper_bound"),
     )
 
 
-def with_fences(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``_lo<i>`` and ``_hi<i>``, the outlier limits of column number i."""
-    limits = {"lo": F.col("lower_bound"), "hi": F.col("upper_bound")}
+def with_fences(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``_lo<i>`` and ``_hi<i>``, the outlier limits of column number i.
+
+    ``more`` names further columns of the fences that come along, as ``_<name><i>``.
+    """
+    limits = {"lo": F.col("lower_bound"), "hi": F.col("upper_bound"), **{m: F.col(m) for m in more}}
     wide = _spread(_fences(df, columns, keys), columns, limits, keys)
     return attach(df, wide, keys, small=few_groups(df, keys))
 
@@ -137,17 +141,19 @@ def outlier_report(
     """Quartiles, limits and number of values outside [q1 − 1.5·iqr, q3 + 1.5·iqr]."""
     targets = numeric_columns(df, columns, exclude=group_by)
     keys = [quoted(k) for k in group_by]
-    counted = with_fences(df, targets, group_by).groupBy(*keys).agg(
+    fields = ("q1", "q3", "iqr", "lo", "hi")
+    counted = with_fences(df, targets, group_by, ("q1", "q3", "iqr")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_rows"),
         *[F.count(F.when(_outside(df, c, i), 1)).alias(f"_o{i}") for i, c in enumerate(targets)],
+        *[F.max(f"_{f}{i}").alias(f"_{f}{i}") for i in range(len(targets)) for f in fields],
     ).select(*keys, "total_rows", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_o{i}").alias("outliers_count"))
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"_q1{i}").alias("q1"), F.col(f"_q3{i}").alias("q3"),
+            F.col(f"_iqr{i}").alias("iqr"), F.col(f"_lo{i}").alias("lower_bound"),
+            F.col(f"_hi{i}").alias("upper_bound"), F.col(f"_o{i}").alias("outliers_count"))
         for i, c in enumerate(targets)
     ])))
-    # Without groups both sides have one row per column.
-    fences = _fences(df, targets, group_by)
-    joined = null_safe_join(counted, fences if group_by else F.broadcast(fences), [*group_by, "column"])
-    return joined.select(
+    return counted.select(
         *keys, "column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "outliers_count",
         F.coalesce(F.round(ratio(F.col("outliers_count") * 100, F.col("total_rows")), 2), F.lit(0.0))
         .alias("outliers_percent"), "total_rows",

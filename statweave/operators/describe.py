@@ -165,7 +165,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]
         F.struct(F.lit(c).alias("column"), clean(df, c).cast("string").alias("value")) for c in columns
     ]))).where(F.col("value").isNotNull())
     counts = long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("count"))
-    totals = long.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("_t"))
+    totals = counts.groupBy(*keys, "column").agg(F.sum("count").alias("_t"))
     return by_column(counts, totals, group_by).select(
         *keys, "column", "value", "count", ratio(F.col("count"), F.col("_t")).alias("share")
     )
@@ -235,26 +235,22 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None, group_by: S
     """Quartiles, whiskers (extreme values inside the fences) and number of outliers."""
     targets = numeric_columns(df, columns, exclude=group_by)
     keys = [quoted(k) for k in group_by]
-    quartiles = exact_quantiles(df, targets, [0.25, 0.5, 0.75], group_by)
-    rows = with_fences(numbers(df, targets, group_by), targets, group_by)
+    middle = ("q1", "median", "q3")
+    rows = with_fences(numbers(df, targets, group_by), targets, group_by, middle)
     aggs = []
     for i, c in enumerate(targets):
         x = quoted(c)
         inside = (x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}"))
         aggs += [
             F.min(F.when(inside, x)).alias(f"_wl{i}"), F.max(F.when(inside, x)).alias(f"_wh{i}"),
-            F.count(F.when(~inside, 1)).alias(f"_no{i}"),
+            F.count(F.when(~inside, 1)).alias(f"_no{i}"), *[F.max(f"_{m}{i}").alias(f"_{m}{i}") for m in middle],
         ]
-    long = rows.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*[
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*[
         F.struct(
-            F.lit(c).alias("column"), F.col(f"_wl{i}").alias("whisker_low"),
+            F.lit(c).alias("column"), F.col(f"_wl{i}").alias("whisker_low"), *[F.col(f"_{m}{i}").alias(m) for m in middle],
             F.col(f"_wh{i}").alias("whisker_high"), F.col(f"_no{i}").alias("n_outliers"),
         ) for i, c in enumerate(targets)
     ])))
-    return by_column(long, quartiles, group_by).select(
-        *keys, "column", "whisker_low", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(2)).alias("q3"), "whisker_high", "n_outliers",
-    )
 
 
 @reserved_keys
