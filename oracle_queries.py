@@ -416,8 +416,9 @@ SELECT 'value' AS "column", 'norm' AS distribution, round(x, 6) AS x, round(exp(
 UNION ALL SELECT 'value', 'expon', round(x, 6), round(CASE WHEN x < lo THEN 0.0 ELSE exp(-(x - lo) / (m - lo)) / (m - lo) END, 9) FROM g""",
     "drift_structure": f"""WITH {SIDES}, c AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
 SELECT na AS rows_base, nb AS rows_compare, nb - na AS rows_delta, round((nb - na) * 100.0::DOUBLE / na, 2) AS rows_delta_percent FROM c""",
-    "drift_columns": """SELECT * FROM (VALUES ('o_custkey', 'added', NULL, 'bigint'), ('o_orderstatus', 'removed', 'string', NULL),
-  ('o_totalprice', 'type_changed', 'double', 'string')) t("column", change, base_type, compare_type)""",
+    "drift_columns": """SELECT 'o_custkey' AS "column", 'added' AS change, NULL AS base_type, 'bigint' AS compare_type, NULL::BIGINT AS base_values, count(o_custkey) AS compare_values FROM orders
+UNION ALL SELECT 'o_orderstatus', 'removed', 'string', NULL, count(o_orderstatus), NULL FROM orders
+UNION ALL SELECT 'o_totalprice', 'type_changed', 'double', 'string', count(o_totalprice), count(o_totalprice) FROM orders""",
     "drift_quality": f"WITH {SIDES} " + union([
         f"""SELECT '{c}' AS "column", 0.0::DOUBLE AS missing_base_pct, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_compare_pct,
   round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_delta_pct, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) > 5 AS degraded,

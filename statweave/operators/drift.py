@@ -52,19 +52,35 @@ def structure_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def structure_columns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(column, change, base_type, compare_type): added, removed and retyped columns."""
+    """Added, removed and retyped columns, and how many values each side holds.
+
+    (column, change, base_type, compare_type, base_values, compare_values); NULL where a side
+    does not have the column. The counts of all changed columns take one pass per side.
+    """
     types_a = {f.name: f.dataType.simpleString() for f in a.schema.fields}
     types_b = {f.name: f.dataType.simpleString() for f in b.schema.fields}
-    items = []
-    for name in sorted(types_a.keys() | types_b.keys()):
+    changed = [c for c in sorted(types_a.keys() | types_b.keys()) if types_a.get(c) != types_b.get(c)]
+
+    def held(df: DataFrame, types: dict[str, str]) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("_n"), *[
+            (F.count(clean(df, c)) if c in types else F.max(F.lit(None).cast("long"))).alias(f"_{i}") for i, c in enumerate(changed)
+        ])
+
+    def item(i: int, name: str) -> Column:
         base, other = types_a.get(name), types_b.get(name)
-        if base != other:
-            change = "added" if base is None else "removed" if other is None else "type_changed"
-            items.append(F.struct(
-                F.lit(name).alias("column"), F.lit(change).alias("change"),
-                F.lit(base).cast("string").alias("base_type"), F.lit(other).cast("string").alias("compare_type"),
-            ))
-    return _literal_rows(a, items, "column string, change string, base_type string, compare_type string")
+        change = "added" if base is None else "removed" if other is None else "type_changed"
+        return F.struct(
+            F.lit(name).alias("column"), F.lit(change).alias("change"),
+            F.lit(base).cast("string").alias("base_type"), F.lit(other).cast("string").alias("compare_type"),
+            F.col(f"_{i}").alias("base_values"), F.col(f"_b._{i}").alias("compare_values"),
+        )
+
+    if not changed:
+        return _literal_rows(a, [], "column string, change string, base_type string, compare_type string, "
+                                    "base_values long, compare_values long")
+    counted = held(b, types_b)
+    both = held(a, types_a).withColumn("_b", counted.select(F.struct(*counted.columns)).scalar())
+    return both.select(F.inline(F.array(*[item(i, c) for i, c in enumerate(changed)])))
 
 
 def _missing_percent(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
