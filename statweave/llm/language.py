@@ -15,8 +15,11 @@ documents, by (suffix, host, declaration), and its roll-ups. A document is rejec
 no letters, or when no language reaches ``least`` (the flat model may have won).
 
 The trigram counts are fitted on at most ``per_language`` declared documents of each language,
-those with the smallest hashes; languages declared by fewer than ``min_docs`` documents, or
-beyond the ``max_languages`` most frequent, are not modelled. Everything else uses all rows.
+those with the smallest hashes. Everything else uses all rows. Every declared language with any
+letters in its documents is modelled, from one document on: the model holds the counts above 0
+only. Counts are smoothed by half a count for each bucket, and by at most as many as the language
+has trigrams: what a rare language has not seen is then half as likely as in the flat model, so
+that it wins texts of its own but not those that nothing knows.
 
 Defined cases: NULL and empty texts have no letters: they get the language of the other
 evidence and are rejected; a NULL declaration is no evidence; NULL hosts and suffixes form a
@@ -40,14 +43,16 @@ BUCKETS = 8192
 STRENGTH = 40.0
 LEAST = 0.5
 PER_LANGUAGE = 2000
-MIN_DOCS = 5
-MAX_LANGUAGES = 64
 #: Prior of "none of the modelled languages".
 OTHER = 1e-3
 #: Weight of the wider group, in documents.
 SMOOTHING = 20.0
 #: Hosts up to which their priors are broadcast; beyond, the join is a shuffle.
 BROADCAST_HOSTS = 100_000
+#: Languages up to which sums over them are columns; beyond, they are rows.
+COLUMNS = 100
+#: Count arrays that a task holds at a time.
+HELD = 64
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -63,8 +68,13 @@ def trigrams(text: bytes | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
+    """Counts above 0, bucket by bucket: those of bucket i are at starts[i] to starts[i + 1]."""
+
     languages: tuple[str, ...]
-    logs: np.ndarray  # (languages + 1) x BUCKETS; the last row is flat
+    starts: np.ndarray
+    at: np.ndarray  # numbers of the languages
+    gains: np.ndarray  # log likelihood above that of an unseen bucket
+    unseen: np.ndarray  # log likelihood of an unseen bucket; the last is the flat model's
 
     def evidence(self, text: bytes | None, strength: float = STRENGTH) -> np.ndarray | None:
         """Tempered log likelihoods, or None without any letter."""
@@ -72,39 +82,52 @@ class Model:
         if not len(at):
             return None
         counts = np.bincount(at, minlength=BUCKETS)
-        return self.logs @ counts * min(1.0, strength / len(at))
-
-
-def train(docs: DataFrame, declared: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE,
-          min_docs: int = MIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Trigram counts of a bounded sample, summed in the tasks; only the count table is collected."""
+        buckets = np.flatnonzero(counts)
+        sizes = self.starts[buckets + 1] - self.starts[buckets]
+        ends = np.cumsum(sizes)
+        held = np.arange(ends[-1]) + np.repeat(self.starts[buckets] - (ends - sizes), sizes)
+        gains = np.bincount(self.at[held], self.gains[held] * np.repeat(counts[buckets], sizes), len(self.unseen))
+        return (gains + self.unseen * len(at)) * min(1.0, strength / len(at))
+
+
+def model_of(table: pd.DataFrame) -> Model:
+    """The model of the counts ``n`` by ``lang`` and ``bucket``."""
+    table = table.sort_values(["bucket", "lang"])
+    languages, at = np.unique(table["lang"].to_numpy(dtype=str), return_inverse=True)
+    n = table["n"].to_numpy(float)
+    totals = np.bincount(at, n, len(languages))
+    spread = np.minimum(0.5, totals / BUCKETS)
+    unseen = np.log(spread / (totals + spread * BUCKETS))
+    return Model(tuple(languages.tolist()), np.searchsorted(table["bucket"], np.arange(BUCKETS + 1)), at.astype(np.int32),
+                 np.log1p(n / spread[at]), np.append(unseen, -np.log(BUCKETS)))
+
+
+def train(docs: DataFrame, declared: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE) -> Model:
+    """Trigram counts of a bounded sample, summed in the tasks; only the counts above 0 are collected."""
     given = docs.select(F.col(declared).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
-    frequent = given.groupBy("lang").count().where(F.col("count") >= min_docs).orderBy(
-        F.desc("count"), "lang").limit(max_languages).collect()
-    languages = tuple(sorted(r["lang"] for r in frequent))
-    if not languages:
-        return Model((), np.zeros((1, BUCKETS)))
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in frequent}
-    taken = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(
-        F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) * (1 << 30)
-    sample = given.where(F.col("lang").isin(*languages) & taken)
+    share = given.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("share"))
+    taken = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = given.join(F.broadcast(share), "lang").where(taken).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for lang, counts in held.items():
+                bucket = np.flatnonzero(counts)
+                yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[bucket]})
+            held.clear()
+
         for batch in batches:
             for lang, said in zip(batch["lang"], batch["text"], strict=True):
                 if said:
-                    counts[languages.index(lang)] += np.bincount(trigrams(said.encode()), minlength=BUCKETS)
-        lang, bucket = np.nonzero(counts)
-        yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[lang, bucket]})
+                    if lang not in held and len(held) == HELD:
+                        yield from told()
+                    counts = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    counts += np.bincount(trigrams(said.encode()), minlength=BUCKETS)
+        yield from told()
 
-    table = sample.mapInPandas(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(
-        F.sum("n").alias("n")).toPandas()  # at most languages x BUCKETS rows
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[table["lang"], table["bucket"]] = table["n"]
-    counts += 0.5
-    flat = np.full((1, BUCKETS), 1 / BUCKETS)
-    return Model(languages, np.log(np.concatenate([counts / counts.sum(axis=1, keepdims=True), flat])))
+    return model_of(sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
 
 
 def _evidence(model: Model):
@@ -117,33 +140,52 @@ def _evidence(model: Model):
     return score
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once, not again for each element of a lambda."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _normalised(logs: Column) -> Column:
     """Probabilities from an array of logarithms."""
-    weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
+    weights = _let(logs, lambda v: _let(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most))))
+    return _let(weights, lambda v: _let(_total(v), lambda total: F.transform(v, lambda w: w / total)))
 
 
 def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def _summed(rows: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Sums of the arrays ``votes`` for each group."""
+    if size <= COLUMNS:
+        sums = rows.groupBy(*by).agg(*[F.sum(F.col("votes")[i]).alias(f"n{i}") for i in range(size)])
+        return sums.select(*by, F.array(*[F.coalesce(F.col(f"n{i}"), F.lit(0.0)) for i in range(size)]).alias("votes"))
+    sums = rows.select(*by, F.posexplode("votes").alias("i", "n")).groupBy(*by, "i").agg(F.sum("n").alias("n"))
+    listed = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("all"))
+    return listed.select(*by, F.col("all.n").alias("votes"))
+
+
 def _priors(counts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Smoothed shares from ``counts``: (suffix, host, votes, above) and (declared, shares)."""
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(size)]
-    votes = F.array(*[F.col(f"n{i}") for i in range(size)])
-    total = counts.agg(*sums).select(F.array(*[F.coalesce(F.col(f"n{i}"), F.lit(0.0)) for i in range(size)]).alias("g")).first()["g"]
+    if "votes" not in counts.columns:
+        counts = counts.withColumn("votes", F.array(*[F.col(f"n{i}") for i in range(size)]))
+    votes = F.col("votes")
+    total = _summed(counts, [], size).first()["votes"] or [0.0] * size
     corpus = [(x + 1) / (sum(total) + size) for x in total]
 
     def smoothed(own: Column, wider: Column) -> Column:
-        n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, wider, lambda x, w: (x + SMOOTHING * w) / (n + SMOOTHING))
+        return _let(_total(own), lambda n: F.zip_with(own, wider, lambda x, w: (x + SMOOTHING * w) / (n + SMOOTHING)))
 
-    suffixes = counts.groupBy("suffix").agg(*sums).select(
+    suffixes = _summed(counts, ["suffix"], size).select(
         F.col("suffix").alias("suffix_of"), smoothed(votes, F.lit(corpus)).alias("above"))
-    hosts = counts.groupBy("suffix", "host").agg(*sums).select("suffix", "host", votes.alias("votes")).join(
+    hosts = _summed(counts, ["suffix", "host"], size).join(
         suffixes, F.col("suffix").eqNullSafe(F.col("suffix_of"))).select(
         F.col("suffix").alias("of_suffix"), F.col("host").alias("of_host"), "votes", "above")
-    kinds = counts.where("declared IS NOT NULL").groupBy("declared").agg(*sums)
+    kinds = _summed(counts.where("declared IS NOT NULL"), ["declared"], size)
     n_kinds = kinds.count()
     # Share of the language's documents that declare this, one unseen kind allowed for.
     shares = kinds.select(F.col("declared").alias("of_declared"), F.transform(
@@ -165,9 +207,7 @@ def identified(docs: DataFrame, text: str = "text", declared: Column | str = "la
     scored = rows.withColumn("logs", _evidence(model)("text")).drop("text")
     flat = [float(np.log((1 - OTHER) / (size - 1)))] * (size - 1) + [float(np.log(OTHER))]
     voted = scored.withColumn("vote", F.when(F.col("logs").isNotNull(), _normalised(_plus(F.col("logs"), F.lit(flat)))))
-    counts = voted.where("vote IS NOT NULL").groupBy("suffix", "host", "declared").agg(
-        *[F.sum(F.col("vote")[i]).alias(f"n{i}") for i in range(size)])
-    counts = durable(counts)
+    counts = durable(_summed(voted.where("vote IS NOT NULL").withColumnRenamed("vote", "votes"), ["suffix", "host", "declared"], size))
     hosts, shares = _priors(counts, size)
     few = counts.select("suffix", "host").distinct().count() <= BROADCAST_HOSTS
     own = F.coalesce(F.col("vote"), F.array(*[F.lit(0.0)] * size))
@@ -176,9 +216,8 @@ def identified(docs: DataFrame, text: str = "text", declared: Column | str = "la
     # Declared values with counts: as many as the counted groups at most.
     joined = joined.join(F.broadcast(shares) if few else shares, F.col("declared") == F.col("of_declared"), "left")
     others = F.zip_with("votes", own, lambda n, x: F.greatest(n - x, F.lit(0.0)))
-    n = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
-    prior = F.when(F.col("votes").isNotNull(), F.zip_with(
-        others, F.col("above"), lambda x, w: F.log((x + SMOOTHING * w) / (n + SMOOTHING)))).otherwise(F.lit(flat))
+    prior = F.when(F.col("votes").isNotNull(), _let(others, lambda v: _let(_total(v), lambda n: F.zip_with(
+        v, F.col("above"), lambda x, w: F.log((x + SMOOTHING * w) / (n + SMOOTHING)))))).otherwise(F.lit(flat))
     nothing = F.array(*[F.lit(0.0)] * size)
     sums = _plus(_plus(F.coalesce("logs", nothing), F.coalesce("said", nothing)), prior)
     fused = joined.select("row", "logs", _normalised(sums).alias("p"))

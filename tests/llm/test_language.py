@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from statweave.llm import language, queries
@@ -55,3 +57,29 @@ def test_edge_cases(documents):
     assert all(r.language is None and not r.accepted for r in got.values())
     long = [(i, SAID["en"] * (20_000 if i == 7 else 2), "en", "a") for i in range(10)]
     assert all(r.language == "en" for r in judged(documents(long)).values())
+
+
+def made_up(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("size", [80, 130])
+def test_every_declared_language_is_modelled(documents, size):
+    """More languages than 64, half of them declared by one to four documents."""
+    rng = random.Random(size)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(size)]
+    rows = [(1000 * i + k, made_up(rng, letters, 60), f"l{i}", "web") for i, letters in enumerate(alphabets) for k in range(1 + i % 4 if i % 2 else 6)]
+    unknown = [(-1, "日本語のテキストです" * 40, None, "web"), (-2, "日本語の文です" * 40, None, "other")]
+    got = judged(documents(rows + unknown))
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang, _ in rows)
+    assert not got[-1].accepted and not got[-2].accepted
+
+
+def test_rare_language_beside_frequent_ones(documents):
+    rows = [(i, SAID[lang] * 3, lang, "web") for i, lang in enumerate(list(SAID) * 30)]
+    rare = "talo ja puutarha jossa on muutamia puita sekä pieni järvi metsän takana "
+    got = judged(documents([*rows, (500, rare * 2, "fi", "web"), (501, "puutarha ja metsän puita", None, "web"), (502, "the house and some trees", "en", "web"),
+                            (503, "日本語のテキストです" * 40, None, "web"), (504, "1 2", "zz", "web")]))
+    assert (got[500].language, got[500].accepted) == ("fi", True) and (got[501].language, got[501].accepted) == ("fi", True)
+    assert got[502].language == "en" and not got[503].accepted and not got[504].accepted
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang, _ in rows)
