@@ -18,8 +18,9 @@ ancestors learn to tell as well. Fitting is batched gradient ascent on the exact
 Pages are decoded one by one inside Arrow batches; nothing of a page is dropped or capped.
 
 Defined cases: NULL and empty pages give empty text; so do pages without any main block; broken
-markup is read as far as it goes, unclosed elements end with their parent; repeated rows stay
-repeated; a table without usable pages is decoded with the written layouts alone.
+markup is read as far as it goes, unclosed elements end with their parent; a head without an end
+tag ends where HTML ends it, at the body or the first element or text of it; a button, select or
+the like without any end tag to come hides nothing; repeated rows stay repeated; a table without usable pages is decoded with the written layouts alone.
 """
 
 from __future__ import annotations
@@ -44,13 +45,19 @@ MARK = "data-main"
 # HTML element names.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split())
+    "strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title head svg math select option textarea button iframe object "
-                   "canvas audio video map".split())
+UNSEEN = frozenset("script style noscript template title head svg select datalist textarea button iframe object "
+                   "canvas audio video map annotation annotation-xml".split())
+#: Of these, one that is never closed hides nothing.
+CLOSED = frozenset("noscript svg select datalist button object canvas audio video map".split())
+_CLOSING = re.compile(rf"(?i)</({'|'.join(sorted(CLOSED))})\b")
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 CLOSES = {  # an opening tag ends these open elements, up to the nearest container
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
-    "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
+    "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
 MAIN = frozenset(["article", "main"])
 ASIDE = frozenset(["nav", "header", "footer", "aside", "form", "dialog", "menu"])
@@ -64,9 +71,11 @@ _SPLIT = re.compile(r"[a-z]+|\d+")
 class Blocks(HTMLParser):
     """Collects leaf blocks with the names of their ancestors."""
 
-    def __init__(self):
+    def __init__(self, closing: Iterable[str] = ()):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, frozenset[str], bool]] = []
+        #: End tags still to come.
+        self.closing = Counter(closing)
+        self.stack: list[tuple[str, frozenset[str], bool, bool]] = []
         self.blocks: list[tuple[str, frozenset[str], int, bool, str]] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -82,12 +91,28 @@ class Blocks(HTMLParser):
         self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        for tag, _, _ in self.stack[at:]:
-            self.unseen -= tag in UNSEEN
+        for tag, _, _, hides in self.stack[at:]:
+            self.unseen -= hides
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def _ends(self, tag: str) -> bool:
+        """Ends what HTML ends before this tag, beyond ``CLOSES``; whether the tag says no more than that."""
+        tops = [x[0] for x in self.stack]
+        if "head" in tops and "template" not in tops and (tag == "body" or tops[-1] == "head" and tag not in HEAD):
+            self._pop(tops.index("head"))
+        elif tag == "head" and set(tops) - {"html"}:
+            return True
+        elif tag in ("select", "input", "textarea") and "select" in tops:
+            self._pop(tops.index("select"))
+            return tag == "select"
+        elif tag == "button" and "button" in tops:
+            self._pop(tops.index("button"))
+        return False
+
     def handle_starttag(self, tag, attrs):
+        if self._ends(tag):
+            return
         if tag not in INLINE:
             self._flush()
         elif tag == "br":
@@ -108,16 +133,19 @@ class Blocks(HTMLParser):
             if key in ("class", "id", "role") and value:
                 names.update(f".{w}" for w in _SPLIT.findall(value.lower()) if not w.isdigit())
             marked |= key == MARK
-        self.stack.append((tag, frozenset(names), marked))
-        self.unseen += tag in UNSEEN
+        hides = tag in UNSEEN and (tag not in CLOSED or self.closing[tag] > 0)
+        self.stack.append((tag, frozenset(names), marked, hides))
+        self.unseen += hides
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
+        self.closing[tag] += 1
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        self.closing[tag] -= 1
         if tag not in INLINE:
             self._flush()
         for at in range(len(self.stack) - 1, -1, -1):
@@ -126,6 +154,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._pop(len(self.stack) - 1)
         if not self.unseen:
             self.parts.append(data)
             if self.links:
@@ -137,7 +167,7 @@ class Blocks(HTMLParser):
 
 def blocks_of(html: str | None) -> list[tuple[str, frozenset[str], int, bool, str]]:
     """(text, ancestor names, linked characters, marked, nearest block element) of each leaf block."""
-    parser = Blocks()
+    parser = Blocks(m.lower() for m in _CLOSING.findall(html or ""))
     if html:
         parser.feed(html)
         parser.close()

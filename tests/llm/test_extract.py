@@ -76,3 +76,18 @@ def test_edge_cases(spark, model):
     assert [(r.page_id, r.n_chars) for r in found] == [(1, 0), (1, 0), (None, 5000 * 12 - 2), (2, 0)]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract.extracted(empty, extract.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>t</title><body><p>one</p><p>two</p></body></html>", ["one", "two"]),
+    ("<head><meta charset=utf-8><title>t</title><p>one<p>two", ["one", "two"]), ("<head><title>t</title>bare text", ["bare text"]),
+    ("<head><noscript><p>no script</p></noscript><title>t</title></head><body>x", ["x"]), ("<head><noscript><body><p>x", ["x"]),
+    ("<body><head><p>stray</p></head><p>x", ["stray", "x"]), ("<div><button>go<p>rest</p></div><p>x", ["go", "rest", "x"]),
+    ("<button>go</button><p>x", ["x"]), ("<button>a<button>b</button><p>x", ["x"]), ("<div><noscript><p>rest</div>x", ["rest", "x"]),
+    ("<select><option>a<option>b</select><p>x", ["x"]), ("<select><option>a<input><p>x</p><select><option>b</select>", ["x"]),
+    ("<datalist><option>a<option>b</datalist>x", ["x"]), ("<div><select><option>a</div><p>x", ["a", "x"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", ["so x=2 holds"]), ("<svg><text>no</text></svg><svg/><p>x", ["x"]),
+    ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>", ["x"]),
+])
+def test_elements_without_end_tags(page, want):
+    assert [b[0] for b in extract.blocks_of(page)] == want
