@@ -14,8 +14,7 @@ Shares and priors come from one grouped aggregation of the text-only posteriors
 documents, by (suffix, host, declaration), and its roll-ups. A document is rejected when it has
 no letters, or when no language reaches ``least`` (the flat model may have won).
 
-The trigram counts are fitted on at most ``per_language`` declared documents of each language,
-those with the smallest hashes. Everything else uses all rows. Every declared language with any
+The trigram counts are those of all declared documents. Every declared language with any
 letters in its documents is modelled, from one document on: the model holds the counts above 0
 only. Counts are smoothed by half a count for each bucket, and by at most as many as the language
 has trigrams: what a rare language has not seen is then half as likely as in the flat model, so
@@ -42,7 +41,6 @@ from statweave.llm.common import durable
 BUCKETS = 8192
 STRENGTH = 40.0
 LEAST = 0.5
-PER_LANGUAGE = 2000
 #: Prior of "none of the modelled languages".
 OTHER = 1e-3
 #: Weight of the wider group, in documents.
@@ -102,12 +100,9 @@ def model_of(table: pd.DataFrame) -> Model:
                  np.log1p(n / spread[at]), np.append(unseen, -np.log(BUCKETS)))
 
 
-def train(docs: DataFrame, declared: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE) -> Model:
-    """Trigram counts of a bounded sample, summed in the tasks; only the counts above 0 are collected."""
+def train(docs: DataFrame, declared: str = "lang", text: str = "text") -> Model:
+    """Trigram counts of all declared documents, summed in the tasks; only the counts above 0 are collected."""
     given = docs.select(F.col(declared).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
-    share = given.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("share"))
-    taken = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    sample = given.join(F.broadcast(share), "lang").where(taken).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
@@ -127,7 +122,7 @@ def train(docs: DataFrame, declared: str = "lang", text: str = "text", per_langu
                     counts += np.bincount(trigrams(said.encode()), minlength=BUCKETS)
         yield from told()
 
-    return model_of(sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+    return model_of(given.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
 
 
 def _evidence(model: Model):

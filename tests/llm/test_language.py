@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -83,3 +84,15 @@ def test_rare_language_beside_frequent_ones(documents):
     assert (got[500].language, got[500].accepted) == ("fi", True) and (got[501].language, got[501].accepted) == ("fi", True)
     assert got[502].language == "en" and not got[503].accepted and not got[504].accepted
     assert all(got[i].language == lang and got[i].accepted for i, _, lang, _ in rows)
+
+
+def test_counts_are_those_of_all_documents(documents):
+    """Few distinct texts in many copies: no hash of a text leaves a language without counts."""
+    rows = [(3000 * i + k, said, lang, "web") for i, (lang, said) in enumerate(SAID.items()) for k in range(2500)]
+    model = language.train(documents(rows))
+    want = sum(2500 * len(set(language.trigrams(said.encode()).tolist())) for said in SAID.values()) / 2500
+    assert model.languages == tuple(sorted(SAID)) and len(model.at) == want
+    spread = 0.5
+    for i, lang in enumerate(model.languages):
+        total = 2500 * len(language.trigrams(SAID[lang].encode()))
+        assert model.unseen[i] == pytest.approx(math.log(spread / (total + spread * language.BUCKETS)))
