@@ -39,6 +39,9 @@ from statweave.llm.labelled_pages import LAYOUTS
 
 MAX_PAGES = 200
 MAX_FEATURES = 2000
+#: Blocks of a page to learn from, in this many runs from its start to its end.
+MAX_BLOCKS = 200
+RUNS = 8
 #: Marks main elements in the written layouts; never a feature.
 MARK = "data-main"
 
@@ -193,11 +196,11 @@ def features(blocks: list, hide_main: bool = False) -> Iterator[list[str]]:
                f"linked{_bucket(linked / size, (0.01, 0.34, 0.67, 0.95))}",
                f"ends{text[-1] if text[-1] in '.!?:;,' else 'a' if text[-1].isalnum() else 'x'}",
                f"stops{_bucket(sum(map(text.count, '.!?,')) / n, (0.01, 0.06, 0.15))}",
-               f"digits{_bucket(sum(map(str.isdigit, text[:400])) / min(size, 400), (0.01, 0.1, 0.3))}"]
+               f"digits{_bucket(sum(map(str.isdigit, text)) / size, (0.01, 0.1, 0.3))}"]
         out += [x for x in names if not (hide_main and x in ("<article>", "<main>"))]
         out += ["aside"] if any(x[1:] in ASIDE_WORDS for x in names if x[0] == ".") else []
         out += ["first"] if k == 0 else ["last"] if k == count - 1 else []
-        out += ["copyright"] if "©" in text or "copyright" in text.lower()[:200] else []
+        out += ["copyright"] if "©" in text or "copyright" in text.lower() else []
         yield out
 
 
@@ -269,19 +272,32 @@ def fit(pages: Iterable[tuple[list[list[str]], list[bool]]], steps: int = 150, r
     return Model(dict(zip(names, theta.tolist(), strict=False)), float(theta[len(names)]), (tuple(moves[0]), tuple(moves[1])))
 
 
+def spread(count: int, most: int = MAX_BLOCKS, runs: int = RUNS) -> list[int]:
+    """At most ``most`` of ``count`` places, in equally spaced runs; the first and the last place are among them."""
+    if count <= most:
+        return list(range(count))
+    each = most // runs
+    return [(count - each) * r // (runs - 1) + k for r in range(runs) for k in range(each)]
+
+
 def train(pages: DataFrame, html: str = "html", url: str = "url", max_pages: int = MAX_PAGES, longest: int = 200_000) -> Model:
     """Fit on the written layouts and at most ``max_pages`` pages, of at most ``longest`` characters each."""
     usable = pages.where(F.length(html).between(1, longest)).select(F.col(html).alias("html"), F.xxhash64(url, html).alias("turn"))
     n = usable.count()
     least = int(-(2**63) + 2**64 * min(1.0, 1.2 * max_pages / max(n, 1)))
     sample = usable.where(F.col("turn") <= F.lit(min(least, 2**63 - 1))).orderBy("turn", "html").limit(max_pages).collect()
-    labelled = [(b, [x[3] for x in b]) for b in map(blocks_of, LAYOUTS)] * max(1, len(sample) // (10 * len(LAYOUTS)))
+    labelled = [(b, [x[3] for x in b], range(len(b))) for b in map(blocks_of, LAYOUTS)] * max(1, len(sample) // (10 * len(LAYOUTS)))
     for row in sample:
         blocks = blocks_of(row["html"])
         labels = [_main_by_markup(x[1]) for x in blocks]
         if any(labels):
-            labelled.append((blocks[:200], labels[:200]))
-    return fit((list(features(b, hide)), y) for b, y in labelled for hide in (False, True))
+            labelled.append((blocks, labels, spread(len(blocks))))
+
+    def taken(blocks: list, labels: list[bool], at: Iterable[int], hide: bool) -> tuple[list[list[str]], list[bool]]:
+        known = list(features(blocks, hide))
+        return [known[k] for k in at], [labels[k] for k in at]
+
+    return fit(taken(b, y, at, hide) for b, y, at in labelled for hide in (False, True))
 
 
 def main_text(html: str | None, model: Model) -> str:

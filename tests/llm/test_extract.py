@@ -91,3 +91,12 @@ def test_edge_cases(spark, model):
 ])
 def test_elements_without_end_tags(page, want):
     assert [b[0] for b in extract.blocks_of(page)] == want
+
+
+def test_long_blocks_and_pages_are_judged_as_a_whole():
+    text = "word " * 100 + "2024 " * 400 + "copyright"
+    (found,) = extract.features(extract.blocks_of(f"<p>{text}</p>"))
+    assert "copyright" in found and "digits3" in found
+    for count in (1, 200, 201, 1000):
+        at = extract.spread(count)
+        assert at[0] == 0 and at[-1] == count - 1 and sorted(set(at)) == at and len(at) == min(count, 200)
