@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, topk
+from statweave.llm import (
+    chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, topk, whitening,
+)
 from statweave.llm.common import WORD, checkpoint_dir, content_key, durable, table
 
 
@@ -90,6 +92,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("left").cast("long").alias("n_chars"), F.sha2("left", 256).alias("left_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 _CONTROL = r"[<\[]\\*(\|im_start\|>|\|im_sep\|>|\|im_next\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])"
