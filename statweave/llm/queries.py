@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statweave.llm import (
-    chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, topk, whitening,
+    chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, spelling, topk, whitening,
 )
 from statweave.llm.common import WORD, checkpoint_dir, content_key, durable, table
 
@@ -92,6 +92,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("left").cast("long").alias("n_chars"), F.sha2("left", 256).alias("left_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }
 
@@ -224,4 +229,40 @@ WITH docs AS (
 )
 SELECT doc_id, coalesce(n_removed, 0) AS n_removed, length(kept) AS n_chars, sha256(kept) AS left_sha256
 FROM docs LEFT JOIN remaining USING (doc_id)""",
+    "op12_spelling": rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents
+), per AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS k FROM runs WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL
+), rule AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), summed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(doc || ':' || run, ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(192 | (ord(c) >> 6) AS BIGINT), CAST(128 | (ord(c) & 63) AS BIGINT)] END))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+  FROM per, rule
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % {spelling.NOISE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(k) >= {spelling.MIN_COUNT}
+), shorter AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+), best AS (
+  SELECT word, other, other_n, n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= {spelling.RATIO} * words.n THEN other END AS form, CASE WHEN other_n >= {spelling.RATIO} * words.n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS here, 0 AS step FROM formed
+  UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN formed ON formed.word = here WHERE form IS NOT NULL
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word) USING (word)""",
 }
