@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statweave.llm import (
-    chat, decontaminate, extract, language, linededup, mixing, quality, rollup, simhash, spelling, topk, whitening,
+    chat, decontaminate, extract, language, linededup, mixing, pii, quality, rollup, simhash, spelling, topk, whitening,
 )
 from statweave.llm.common import WORD, checkpoint_dir, content_key, durable, table
 
@@ -92,6 +92,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("left").cast("long").alias("n_chars"), F.sha2("left", 256).alias("left_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+    placed = lambda s: F.struct(s.start, F.array_position(kinds, s.kind).alias("turn"), s.stop, s.kind)
+    number = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    found = pii.found(docs, pii.train(docs))
+    return found.select(
+        "row.doc_id", *[number(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(said(F.col("base")), 256).alias("base_sha256"),
+        said(F.array_sort(F.transform(F.concat("base", "added"), placed))).alias("spans"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents")))
 
@@ -113,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_pii": op11_pii,
     "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }
