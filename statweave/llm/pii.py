@@ -239,8 +239,7 @@ def written(kind: str, true: bool, rng: random.Random) -> str:
         digits += next(c for c in "0123456789" if luhn(digits + c))
         cut = lambda sep: sep.join(digits[k:k + 4] for k in range(0, 16, 4))
         if true:
-            second = rng.random() < 0.3
-            return cut(rng.choice([".", "/", "  ", "_", " - "])) if not second else rng.choice([digits, cut(" "), cut("-")])
+            return rng.choice([cut(rng.choice([".", "/", "  ", "_", " - "])), rng.choice([digits, digits, cut(" "), cut("-")])])
         digits = digits[:-1] + rng.choice([c for c in "0123456789" if not luhn(digits[:-1] + c)])
         return rng.choice([digits, number(13), number(18), cut("."), cut(" "), f"978-3-{number(2)}-{number(6)}-{number(1)}", cut("-"), number(20)])
     a, b, c = number(3), number(3), number(4)
@@ -257,14 +256,11 @@ def examples(text: str, seed: int) -> Iterator[tuple[str, bool, list[float], lis
     """Labelled candidates from a text: its own, and those of written items put between its words."""
     rng = random.Random(seed)
 
-    def judged(said: str, own: Span | None, kind_in: str, true: bool):
+    def judged(said: str, true: set[tuple[str, int, int]]):
         runs = [m.span() for m in _DIGITS.finditer(said)]
-        base = base_spans(said, runs)
-        known = {(k, *s) for k, spans in base.items() for s in spans}
+        known = true | {(k, *s) for k, spans in base_spans(said, runs).items() for s in spans}
         for kind, a, b in candidates(said, runs):
-            inside = own is not None and a < own[1] and b > own[0]
-            label = (kind, a, b) in known or inside and true and kind == kind_in and (a, b) == own
-            yield kind, label, features(said, kind, a, b), *words_around(said, a, b)
+            yield kind, (kind, a, b) in known, features(said, kind, a, b), *words_around(said, a, b)
 
     blanks = [m.start() for m in re.finditer(" ", text)] or [0]
     for kind in KINDS:
@@ -272,11 +268,23 @@ def examples(text: str, seed: int) -> Iterator[tuple[str, bool, list[float], lis
             at = rng.choice(blanks)
             cue = rng.choice(CUES[kind] if true or rng.random() < 0.1 else OTHER_CUES) + rng.choice(["", ":", " is", " no."]) + " " if rng.random() < 0.5 else ""
             item = written(kind, true, rng)
-            tail = " " + written(rng.choice(KINDS), True, rng) if rng.random() < 0.2 else rng.choice(["", ".", ",", ""])
-            head = text[max(0, at - 80):at] + " " + cue
-            yield from judged(head + item + tail + " " + text[at + 1:at + 60], (len(head), len(head) + len(item)), kind, true)
+            parts = [text[max(0, at - 80):at] + " " + cue, (kind if true else "", written(kind, true, rng))]
+            # Sometimes another item stands right beside it, as in lists: the patterns then run over both.
+            for side in (1, 3):
+                if rng.random() < 0.25:
+                    other = rng.choice([kind, rng.choice(KINDS)])
+                    parts[side:side] = [(other, written(other, True, rng)), " "][::2 - side]
+            parts.append(rng.choice(["", ".", ",", ""]) + " " + text[at + 1:at + 60])
+            said, spans = "", set()
+            for part in parts:
+                if isinstance(part, tuple):
+                    if part[0]:
+                        spans.add((part[0], len(said), len(said) + len(part[1])))
+                    part = part[1]
+                said += part
+            yield from judged(said, spans)
     for a in range(0, len(text), 4000):  # its own numbers, a few thousand characters at a time
-        yield from judged(text[a:a + 4000], None, "", False)
+        yield from judged(text[a:a + 4000], set())
 
 
 # -- model ---------------------------------------------------------------------
