@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from statweave.llm.common import content_key, durable, without
+from statweave.llm.common import content_key, durable, keyed, same_content, without
 
 SHINGLE = 3
 SEED = 42
@@ -136,12 +136,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp"))
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node with an edge, roots included."""
+    found = components(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, component_id) of every fingerprint that is linked to another or held by several rows."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    found = components(links(nodes.select("fp")))
-    rooted = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    joined = nodes.join(rooted, nodes.fp == rooted.node, "left")
+    roots = rooted(links(nodes.select("fp")))
+    joined = nodes.join(roots, nodes.fp == roots.node, "left")
     multi = joined.where("root IS NOT NULL OR copies > 1").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = multi.groupBy("root").agg(F.min("least").alias("component_id"))
     return multi.join(ids, "root").select("fp", "component_id")
@@ -162,13 +167,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its class; all columns stay.
+    """One row of ``docs`` for each class, with all columns: one with the smallest ``doc_id``.
 
-    Of rows that repeat that ``doc_id`` within the class all stay, as nothing tells them
-    apart; so do the rows of a class without any ``doc_id``.
+    A NULL ``doc_id`` stays only where the class has no other; of rows that repeat the smallest
+    ``doc_id``, or of a class without any, one stays.
     """
     key = [F.col(doc_id).alias("doc_id"), *content_key(F.col(text))]
     fps = durable(docs.select(*key, _fingerprints(F.col(text)).alias("fp")))
-    known = classes(fps).withColumnRenamed("fp", "of")
-    gone = fps.join(known, fps.fp == known.of).where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)")
-    return without(docs, gone, doc_id, text)
+    roots = rooted(links(fps.select("fp").distinct()))
+    # One row for each content, with its number of rows.
+    contents = fps.groupBy("doc_id", "h1", "h2").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
+    placed = durable(contents.join(roots, contents.fp == roots.node, "left").select(
+        "doc_id", "h1", "h2", "copies", F.coalesce("root", "fp").alias("root")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    # Dealt out otherwise once more, so that Spark can split a large class in the join.
+    kept = placed.groupBy("root").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("size")).where("size > 1").select(
+        F.col("root").alias("of"), "k").repartition("k")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h1") == F.col("k.h1")) & (F.col("h2") == F.col("k.h2"))
+    other = placed.join(kept, placed.root == kept.of).where(~is_kept).select("doc_id", "h1", "h2")
+    # A kept content that is in several rows goes too, and comes back as one row.
+    several = placed.where("copies > 1").select("doc_id", "h1", "h2")
+    if several.isEmpty():
+        return without(docs, other, doc_id, text)
+    other = durable(other)
+    again = several.join(other, same_content(several, other), "left_anti")
+    rows = keyed(docs, doc_id, text)
+    once = rows.join(again.hint("shuffle_hash"), same_content(rows, again), "left_semi").groupBy("doc_id", "h1", "h2").agg(
+        F.min_by("row", F.xxhash64("row")).alias("row"))
+    return without(docs, other.unionByName(several), doc_id, text).unionByName(once.select("row.*"))

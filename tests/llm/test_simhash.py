@@ -87,6 +87,8 @@ def test_null_ids_repeated_rows_and_empty(documents):
     docs = documents([(None, "alone here"), (None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "a b c")])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr)
     assert got == sorted([(None, None), (None, 5), (5, 5), (5, 5), (9, 5)], key=repr)
-    assert sorted((r.doc_id for r in simhash.one_per_class(docs).collect()), key=repr) == [5, 5, None]
+    assert sorted((r.doc_id for r in simhash.one_per_class(docs).collect()), key=repr) == [5, None]
+    twice = documents([(5, "a b c"), (5, "a b c"), (5, "a  b c"), (None, "no id"), (None, "no id"), (7, "own words")])
+    assert sorted((r.doc_id for r in simhash.one_per_class(twice).collect()), key=repr) == [5, 7, None]
     empty = documents([])
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_per_class(empty).count() == 0
