@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statweave.llm import decontaminate, language, linededup, mixing, neardup
+from statweave.llm import decontaminate, language, linededup, mixing, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts with mostly the same five-word shingles stays: one with the smallest ``doc_id``."""
-    return neardup.one_per_class(docs)
+    """One row of each class of SimHash fingerprints within two bits stays: one with the smallest ``doc_id``."""
+    return simhash.one_per_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: Language models, permuted hashes and rounding by md5 have no SQL form.
+#: Language models and the hashes of shingles have no SQL form.
 ORACLE_SQL = None
 
 
