@@ -186,8 +186,8 @@ def _codes(df: DataFrame, c: str) -> DataFrame:
     counts = df.select(value.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(
         F.count(F.lit(1)).alias("_w")
     ).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running(counts, [], "_v", ["_one", "_w"])
-    return ranked.select("_v", (F.col("cum__one") - 1).cast("int").alias("code"), "_w", F.col("tot__w").alias("_t"))
+    ranked = running(counts, [], "_v", ["_one"])
+    return ranked.select("_v", (F.col("cum__one") - 1).cast("int").alias("code"), "_w")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +197,7 @@ def encode_categories(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
     out = df
     for c, distinct in zip(targets, sizes):
         table = _codes(df, c).withColumnRenamed("_v", c).withColumnRenamed("code", "_code")
-        joined = join_by_value(out, table, [c], "_w", "_t", small=distinct <= BROADCAST_ROWS)
+        joined = join_by_value(out, table, [c], "_w", small=distinct <= BROADCAST_ROWS)
         out = joined.select(*[
             F.coalesce(F.col("_code"), F.lit(-1)).alias(c) if name == c else quoted(name)
             for name in df.columns

@@ -14,7 +14,7 @@ from statweave.functions.columns import (
 )
 from statweave.functions.labels import shape_label
 from statweave.operators.clean import with_fences
-from statweave.plans.joins import BROADCAST_ROWS, few_values, join_by_value, null_safe_join
+from statweave.plans.joins import BROADCAST_ROWS, attach, few_groups, few_values, join_by_value, null_safe_join
 from statweave.plans.ordered import running
 from statweave.plans.quantiles import exact_quantiles
 
@@ -142,13 +142,13 @@ def _rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], group_by:
         marginal = counts.groupBy(*by, value).agg(
             F.sum("w").alias("t"), F.count(F.lit(1)).alias("cells")
         )
-        run = running(marginal, keys, value, ["t", "cells"])
+        run = running(marginal, keys, value, ["t"])
         middle = (F.col("tot_t") + 1) / F.lit(2.0)
         ranks = run.select(
             *by, value, (F.col("cum_t") - (F.col("t") - 1) / F.lit(2.0) - middle).alias(f"r{value}"),
-            "cells", F.col("tot_cells").alias("all_cells"),
+            "cells",
         )
-        ranked = join_by_value(ranked, ranks, [*keys, value], "cells", "all_cells", small)
+        ranked = join_by_value(ranked, ranks, [*keys, value], "cells", small)
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy(*by).agg(
         F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"),
@@ -205,7 +205,9 @@ def histogram(
                  ).withColumn("_hi", F.when(F.col("_min") < F.col("_max"), F.col("_max")).otherwise(F.col("_max") + 0.5))
     width = F.col("_hi") - F.col("_lo")
     at = F.floor((F.col("x") - F.col("_lo")) * F.lit(bins) / width).cast("int")
-    counts = by_column(long, spans, group_by).groupBy(
+    # One row per group and column; hot groups are spread where that is too much for a broadcast.
+    small = few_groups(df, group_by, BROADCAST_ROWS // max(1, len(targets)))
+    counts = attach(long, spans, [*group_by, "column"], small=small).groupBy(
         *keys, "column", F.least(F.lit(bins - 1), at).alias("bin")
     ).agg(F.count(F.lit(1)).alias("_c"))
     frame = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

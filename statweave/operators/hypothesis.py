@@ -22,7 +22,7 @@ from statweave.functions.columns import (
 from statweave.functions.labels import DEFAULT, Thresholds, biserial_label, cohen_label, cramer_label
 from statweave.functions.tails import chi2_p, kolmogorov_sf, normal_quantile, normal_two_sided, student_p
 from statweave.operators.describe import check_categorical, contingency
-from statweave.plans.joins import attach, few_groups, join_results, null_safe_join
+from statweave.plans.joins import attach, few_groups, few_values, join_by_value, join_results, null_safe_join
 from statweave.plans.ordered import running
 from statweave.plans.quantiles import interpolated, order_statistics
 
@@ -534,17 +534,17 @@ def chi_square(
     keys = list(group_by)
     by = [quoted(k) for k in keys]
     cells = contingency(df, a, b, keys)
-    rows = cells.groupBy(*by, "value_a").agg(F.sum("count").alias("r"))
-    cols = cells.groupBy(*by, "value_b").agg(F.sum("count").alias("c"))
-    def with_key(left: DataFrame, right: DataFrame) -> DataFrame:
-        return null_safe_join(left, right, keys) if keys else attach(left, right, [])
+    rows = cells.groupBy(*by, "value_a").agg(F.sum("count").alias("r"), F.count(F.lit(1)).alias("_cells"))
+    cols = cells.groupBy(*by, "value_b").agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("_cells"))
+    # Margins of few values are broadcast; of many, those with most cells are spread.
+    small = few_values(df, keys, [a, b])
 
     row_sums = rows.groupBy(*by).agg(
         F.sum("r").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(1 / F.col("r")).alias("inv_rows")
     )
     col_sums = cols.groupBy(*by).agg(F.count(F.lit(1)).alias("cols"), F.sum(1 / F.col("c")).alias("inv_cols"))
-    full = null_safe_join(null_safe_join(cells, rows, [*keys, "value_a"]), cols, [*keys, "value_b"])
-    full = with_key(full, row_sums)
+    full = join_by_value(cells, rows, [*keys, "value_a"], "_cells", small)
+    full = attach(join_by_value(full, cols, [*keys, "value_b"], "_cells", small), row_sums, keys, small)
     expected = F.col("r").cast("double") * F.col("c") / F.col("n")
     gap = F.col("count") - expected
     body = full.groupBy(*by).agg(
@@ -556,7 +556,7 @@ def chi_square(
     # Cells with expected count below the limit: for each row total, how many column
     # totals lie below limit·n/r. One ordered pass instead of all (row, column) pairs.
     limit = thresholds.low_expected
-    totals = with_key(rows, body.select(*by, "n"))
+    totals = attach(rows.drop("_cells"), body.select(*by, "n"), keys, small)
     points = totals.select(
         *by, (F.lit(limit) * F.col("n") / F.col("r")).alias("v"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("col")
     ).unionByName(cols.select(*by, F.col("c").cast("double").alias("v"), F.lit(1).alias("o"), F.lit(1).cast("long").alias("col")))

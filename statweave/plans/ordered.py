@@ -1,12 +1,16 @@
 """Global order without a single-task window.
 
-A window without ``PARTITION BY`` (or with one hot key) sends everything to one
-task. Here each key is cut into order-preserving buckets: the cut points are
-approximate quantiles, so buckets are balanced; keys below ``rows`` rows keep
-one bucket. Windows then run per (key, bucket), and what crosses a bucket edge
-comes from a small table with one row per bucket of a split key. That table and
-the table of cut points hold at most one entry per ``rows`` input rows, and at
-most ``max_buckets`` per key, which is what bounds their broadcast.
+A window without ``PARTITION BY`` (or with one hot key) sends everything to one task. Here the
+table is cut into ranges of the whole tuple (keys, order columns): a sample of rows, drawn by a
+hash of each row, gives cut points with about equally many rows in between, so that hot keys
+and ties in the first order columns are cut further down the tuple, whatever its types. Windows
+then run per (key, bucket), and what crosses a bucket edge comes from a small table with one row
+per bucket of a key that a cut goes through: at most two rows per cut. Tables of up to ``rows``
+rows have no cuts. There are at most ``max_buckets`` buckets, which bounds the cuts, the small
+table and its broadcast; the sample holds about ``SAMPLE`` distinct rows per bucket.
+
+Cut points depend on the rows alone: a recomputed task and every branch of a plan sees the same.
+Only rows that agree in the whole tuple cannot be parted.
 """
 
 from __future__ import annotations
@@ -16,80 +20,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statweave.functions.columns import quoted
-from statweave.plans.joins import attach, null_safe_join
+from statweave.plans.joins import null_safe_join
 
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 4096
+#: Sampled distinct rows per bucket: about 9 % deviation of its size.
+SAMPLE = 128
 
 
 def _bucket_limit(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(MAX_BUCKETS, 4 * partitions))
-
-
-def _edges_below(x: str, edges: str, limit: int) -> Column:
-    """Number of cut points smaller than column x, by binary search."""
-    widths = ", ".join(str(1 << b) for b in range(limit.bit_length() - 1, -1, -1))
-    step = f"CASE WHEN at + w <= size({edges}) AND get({edges}, at + w - 1) < `{x}` THEN w ELSE 0 END"
-    return F.expr(
-        f"CASE WHEN {edges} IS NULL OR `{x}` IS NULL THEN 0 "
-        f"ELSE aggregate(array({widths}), 0, (at, w) -> at + {step}) END"
-    )
-
-
-def _numeric_grid(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], limit: int) -> DataFrame:
-    """Per key: row count, totals and ``limit`` − 1 equally spaced quantiles of ``order``."""
-    grid = [i / limit for i in range(1, limit)]
-    return df.groupBy(*[quoted(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.percentile_approx(quoted(order), grid, max(10_000, 10 * limit)).alias("_grid"),
-        *[F.sum(quoted(s)).alias(f"_all_{s}") for s in sums],
-    )
-
-
-def _text_grid(df: DataFrame, order: str, sums: Sequence[str], limit: int) -> DataFrame:
-    """The same for text, from a sample of fixed size: the lowest hashes of distinct values."""
-    size = 64 * limit
-    sample = df.select(quoted(order).alias("v")).orderBy(F.xxhash64("v"), "v").limit(size)
-    ordered = sample.agg(F.array_sort(F.collect_list("v")).alias("a"))
-    grid = ordered.select(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(limit - 1)),
-            lambda i: F.get(F.col("a"), F.floor(i * F.size("a") / F.lit(limit)).cast("int")),
-        ).alias("_grid")
-    )
-    totals = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(quoted(s)).alias(f"_all_{s}") for s in sums]
-    )
-    return totals.withColumn("_grid", grid.scalar())
-
-
-def bucketed(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str] = (),
-    rows: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Add ``_b`` (bucket, rising with ``order``), ``_split`` and, for split keys, key totals.
-
-    Text can be ordered over a whole table of distinct values (no keys).
-    """
+    return max(64, min(MAX_BUCKETS, 4 * partitions))
+
+
+def _tuple(keys: Sequence[str], order: Sequence[str]) -> Column:
+    k = F.struct(*[quoted(c).alias(f"_{i}") for i, c in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("_0"))
+    return F.struct(k.alias("k"), F.struct(*[quoted(c).alias(f"_{i}") for i, c in enumerate(order)]).alias("o"))
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, limit: int) -> Column:
+    """Rising (key, order) tuples, a bucket holding what is above one and up to the next; a scalar subquery."""
+    hashable = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    drawn = df.select(_tuple(keys, order).alias("t"), F.xxhash64(*hashable).alias("h"))
+    sizes = drawn.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d"))
+    share = f"least(1D, {SAMPLE * limit}D / greatest(d, 1))"
+    least = sizes.select(F.expr(
+        f"CASE WHEN n <= {rows} THEN NULL ELSE cast(round(-9.2233720368547758E18D + 1.8446744073709550E19D * {share}) AS long) END"))
+    sample = drawn.where(F.col("h") <= least.scalar()).groupBy("t").agg(F.count(F.lit(1)).alias("w"))
+    # One task from here on: the sample is bounded.
+    wanted = sizes.select(F.least(F.lit(limit), F.ceil(F.col("n") / rows)).cast("double")).scalar()
+    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    middle = (F.sum("w").over(upto) - F.col("w") / 2) / F.sum("w").over(whole)
+    ends = sample.select("t", F.floor(middle * wanted).alias("at")).groupBy("at").agg(F.max("t").alias("t"))
+    cuts = ends.agg(F.sort_array(F.collect_list("t")).alias("c"))
+    return cuts.select(F.slice("c", 1, F.greatest(F.lit(0), F.size("c") - 1))).scalar()
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``_b`` (bucket, rising with keys and order) and ``_split`` (a cut goes through the key)."""
+    order = [order] if isinstance(order, str) else list(order)
     limit = _bucket_limit(df)
-    if isinstance(df.schema[order].dataType, T.StringType):
-        if keys:
-            raise ValueError("text order is supported for whole columns only")
-        sketch = _text_grid(df, order, sums, limit)
-    else:
-        sketch = _numeric_grid(df, keys, order, sums, limit)
-    wanted = f"least({limit}, int(ceil(_rows / {rows})))"
-    split = sketch.where(F.col("_rows") > rows).select(
-        *[quoted(k) for k in keys],
-        F.expr(f"transform(sequence(1, {wanted} - 1), i -> get(_grid, int(floor(i * {limit} / {wanted})) - 1)) AS _edges"),
-        *[f"_all_{s}" for s in sums],
-    )
-    # Bounded: one cut point per `rows` rows of df, at most `limit` per key.
-    with_edges = attach(df, split, keys, small=True)
-    return with_edges.withColumn(
-        "_b", _edges_below(order, "_edges", limit)
-    ).withColumn("_split", F.col("_edges").isNotNull()).drop("_edges")
+    cut = df.withColumns({"_t": _tuple(keys, order), "_cuts": cut_points(df, keys, order, rows, limit)})
+    widths = ", ".join(str(1 << b) for b in range(limit.bit_length() - 1, -1, -1))
+    step = "CASE WHEN at + w <= size(_cuts) AND get(_cuts, at + w - 1) < _t THEN w ELSE 0 END"
+    below = F.expr(f"CASE WHEN size(_cuts) = 0 THEN 0 ELSE aggregate(array({widths}), 0, (at, w) -> at + {step}) END")
+    through = "coalesce(get(_cuts, _b).k <=> _t.k, false) OR coalesce(get(_cuts, _b - 1).k <=> _t.k, false)"
+    placed = cut.withColumn("_b", below).withColumn("_split", F.expr(f"size(_cuts) > 0 AND ({through})"))
+    return placed.drop("_t", "_cuts")
 
 
 def running(
@@ -98,17 +76,13 @@ def running(
 ) -> DataFrame:
     """Add ``cum_s`` (running total up to and including the row) and ``tot_s`` per key."""
     order = [order] if isinstance(order, str) else list(order)
-    parts = bucketed(df, keys, order[0], sums, rows)
+    parts = bucketed(df, keys, order, rows)
     by = [quoted(k) for k in keys]
-    # Totals are taken along here too: every branch then reads the same columns of
-    # df, so Spark reuses one shuffle for the sketch, the sizes and the window.
-    sizes = parts.where("_split").groupBy(*by, "_b").agg(
-        *[F.sum(quoted(s)).alias(f"_sz_{s}") for s in sums],
-        *[F.max(f"_all_{s}").alias(f"_key_{s}") for s in sums],
-    )
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.where("_split").groupBy(*by, "_b").agg(*[F.sum(quoted(s)).alias(f"_sz_{s}") for s in sums])
+    every = Window.partitionBy(*by)
+    before = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by, "_b", *[f"_key_{s}" for s in sums],
+        *by, "_b", *[F.sum(f"_sz_{s}").over(every).alias(f"_key_{s}") for s in sums],
         *[F.sum(f"_sz_{s}").over(before).alias(f"_off_{s}") for s in sums],
     )
     inside = Window.partitionBy(*by, F.col("_b")).orderBy(*[quoted(o) for o in order])
@@ -119,11 +93,12 @@ def running(
         *[F.sum(quoted(s)).over(upto).alias(f"_in_{s}") for s in sums],
         *[F.sum(quoted(s)).over(whole).alias(f"_bk_{s}") for s in sums],
     )
+    # At most two rows per cut.
     out = null_safe_join(out, F.broadcast(offsets), [*keys, "_b"])
     return out.select(
         *[quoted(c) for c in df.columns],
         *[F.expr(f"coalesce(`_off_{s}`, 0) + `_in_{s}` AS `cum_{s}`") for s in sums],
-        *[F.expr(f"coalesce(`_key_{s}`, `_all_{s}`, `_bk_{s}`) AS `tot_{s}`") for s in sums],
+        *[F.expr(f"coalesce(`_key_{s}`, `_bk_{s}`) AS `tot_{s}`") for s in sums],
     )
 
 
@@ -133,7 +108,7 @@ def with_next(
 ) -> DataFrame:
     """Add ``next_c``: the value of c in the following row of the same key."""
     order = [order] if isinstance(order, str) else list(order)
-    parts = bucketed(df, keys, order[0], rows=rows)
+    parts = bucketed(df, keys, order, rows)
     by = [quoted(k) for k in keys]
     packed = F.struct(*[quoted(c) for c in columns])
     firsts = parts.where("_split").groupBy(*by, "_b").agg(

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from statweave.operators import clean, describe, distfit, hypothesis, timeseries
-from statweave.plans.joins import join_by_value
-from statweave.plans.ordered import blocks, running, with_next
+from statweave.plans import joins
+from statweave.plans.joins import attach, hot_keys, join_by_value
+from statweave.plans.ordered import blocks, bucketed, running, with_next
 from statweave.plans.quantiles import exact_quantiles
 from statweave.sources import tables
 
@@ -50,6 +51,61 @@ def test_next_row(spark, limit):
     assert got["next_t"].fillna(-1).tolist() == want.fillna(-1).tolist()
 
 
+def bucket_sizes(df, keys, order, limit):
+    return [r["count"] for r in bucketed(df, keys, order, limit).groupBy(*keys, "_b").count().collect()]
+
+
+@pytest.mark.parametrize("kind", ["one first value", "text in groups", "mixed", "hot value"])
+def test_buckets_are_cut_down_the_whole_tuple(spark, kind):
+    """Ties in the first order columns, text and groups leave no bucket far above the limit."""
+    i = F.col("id")
+    df, keys, order = {
+        "one first value": (spark.range(50_000).select(F.lit("g").alias("g"), F.lit(7).alias("a"), i.alias("b")), ["g"], ["a", "b"]),
+        "text in groups": (spark.range(50_000).select((i % 2).alias("g"), F.concat(F.lit("https://example.org/"), F.lpad(i.cast("string"), 9, "0")).alias("a")), ["g"], ["a"]),
+        "mixed": (spark.range(50_000).select(F.when(i % 3 > 0, F.lit("x")).alias("a"), F.when(i % 5 > 0, (i % 4).cast("double")).alias("b"), i.alias("c")), [], ["a", "b", "c"]),
+        "hot value": (spark.range(50_000).select(F.when(i < 40_000, 5).otherwise(i).alias("a"), F.xxhash64("id").alias("b")), [], ["a", "b"]),
+    }[kind]
+    sizes = bucket_sizes(df, keys, order, 1000)
+    assert sum(sizes) == 50_000 and max(sizes) <= 2000
+    one = df.withColumn("one", F.lit(1))
+    got = sorted(tuple(r) for r in running(one, keys, order, ["one"], rows=1000).select(*keys, "cum_one", "tot_one").collect())
+    want = {}
+    for r in df.select(*keys).collect() if keys else [()] * 50_000:
+        want[tuple(r)] = want.get(tuple(r), 0) + 1
+    assert got == sorted((*k, c, n) for k, n in want.items() for c in range(1, n + 1))
+    by = [f"`{o}` NULLS FIRST" for o in order]
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    plain = df.selectExpr("*", f"lead(struct({', '.join(order)})) OVER ({part}ORDER BY {', '.join(by)}) AS want")
+    cut = with_next(df, keys, order, order, rows=1000)
+    same = plain.join(cut, [plain[c].eqNullSafe(cut[c]) for c in [*keys, *order]])
+    assert same.where(" OR ".join(f"NOT (next_{o} <=> want.{o})" for o in order)).count() == 0 and same.count() == 50_000
+
+
+def test_small_tables_and_few_distinct_rows(spark):
+    assert bucket_sizes(spark.range(900), [], "id", 1000) == [900]
+    tied = spark.range(20_000).select((F.col("id") % 10).alias("v"))  # ten rows, each repeated
+    assert sorted(bucket_sizes(tied, [], "v", 1000)) == [2000] * 10
+    assert bucket_sizes(spark.range(0), [], "id", 10) == []
+
+
+def test_hot_group_is_spread(spark):
+    """300,000 groups, one with half of all rows: tasks come out even, and only the list of hot keys is broadcast."""
+    i = F.col("id")
+    rows = spark.range(600_000).select(F.when(i % 2 == 0, -1).otherwise(i).alias("g"), i.alias("x"))
+    stats = rows.groupBy("g").agg(F.max("x").alias("top"))
+    hot = hot_keys(rows, ["g"]).collect()
+    assert len(hot) == 1 and hot[0]["_pieces"] == 64
+    joined = attach(rows, stats, ["g"])
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 600_000 and max(sizes) <= 2 * 600_000 / len(sizes)
+    assert joined.where("NOT (top <=> if(g = -1, 599998, g))").count() == 0
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and joins.HOT_SHARE == 1000
+    skewed_nulls = spark.createDataFrame([(None, k) for k in range(400)] + [(1, 5)], "g int, x int")
+    got = attach(skewed_nulls, skewed_nulls.groupBy("g").agg(F.max("x").alias("m")), ["g"]).collect()
+    assert len(got) == 401 and {(r.g, r.m) for r in got} == {(None, 399), (1, 5)}
+
+
 def test_blocks_overlap_by_the_lags(spark):
     cut = blocks(spark.range(100).withColumnRenamed("id", "pos"), "pos", 30, 4).toPandas()
     for block, part in cut.groupby("_block"):
@@ -79,8 +135,8 @@ def test_quantiles_of_nothing(spark):
 
 def test_join_by_value_with_hot_values(spark):
     values = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 700 + 1).alias("v"))
-    table = values.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("t", F.lit(3000)).withColumn("code", F.col("v") * 10)
-    joined = join_by_value(values, table, ["v"], "w", "t", hot_share=100)
+    table = values.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("code", F.col("v") * 10)
+    joined = join_by_value(values, table, ["v"], "w", hot_share=100)
     assert joined.count() == 3000
     assert joined.where("code != v * 10 or code is null").count() == 0
 
