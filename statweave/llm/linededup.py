@@ -56,6 +56,11 @@ def positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return durable(placed.select(*KEY, "line", "a", "b", "w", "upto", "pos", (F.col("pos") + F.col("lines") - F.col("line")).alias("last")))
 
 
+def sorted_in(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: dozens of small tables a run would pass through the driver."""
+    return df.hint("merge")
+
+
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
     """``key``, ``first`` of each class of equal keys with at least two positions.
 
@@ -72,18 +77,18 @@ def levels(lines: DataFrame) -> list[DataFrame]:
     ``size``, the number of lines compared, is a column: all rounds then run the same compiled code.
     """
     found = _repeated(lines, "a", "b")
-    level = durable(lines.join(found, ["a", "b"]).select(
+    level = durable(lines.join(sorted_in(found), ["a", "b"]).select(
         "pos", "last", F.col("first").alias("rank"), "first", F.lit(1).cast("long").alias("size")))
     out = []
     while not level.isEmpty():
         out.append(level)
         ahead = level.select((F.col("pos") - F.col("size")).alias("pos"), F.col("rank").alias("r2"))
-        pairs = level.where("pos + size <= last").select("pos", "last", F.col("rank").alias("r1"), "size").join(ahead, "pos")
+        pairs = level.where("pos + size <= last").select("pos", "last", F.col("rank").alias("r1"), "size").join(sorted_in(ahead), "pos")
         classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
         # Row numbers of the sorted pairs keep their order.
         ranked = classes.repartitionByRange(partitions(lines), "r1", "r2").sortWithinPartitions("r1", "r2").select(
             "r1", "r2", "first", F.monotonically_increasing_id().alias("rank"))
-        level = durable(pairs.join(ranked, ["r1", "r2"]).select(
+        level = durable(pairs.join(sorted_in(ranked), ["r1", "r2"]).select(
             "pos", "last", "rank", "first", (F.col("size") * 2).alias("size")))
     return out
 
@@ -95,10 +100,10 @@ def longest_repeats(doubling: list[DataFrame]) -> DataFrame:
         # Positions whose longest power of two with an earlier copy is this one, and their witnesses.
         new = level.where("pos <> first")
         if above is not None:
-            new = new.join(above.where("pos <> first").select("pos"), "pos", "left_anti")
+            new = new.join(sorted_in(above.where("pos <> first").select("pos")), "pos", "left_anti")
         new = new.select("pos", "last", F.col("size").alias("len"), "first")
         seen = new.select(F.col("first").alias("pos"), "len", "first").distinct()
-        witnesses = level.where("pos = first").select("pos", "last").join(seen, "pos").select("pos", "last", "len", "first")
+        witnesses = level.where("pos = first").select("pos", "last").join(sorted_in(seen), "pos").select("pos", "last", "len", "first")
         new = new.unionByName(witnesses)
         state = durable(new if state is None else new.unionByName(_refined(state, level)))
         above = level
@@ -110,9 +115,9 @@ def _refined(state: DataFrame, level: DataFrame) -> DataFrame:
     """Split each interval of ``state`` by the rank of the next ``size`` lines behind its prefix."""
     ahead = level.select(F.col("pos").alias("at"), F.col("rank").alias("r"), "size")
     after = F.col("pos") + F.col("len")
-    known = state.join(ahead, (after == F.col("at")) & (after <= F.col("last")), "left").drop("at")
+    known = state.join(sorted_in(ahead), (after == F.col("at")) & (after <= F.col("last")), "left").drop("at")
     classes = _repeated(known.where("r IS NOT NULL").select("len", F.col("first").alias("prefix"), "r", "pos"), "len", "prefix", "r")
-    joined = known.join(classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start")), ["len", "first", "r"], "left")
+    joined = known.join(sorted_in(classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start"))), ["len", "first", "r"], "left")
 
     def row(length: Column, first: Column) -> Column:
         return F.struct("pos", "last", length.alias("len"), first.alias("first"))
@@ -132,9 +137,9 @@ def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             F.lit(0).alias("start"), F.lit(0).alias("stop"))).alias("ranges"))
     runs = longest_repeats(doubling)
     ends = lines.select(F.col("pos").alias("end"), F.col("upto").alias("total"))
-    spans = runs.withColumn("end", F.col("pos") + F.col("len") - 1).join(ends, "end").select("pos", "end", "total")
+    spans = runs.withColumn("end", F.col("pos") + F.col("len") - 1).join(sorted_in(ends), "end").select("pos", "end", "total")
     starts = lines.select(*KEY, "line", "pos", (F.col("upto") - F.col("w")).alias("before"))
-    kept = durable(spans.join(starts, "pos").where(F.col("total") - F.col("before") >= min_words).select(
+    kept = durable(spans.join(sorted_in(starts), "pos").where(F.col("total") - F.col("before") >= min_words).select(
         *KEY, "line", (F.col("line") + F.col("end") - F.col("pos") + 1).alias("stop")))
     # Runs of a document overlap; where a run starts behind all ends so far, a new range begins.
     by_line = Window.partitionBy(*KEY).orderBy("line")
