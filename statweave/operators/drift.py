@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from statweave.functions.columns import as_double, clean, melt, quoted, ratio
 from statweave.functions.labels import DEFAULT, Thresholds, psi_label
 from statweave.operators.hypothesis import (
-    TwoSamples, benjamini_hochberg, chi_square_finish, decide, paired_t_of, rank_statistics, second_pass,
-    shapiro_of_counts, two_sample_table, value_counts_of, wilcoxon_of_counts, with_ks,
+    TwoSamples, benjamini_hochberg, chi_square_finish, decide, paired_t_of, shapiro_of_counts,
+    two_sample_table, value_counts_of, wilcoxon_of_counts, with_ks,
 )
 from statweave.operators.profile import common_columns
 from statweave.plans.joins import null_safe_join
+from statweave.plans.quantiles import exact_quantiles
 
 PSI_BUCKETS = 10
 PSI_FLOOR = 0.0001
@@ -200,9 +201,14 @@ def psi(
     ``insufficient_data``, so that little data does not read as no drift.
     """
     targets = [c for c in common_columns(a, b)["numeric"] if columns is None or c in set(columns)]
-    s = two_sides(a, b, targets)
-    first = rank_statistics(s, _DECILES, medians=False)
-    binned = second_pass(s, first, _psi_counts(), ["n_a", "n_b"], _psi_bin())
+    if not targets:
+        raise ValueError("the datasets share no numeric column")
+    # Cut points from brackets, then one count per bin: no value table is shuffled.
+    edges = exact_quantiles(a, targets, _DECILES).select("column", F.col("q").alias("quantiles_a"))
+    rows = null_safe_join(two_sides(a, b, targets).long, F.broadcast(edges), ["column"])  # one row per column
+    counts = rows.select("column", "side", *_psi_bin()).groupBy("column", "side", "_bin", "_last").agg(F.count(F.lit(1)).alias("c"))
+    binned = counts.selectExpr("column", "_bin", "_last", "if(side = 0, c, 0L) AS ca", "if(side = 1, c, 0L) AS cb").groupBy("column").agg(
+        F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), *_psi_counts())
     valued = binned.select("column", _psi_value().alias("psi"), F.least("n_a", "n_b").alias("_n"))
     label = F.when(F.col("_n") < min_rows, "insufficient_data").otherwise(psi_label(F.col("psi"), thresholds))
     return valued.withColumn("psi_label", label).drop("_n")

@@ -196,9 +196,53 @@ def with_ks(table: DataFrame) -> DataFrame:
     }).drop("_lam")
 
 
-def ks_two_sample(s: TwoSamples) -> DataFrame:
+def _ks_bounded(s: TwoSamples, bins: int) -> DataFrame:
+    """(keys, n_a, n_b, distance): largest distance of the two distribution functions by branch and bound.
+
+    One pass counts both sides in bins between approximate quantiles of all values. At the edges
+    the distance is known; inside a bin it can leave the value at the lower edge by no more than
+    the shares of the two sides in that bin. Only the values of bins whose bound exceeds the best
+    edge are shuffled and ranked, with what lies below the bin as offset.
+    """
+    by = _by(s)
+    grid = [i / bins for i in range(1, bins)]
+    cuts = s.long.groupBy(*by).agg(F.percentile_approx("x", grid, 10 * bins).alias("_c")).select(*by, F.array_distinct("_c").alias("_c"))
+    widths = ", ".join(str(1 << k) for k in range(bins.bit_length() - 1, -1, -1))
+    step = "CASE WHEN at + w <= size(_c) AND _c[at + w - 1] < x THEN w ELSE 0 END"
+    placed = null_safe_join(s.long, F.broadcast(cuts), s.keys).withColumn("_bin", F.expr(f"aggregate(array({widths}), 0, (at, w) -> at + {step})"))
+    counted = placed.groupBy(*by, "_bin").agg(
+        F.sum(F.lit(1) - F.col("side")).alias("ca"), F.sum("side").alias("cb"),
+        # The bin as an interval of values, so that the second pass need not place them again.
+        F.first(F.expr("get(_c, _bin - 1)")).alias("lo"), F.first(F.expr("get(_c, _bin)")).alias("hi"))
+    every = Window.partitionBy(*by)  # at most ``bins`` rows
+    before = every.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = counted.select("*", *[F.sum(f"c{t}").over(every).alias(f"n_{t}") for t in "ab"], *[
+        F.coalesce(F.sum(f"c{t}").over(before), F.lit(0)).alias(f"o{t}") for t in "ab"])
+    share = lambda t, c: f"({c}) / nullif(double(n_{t}), 0D)"
+    edged = whole.withColumns({
+        "_edge": F.expr(f"abs({share('a', 'oa + ca')} - {share('b', 'ob + cb')})"),
+        "_most": F.expr(f"greatest(abs({share('a', 'oa + ca')} - {share('b', 'ob')}), abs({share('a', 'oa')} - {share('b', 'ob + cb')}))"),
+    }).withColumn("_best", F.max("_edge").over(every))
+    open_ = F.struct(F.col("lo"), F.col("hi"), F.col("oa"), F.col("ob"), F.col("_bin"))
+    known = edged.groupBy(*by).agg(
+        F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("_best").alias("_best"),
+        F.collect_list(F.when((F.col("_most") > F.col("_best")) & (F.col("ca") + F.col("cb") > 1), open_)).alias("_open"))
+    inside = "filter(_open, i -> (i.lo IS NULL OR x > i.lo) AND (i.hi IS NULL OR x <= i.hi))"
+    near = null_safe_join(s.long, F.broadcast(known.where(F.size("_open") > 0).drop("_best")), s.keys).where("_open IS NOT NULL").withColumn(
+        "_i", F.expr(f"get({inside}, 0)")).where("_i IS NOT NULL")
+    values = near.groupBy(*by, F.col("_i._bin").alias("_bin"), "x").agg(
+        F.sum(F.lit(1) - F.col("side")).alias("ca"), F.sum("side").alias("cb"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
+        F.first("_i.oa").alias("oa"), F.first("_i.ob").alias("ob"))
+    run = running(values, [*s.keys, "_bin"], "x", ["ca", "cb"])
+    finer = run.groupBy(*by).agg(F.expr(f"max(abs({share('a', 'oa + cum_ca')} - {share('b', 'ob + cum_cb')}))").alias("_fine"))
+    return join_results(known.drop("_open"), finer, s.keys).select(*by, "n_a", "n_b", F.greatest("_best", "_fine").alias("distance"))
+
+
+def ks_two_sample(s: TwoSamples, bins: int = 512) -> DataFrame:
     """Largest distance of the two distribution functions, asymptotic p."""
-    return with_ks(rank_statistics(s, medians=False)).select(
+    # Cut points of too many groups for a broadcast: ranks of all values.
+    table = _ks_bounded(s, bins) if s.small else rank_statistics(s, medians=False)
+    return with_ks(table).select(
         *_by(s), "n_a", "n_b", F.col("ks_stat").alias("statistic"), F.col("ks_p").alias("p_value")
     )
 

@@ -7,10 +7,11 @@ and ties in the first order columns are cut further down the tuple, whatever its
 then run per (key, bucket), and what crosses a bucket edge comes from a small table with one row
 per bucket of a key that a cut goes through: at most two rows per cut. Tables of up to ``rows``
 rows have no cuts. There are at most ``max_buckets`` buckets, which bounds the cuts, the small
-table and its broadcast; the sample holds about ``SAMPLE`` distinct rows per bucket.
+table and its broadcast; the sample holds ``SAMPLE`` rows per bucket.
 
 Cut points depend on the rows alone: a recomputed task and every branch of a plan sees the same.
-Only rows that agree in the whole tuple cannot be parted.
+Rows that agree in the whole tuple cannot be parted; rows that agree in every column are drawn
+together, so that buckets are uneven where a table consists of few rows repeated often.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from statweave.plans.joins import null_safe_join
 
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 4096
-#: Sampled distinct rows per bucket: about 9 % deviation of its size.
+#: Sampled rows per bucket: about 9 % deviation of its size.
 SAMPLE = 128
 
 
@@ -41,18 +42,18 @@ def _tuple(keys: Sequence[str], order: Sequence[str]) -> Column:
 def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, limit: int) -> Column:
     """Rising (key, order) tuples, a bucket holding what is above one and up to the next; a scalar subquery."""
     hashable = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    drawn = df.select(_tuple(keys, order).alias("t"), F.xxhash64(*hashable).alias("h"))
-    sizes = drawn.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d"))
-    share = f"least(1D, {SAMPLE * limit}D / greatest(d, 1))"
-    least = sizes.select(F.expr(
-        f"CASE WHEN n <= {rows} THEN NULL ELSE cast(round(-9.2233720368547758E18D + 1.8446744073709550E19D * {share}) AS long) END"))
-    sample = drawn.where(F.col("h") <= least.scalar()).groupBy("t").agg(F.count(F.lit(1)).alias("w"))
-    # One task from here on: the sample is bounded.
-    wanted = sizes.select(F.least(F.lit(limit), F.ceil(F.col("n") / rows)).cast("double")).scalar()
-    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The rows of the lowest hashes; how far they reach tells how many rows there are. One task from here on.
+    size = SAMPLE * limit
+    drawn = df.select(F.xxhash64(*hashable).alias("h"), _tuple(keys, order).alias("t")).orderBy("h").limit(size)
+    sample = drawn.groupBy("t").agg(F.count(F.lit(1)).alias("w"), F.max("h").alias("h"))
     whole = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    middle = (F.sum("w").over(upto) - F.col("w") / 2) / F.sum("w").over(whole)
-    ends = sample.select("t", F.floor(middle * wanted).alias("at")).groupBy("at").agg(F.max("t").alias("t"))
+    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sample.select(
+        "t", (F.sum("w").over(upto) - F.col("w") / 2).alias("middle"), F.sum("w").over(whole).alias("all"), F.max("h").over(whole).alias("h"))
+    share = "((cast(h AS double) + 9.2233720368547758E18D) / 1.8446744073709550E19D)"
+    estimate = f"CASE WHEN all < {size} THEN all ELSE all / {share} END"
+    wanted = f"least({limit}, ceil(({estimate}) / {rows}))"
+    ends = placed.select("t", F.expr(f"floor(middle * {wanted} / all)").alias("at")).groupBy("at").agg(F.max("t").alias("t"))
     cuts = ends.agg(F.sort_array(F.collect_list("t")).alias("c"))
     return cuts.select(F.slice("c", 1, F.greatest(F.lit(0), F.size("c") - 1))).scalar()
 
