@@ -267,6 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_norm_expon_events": lambda s, d: _fit_rows(distfit.fit_distributions(events(s, d), ["value"], candidates=("norm", "expon"))),
         "fit_distributions_by_type": lambda s, d: _fit_rows(distfit.fit_distributions(events(s, d), ["value"], ["event_type"])),
         "fit_poisson_users": lambda s, d: _fit_rows(distfit.fit_distributions(user_counts(s, d), ["events"])),
+        "fit_poisson_law_users": lambda s, d: _fit_rows(distfit.fit_distributions(user_counts(s, d), ["events"], candidates=("poisson",))),
         "best_fit_part": lambda s, d: _fit_rows(distfit.best_distribution(distfit.fit_distributions(part(s, d), ["p_size", "p_retailprice"]))),
         "pdf_curve_events": lambda s, d: digits(distfit.density_curve(
             events(s, d), distfit.fit_distributions(events(s, d), ["value"], candidates=("norm", "expon"))), y=9),

@@ -34,6 +34,12 @@ def student_two_sided(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - 2 * {simpson(body, f'atan(abs({t}) / sqrt({df}))', 2000)})"
 
 
+def chi2_upper(x: str, df: str) -> str:
+    """Through the square root, whose density is smooth at zero."""
+    body = f"2 * pow({{x}}, ({df}) - 1) * exp(-0.5 * {{x}} * {{x}} - ({df}) / 2.0 * ln(2) - lgamma(({df}) / 2.0))"
+    return f"greatest(0.0, 1 - {simpson(body, f'sqrt({x})', 2000)})"
+
+
 def kolmogorov(lam: str) -> str:
     terms = f"sum(2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * ({lam}) * ({lam})))"
     return f"CASE WHEN ({lam}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT {terms} FROM range(1, 101) r(k)))) END"
@@ -401,6 +407,19 @@ SELECT o_orderstatus, 'o_totalprice / revised' AS "column", n, round(t, 6) AS st
     "chi2_quality_toxic": chi2("(SELECT quality, toxic FROM documents JOIN labels USING (doc_id))", "quality", "toxic", normal_two_sided("sqrt(chi2)")).format(CHI2_OUT),
     "chi2_low_expected": chi2("(SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS hour FROM events)", "user_id", "hour", "0").format(
         """round(chi2, 4) AS chi2, dof, n, round(v, 4) AS cramers_v, CASE WHEN v < 0.1 THEN 'none' WHEN v < 0.3 THEN 'weak' WHEN v < 0.5 THEN 'moderate' ELSE 'strong' END AS strength, low_expected_cells, total_cells"""),
+    "fit_poisson_law_users": f"""WITH RECURSIVE c AS (SELECT user_id, count(*) AS x FROM events GROUP BY user_id),
+st AS (SELECT count(*) AS n, avg(x) AS lam FROM c),
+v AS (SELECT x, count(*) AS w, row_number() OVER (ORDER BY x) AS i, lead(x) OVER (ORDER BY x) AS nx FROM c GROUP BY x),
+cells AS (SELECT v.*, CASE WHEN nx IS NULL THEN n ELSE n * list_sum(list_transform(range(0, nx), lambda k: exp(k * ln(lam) - lam - lgamma(k + 1)))) END
+  - CASE WHEN i = 1 THEN 0 ELSE n * list_sum(list_transform(range(0, x), lambda k: exp(k * ln(lam) - lam - lgamma(k + 1)))) END AS e FROM v, st),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS o, CAST(0 AS DOUBLE) AS e UNION ALL
+  SELECT cells.i, CASE WHEN walk.e >= 5 THEN 0 ELSE walk.o END + cells.w, CASE WHEN walk.e >= 5 THEN 0 ELSE walk.e END + cells.e
+  FROM walk JOIN cells ON cells.i = walk.i + 1),
+bins AS (SELECT *, i = max(i) OVER () AS last FROM walk WHERE e >= 5),
+rest AS (SELECT coalesce(sum(o), 0) AS o, coalesce(sum(e), 0) AS e FROM walk WHERE e < 5 AND i > 0 AND i = (SELECT max(i) FROM walk)),
+t AS (SELECT sum(pow(bins.o + if(last, rest.o, 0) - bins.e - if(last, rest.e, 0), 2) / (bins.e + if(last, rest.e, 0))) AS chi2, count(*) - 2 AS df FROM bins, rest)
+SELECT 'events' AS "column", 'poisson' AS distribution, round(chi2, 6) AS statistic, round({chi2_upper("chi2", "df")}, 6) AS p_value, true AS is_best,
+  CAST(NULL AS DOUBLE) AS p_s, CAST(NULL AS DOUBLE) AS p_loc, CAST(NULL AS DOUBLE) AS p_scale, round(lam, 6) AS p_lambda FROM t, st WHERE df > 0""",
     "fit_norm_expon_events": f"""WITH s AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo FROM events),
 v AS (SELECT value, count(*) AS w FROM events GROUP BY value),
 r AS (SELECT *, sum(w) OVER (ORDER BY value) AS cum FROM v),

@@ -78,8 +78,9 @@ def _poisson_pmf(k: pd.Series, lam: pd.Series) -> pd.Series:
     ], dtype=float)
 
 
-BIN = 10.0
 LEAST_EXPECTED = 5.0
+#: Standard deviations of the law, either side, beyond which values share one cell.
+REACH = 40.0
 
 
 def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
@@ -87,9 +88,12 @@ def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bo
 
     Expected counts cover the whole law: an observed value also takes the mass of the
     unobserved ones up to the next, the first also what lies below it, so totals agree.
-    Bins are cut where the running expectation passes a multiple of ``BIN``. One value may
-    carry the expectation far beyond a cut; what then remains of the next bin can be under
-    ``LEAST_EXPECTED``, and belongs to the bin before, which is never that small itself.
+    In rising order, values are put into a bin until its expectation reaches ``LEAST_EXPECTED``;
+    what remains in the end belongs to the last bin. More than two bins are needed.
+
+    The bins of a key follow from one another, so they are made in one task, from a list that the
+    law bounds and not the data: values beyond ``REACH`` deviations, whose mass is nothing next to
+    a bin, are folded into one cell on each side before it is gathered.
     """
     by = _by(keys)
     usable = stats.where(F.col("whole") & (F.col("min") >= 0)).select(
@@ -104,17 +108,22 @@ def _poisson(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small: bo
 
     rows = rows.withColumn("_lo", F.when(F.col("x") > F.col("_first"), below(F.col("x"))).otherwise(0.0)).withColumn(
         "_hi", F.when(F.col("next_x").isNull(), F.col("n").cast("double")).otherwise(below(F.col("next_x"))))
-    bins = rows.groupBy(*by, F.floor(F.col("_lo") / BIN).alias("_bin")).agg(
-        F.sum("w").alias("o"), (F.max("_hi") - F.min("_lo")).alias("e"))
-    bins = with_next(bins, keys, "_bin", ["o", "e"])
-    rest = F.col("next_e") < LEAST_EXPECTED
-    o = F.col("o") + F.when(rest, F.col("next_o")).otherwise(0)
-    e = F.col("e") + F.when(rest, F.col("next_e")).otherwise(0.0)
-    tested = bins.where(F.col("e") >= LEAST_EXPECTED).groupBy(*by).agg(
-        F.sum((o - e) * (o - e) / e).alias("chi2"), F.count(F.lit(1)).alias("bins")).where("bins > 2")
-    return null_safe_join(usable.select(*by, "lam"), tested, keys, "inner").withColumn("_df", F.col("bins") - 2).select(
-        *by, F.col("lam").alias("lambda"), F.col("chi2").alias("statistic"), chi2_p("chi2", "_df").alias("p_value")
-    )
+    far = F.ceil(REACH * F.sqrt("lam") + REACH * REACH)
+    cell = F.greatest(F.least(F.col("x"), F.ceil("lam") + far), F.floor("lam") - far)
+    cells = rows.groupBy(*by, "lam", "n", cell.alias("x")).agg(
+        F.sum("w").cast("double").alias("o"), (F.max("_hi") - F.min("_lo")).alias("e"))
+    lists = cells.groupBy(*by, "lam").agg(F.array_sort(F.collect_list(F.struct("x", "o", "e"))).alias("_cells"))
+    term = "(({o}) - ({e})) * (({o}) - ({e})) / ({e})"
+    # State: the open bin (o, e), the last closed one (lo, le), the sum over those before it, the number of closed ones.
+    closed = f"chi + CASE WHEN k > 0 THEN {term.format(o='s.lo', e='s.le')} ELSE 0D END".replace("chi", "s.chi").replace("k >", "s.k >")
+    merged = F.expr(f"""aggregate(_cells, named_struct('o', 0D, 'e', 0D, 'lo', 0D, 'le', 0D, 'chi', 0D, 'k', 0L), (s, v) ->
+        CASE WHEN s.e + v.e >= {LEAST_EXPECTED}D
+        THEN named_struct('o', 0D, 'e', 0D, 'lo', s.o + v.o, 'le', s.e + v.e, 'chi', {closed}, 'k', s.k + 1L)
+        ELSE named_struct('o', s.o + v.o, 'e', s.e + v.e, 'lo', s.lo, 'le', s.le, 'chi', s.chi, 'k', s.k) END)""")
+    tested = lists.select(*by, F.col("lam").alias("lambda"), merged.alias("s")).where("s.k > 2")
+    chi = F.expr(f"s.chi + {term.format(o='s.lo + s.o', e='s.le + s.e')}")
+    return tested.select(*by, "lambda", chi.alias("statistic"), (F.col("s.k") - 2).alias("_df")).select(
+        *by, "lambda", "statistic", chi2_p("statistic", "_df").alias("p_value"))
 
 
 def _continuous(

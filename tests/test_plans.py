@@ -199,3 +199,34 @@ def test_poisson_bins_of_large_numbers(spark):
         assert fit.params["lambda"] == pytest.approx(mean, rel=0.05) and fit.p_value > 0.001
     skewed = spark.createDataFrame([(int(x),) for x in np.random.default_rng(1).geometric(0.1, 2000)], ["v"])
     assert distfit.fit_distributions(skewed, ["v"], candidates=["poisson"]).first().p_value < 1e-9
+
+
+def merged_bins(values):
+    """The rule, step by step: bins in rising order until 5 are expected, the rest to the last."""
+    import math
+
+    n, lam, seen = len(values), sum(values) / len(values), sorted(set(values))
+    law = lambda k: math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
+    below = lambda x: n * sum(law(k) for k in range(int(x)))
+    bins, o, e = [], 0, 0.0
+    for i, x in enumerate(seen):
+        o += values.count(x)
+        e += (below(seen[i + 1]) if i + 1 < len(seen) else n) - (below(x) if i else 0)
+        if e >= 5:
+            bins.append([o, e])
+            o, e = 0, 0.0
+    if bins and (o or e):
+        bins[-1] = [bins[-1][0] + o, bins[-1][1] + e]
+    return lam, sum((o - e) ** 2 / e for o, e in bins), len(bins)
+
+
+@pytest.mark.parametrize("mean, size", [(4, 25), (4, 15), (4, 12), (0.7, 200), (30, 400), (3, 5)])
+def test_poisson_bins_follow_one_another(spark, mean, size):
+    groups = {g: [int(x) for x in np.random.default_rng(g).poisson(mean, size)] for g in range(4)}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], ["g", "x"])
+    got = {r.g: r for r in distfit.fit_distributions(df, ["x"], ["g"], candidates=["poisson"]).collect()}
+    for g, xs in groups.items():
+        lam, chi2, bins = merged_bins(xs)
+        assert (g in got) == (bins > 2), (g, bins)
+        if g in got:
+            assert got[g].params["lambda"] == pytest.approx(lam) and got[g].statistic == pytest.approx(chi2, rel=1e-6)
