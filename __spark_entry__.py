@@ -243,7 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upper_median_orders": lambda s, d: describe.upper_median(orders(s, d), ["o_totalprice", "o_custkey"]),
         # hypothesis tests
         "normality_k2_orders": lambda s, d: digits(hypothesis.normality_k2(orders(s, d)), statistic=3),
-        "shapiro_by_flag": lambda s, d: hypothesis.shapiro(lineitem(s, d), ["l_quantity", "l_extendedprice"], ["l_returnflag"]),
+        "shapiro_by_flag": lambda s, d: digits(hypothesis.shapiro(lineitem(s, d), ["l_quantity", "l_extendedprice"], ["l_returnflag"])),
         "ttest_flags": lambda s, d: digits(hypothesis.student_t(flags(s, d))),
         "welch_flags": lambda s, d: digits(hypothesis.welch_t(flags(s, d)), df=3),
         "levene_flags": lambda s, d: digits(hypothesis.levene(flags(s, d))),
@@ -288,7 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ols_lineitem": lambda s, d: digits(regression.coefficients(lineitem_fit(s, d)[0]), coefficient=5, std_error=5),
         "ols_model_lineitem": lambda s, d: model_out(regression.model_summary(lineitem_fit(s, d)[0], normality=False)),
         "durbin_watson_lineitem": lambda s, d: digits(regression.durbin_watson(*lineitem_fit(s, d))),
-        "residual_normality_lineitem": lambda s, d: regression.residual_normality(lineitem_fit(s, d)[0]),
+        "residual_normality_lineitem": lambda s, d: digits(regression.residual_normality(lineitem_fit(s, d)[0])),
         "predict_lineitem": lambda s, d: digits(regression.fitted_line(lineitem_fit(s, d)[0]).select("l_orderkey", "l_linenumber", "l_partkey", "y_predicted"), 4),
         "predictive_model_orders": lambda s, d: digits(regression.predictive_model(one_feature_fit(s, d)).withColumn(
             "slope", F.col("coefficients")["o_custkey"]).drop("coefficients"), 5),

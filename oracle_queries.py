@@ -5,6 +5,8 @@ Tail probabilities are integrated numerically (Simpson's rule) inside the SQL.
 
 from __future__ import annotations
 
+from statweave.functions import closed, tails
+
 
 def union(rows: list[str]) -> str:
     return "\nUNION ALL\n".join(rows)
@@ -40,6 +42,35 @@ def chi2_upper(x: str, df: str) -> str:
     return f"greatest(0.0, 1 - {simpson(body, f'sqrt({x})', 2000)})"
 
 
+def polynomial(x: str, coefficients) -> str:
+    """Lowest power first."""
+    out = "0.0::DOUBLE"
+    for c in reversed(coefficients):
+        out = f"({c!r}::DOUBLE + ({x}) * {out})"
+    return out
+
+
+def shapiro(source: str, keys: str) -> str:
+    """CTEs up to ``sw`` (keys, n, mean, sd, w, p): Shapiro-Wilk of x in ``source`` (keys, x), for more than 11 values.
+
+    Normal scores by the rational approximations of the public algorithm AS 241.
+    """
+    near, mid, far = (f"{polynomial('{x}', a)} / {polynomial('{x}', b)}" for a, b in (tails._Q_NEAR, tails._Q_MID, tails._Q_FAR))
+    score = f"""CASE WHEN abs(c) <= 0.425 THEN c * {near.format(x='0.180625 - c * c')} WHEN t <= 5 THEN sign(c) * {mid.format(x='t - 1.6')}
+      ELSE sign(c) * {far.format(x='t - 5')} END"""
+    return f"""sw_x AS ({source}),
+sw_r AS (SELECT {keys}, x, x - avg(x) OVER (PARTITION BY {keys}) AS d, row_number() OVER (PARTITION BY {keys} ORDER BY x) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM sw_x),
+sw_c AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) - 0.5 AS c FROM sw_r),
+sw_t AS (SELECT *, sqrt(-ln(0.5 - abs(c))) AS t FROM sw_c), sw_m AS (SELECT *, {score} AS m FROM sw_t),
+sw_s AS (SELECT {keys}, n, avg(x) AS mean, sum(m * d) AS smx, sum(m * m) AS smm, sum(d * d) AS ss, max(d) FILTER (i = 1) AS x1, max(d) FILTER (i = 2) AS x2,
+  max(d) FILTER (i = n - 1) AS xm, max(d) FILTER (i = n) AS xn, max(m) FILTER (i = n) AS l, max(m) FILTER (i = n - 1) AS b FROM sw_m GROUP BY {keys}, n),
+sw_a AS (SELECT *, {polynomial('1 / sqrt(n)', closed._C1)} + l / sqrt(smm) AS an, {polynomial('1 / sqrt(n)', closed._C2)} + b / sqrt(smm) AS am FROM sw_s),
+sw_p AS (SELECT *, (smm - 2 * l * l - 2 * b * b) / (1 - 2 * an * an - 2 * am * am) AS phi FROM sw_a),
+sw_w AS (SELECT *, CASE WHEN ss > 0 THEN least(1.0, pow((smx - l * (xn - x1) - b * (xm - x2)) / sqrt(phi) + an * (xn - x1) + am * (xm - x2), 2) / ss) ELSE 1 END AS w FROM sw_p),
+sw_z AS (SELECT *, CASE WHEN w < 1 THEN (ln(1 - w) - {polynomial('ln(n)', closed._C5)}) / exp({polynomial('ln(n)', closed._C6)}) END AS z FROM sw_w),
+sw AS (SELECT {keys}, n, mean, sqrt(ss / (n - 1)) AS sd, w, CASE WHEN w < 1 THEN greatest(0.0, 1 - {normal_cdf('z')}) ELSE 1 END AS p FROM sw_z)"""
+
+
 def kolmogorov(lam: str) -> str:
     terms = f"sum(2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * ({lam}) * ({lam})))"
     return f"CASE WHEN ({lam}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT {terms} FROM range(1, 101) r(k)))) END"
@@ -563,3 +594,10 @@ ORACLES["wilcoxon_orders"] = signed_rank(
     "SELECT o_orderstatus, o_totalprice - (o_totalprice * 0.999 + o_custkey) AS d FROM orders", "o_orderstatus", "o_totalprice / revised")
 ORACLES["wilcoxon_ties_lineitem"] = signed_rank(
     "SELECT l_linenumber, l_discount - l_tax AS d FROM lineitem", "l_linenumber", "l_discount / l_tax")
+
+ORACLES["shapiro_by_flag"] = "WITH " + shapiro(union([
+    f"SELECT l_returnflag, '{c}' AS \"column\", {c}::DOUBLE AS x FROM lineitem" for c in ("l_quantity", "l_extendedprice")]), 'l_returnflag, "column"') + """
+SELECT l_returnflag, "column", n, round(w, 6) AS statistic, round(p, 6) AS p_value FROM sw"""
+ORACLES["residual_normality_lineitem"] = f"WITH {OLS}, " + shapiro(
+    "SELECT 1 AS one, l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount AS x FROM lineitem, f3", "one") + """
+SELECT round(w, 6) AS shapiro_w, round(p, 6) AS shapiro_p, p >= 0.05 AS reliable FROM sw"""
