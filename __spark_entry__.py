@@ -279,7 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_new_categories": lambda s, d: drift.new_categories(*orders_sides(s, d)),
         "drift_psi": lambda s, d: digits(drift.psi(*orders_sides(s, d))),
         "drift_numeric": lambda s, d: numeric_out(drift.drift_ranking(drift.numeric_drift(*orders_sides(s, d)))),
-        "drift_paired": lambda s, d: drift.numeric_drift(*orders_revised(s, d), id_column="o_orderkey"),
+        "drift_paired": lambda s, d: numeric_out(drift.numeric_drift(*orders_revised(s, d), id_column="o_orderkey")),
         "drift_judged": lambda s, d: drift.judge_verdicts(
             drift.numeric_drift(*orders_sides(s, d)), {"o_totalprice": "down_good"}).select("column", "verdict", "judgement"),
         "drift_categorical": lambda s, d: digits(drift.categorical_drift(*orders_sides(s, d)).drop("p_value", "p_corrected")),

@@ -147,7 +147,8 @@ stats AS (SELECT *,
   (ku_a * (n1 - 2) * (n1 - 3) / (n1 - 1) - 6) / (n1 + 1) AS g2_a, (ku_b * (n2 - 2) * (n2 - 3) / (n2 - 1) - 6) / (n2 + 1) AS g2_b
   FROM base)"""
 
-U_P = normal_two_sided("(abs(u - n1 * n2 / 2) - 0.5) / us")
+# The continuity correction ends at zero.
+U_P = normal_two_sided("greatest(0.0, abs(u - n1 * n2 / 2) - 0.5) / us")
 COHEN = "(mean_a - mean_b) / sp"
 STUDENT_T = "(mean_a - mean_b) / (sp * sqrt(1 / n1 + 1 / n2))"
 BISERIAL = "1 - 2 * u / (n1 * n2)"
@@ -601,3 +602,31 @@ SELECT l_returnflag, "column", n, round(w, 6) AS statistic, round(p, 6) AS p_val
 ORACLES["residual_normality_lineitem"] = f"WITH {OLS}, " + shapiro(
     "SELECT 1 AS one, l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount AS x FROM lineitem, f3", "one") + """
 SELECT round(w, 6) AS shapiro_w, round(p, 6) AS shapiro_p, p >= 0.05 AS reliable FROM sw"""
+ORACLES["drift_paired"] = f"""WITH a AS (SELECT * FROM orders),
+b AS (SELECT o_orderkey, o_custkey, o_totalprice * 0.999 + o_custkey AS o_totalprice FROM orders), {SIDES_LONG}, {TWO_SAMPLE}, {DECIDED}, {PSI},
+diffs AS (SELECT 'o_custkey' AS "column", (a.o_custkey - b.o_custkey)::DOUBLE AS x FROM a JOIN b USING (o_orderkey)
+  UNION ALL SELECT 'o_totalprice', a.o_totalprice - b.o_totalprice FROM a JOIN b USING (o_orderkey)),
+{shapiro('SELECT * FROM diffs', '"column"')},
+wv AS (SELECT "column", abs(x) AS v, count(*) AS w, count(*) FILTER (x > 0) AS up FROM diffs WHERE x <> 0 GROUP BY ALL),
+wr AS (SELECT *, sum(w) OVER (PARTITION BY "column" ORDER BY v) - (w - 1) / 2.0 AS rk FROM wv),
+ws AS (SELECT "column", sum(w)::DOUBLE AS n, sum(up * rk) AS plus, sum((w - up) * rk) AS minus, sum(pow(w::DOUBLE, 3) - w) AS ties FROM wr GROUP BY "column"),
+wz AS (SELECT "column", least(plus, minus) AS t, (least(plus, minus) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM ws),
+pt AS (SELECT sw.*, t AS w_stat, z AS wz, CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END AS tt, CASE WHEN sd > 0 THEN abs(mean / sd) ELSE 0 END AS effect
+  FROM sw LEFT JOIN wz USING ("column")),
+pp AS (SELECT *, CASE WHEN p >= 0.05 THEN {student_two_sided('tt', 'n - 1')} ELSE {normal_two_sided('wz')} END AS pv FROM pt),
+merged AS (SELECT c.* REPLACE (
+  CASE WHEN pp."column" IS NULL THEN c.test WHEN pp.p >= 0.05 THEN 'paired_t' ELSE 'wilcoxon' END AS test,
+  CASE WHEN pp."column" IS NULL THEN c.statistic WHEN pp.p >= 0.05 THEN pp.tt ELSE pp.w_stat END AS statistic,
+  CASE WHEN pp."column" IS NULL THEN c.p_value WHEN pp.p >= 0.05 AND pp.tt IS NULL THEN NULL ELSE pp.pv END AS p_value,
+  CASE WHEN pp."column" IS NULL THEN c.effect_size ELSE pp.effect END AS effect_size), pp."column" IS NOT NULL AS is_paired
+  FROM chosen c LEFT JOIN pp ON c."column" = pp."column"),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST) AS r, count(p_value) OVER () AS m FROM merged JOIN psis USING ("column")),
+adjusted AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1.0, min(p_value * m / r) OVER (ORDER BY r DESC)) END AS p_corrected,
+  d * sqrt(n1 * n2 / (n1 + n2)) AS lam, mean_b - mean_a AS delta FROM ranked),
+drifted AS (SELECT *, {kolmogorov('lam')} AS ks_p FROM adjusted)
+SELECT "column", n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(std_a, 4) AS std_a, round(std_b, 4) AS std_b,
+  round(delta, 4) AS delta, round(delta * 100 / mean_a, 4) AS delta_percent, round(psi, 6) AS psi, {PSI_LABEL} AS psi_label,
+  round(d, 6) AS ks_stat, round(ks_p, 6) AS ks_p, ks_p < 0.05 OR psi >= 0.2 AS shape_drifted, is_paired, NULL::VARCHAR AS paired_cancelled_reason,
+  test, round(statistic, 4)::DOUBLE AS statistic, round(p_value, 6) AS p_value, round(effect_size, 6) AS effect_size, round(p_corrected, 6) AS p_corrected,
+  CASE WHEN p_value IS NULL OR p_corrected > 0.05 OR p_value >= 0.05 THEN 'no_difference' WHEN abs(effect_size) < 0.2 THEN 'significant_small_effect'
+    WHEN delta > 0 THEN 'significant_increase' WHEN delta < 0 THEN 'significant_decrease' ELSE 'significant_difference' END AS verdict FROM drifted"""
