@@ -307,8 +307,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resample_quarter_end_min": resampled("QE", "min", "ffill"),
         "resample_report_orders": lambda s, d: timeseries.resample_report(orders(s, d), "o_orderdate", "o_totalprice"),
         "adf_events_hourly": lambda s, d: timeseries.adf_test(hourly_events(s, d), "mean", ["hour"]).drop("crit"),
-        "holt_by_event_type": lambda s, d: forecast.holt(daily_events(s, d), "day", "total", 7, ["event_type"]).forecast,
-        "holt_model_by_event_type": lambda s, d: forecast.holt(daily_events(s, d), "day", "total", 7, ["event_type"]).model,
+        "holt_by_event_type": lambda s, d: day(digits(forecast.holt(daily_events(s, d), "day", "total", 7, ["event_type"]).forecast, 3), "date"),
+        "holt_model_by_event_type": lambda s, d: digits(forecast.holt(daily_events(s, d), "day", "total", 7, ["event_type"]).model, 3, alpha=4, beta=4),
         "arima_by_event_type": lambda s, d: forecast.arima(daily_events(s, d), "day", "total", 7, group_by=["event_type"]).forecast,
         "arima_model_by_event_type": lambda s, d: forecast.arima(daily_events(s, d), "day", "total", 7, group_by=["event_type"]).model,
         "future_index_by_type": lambda s, d: day(forecast.future_index(

@@ -630,3 +630,33 @@ SELECT "column", n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_
   test, round(statistic, 4)::DOUBLE AS statistic, round(p_value, 6) AS p_value, round(effect_size, 6) AS effect_size, round(p_corrected, 6) AS p_corrected,
   CASE WHEN p_value IS NULL OR p_corrected > 0.05 OR p_value >= 0.05 THEN 'no_difference' WHEN abs(effect_size) < 0.2 THEN 'significant_small_effect'
     WHEN delta > 0 THEN 'significant_increase' WHEN delta < 0 THEN 'significant_decrease' ELSE 'significant_difference' END AS verdict FROM drifted"""
+
+
+def holt(select: str) -> str:
+    """Holt's linear trend per event type: grid rounds of 11, 7 and 7, the start state solved from the normal equations."""
+    ctes = ["""s AS (SELECT event_type, day, total AS y, row_number() OVER (PARTITION BY event_type ORDER BY day) AS t FROM (
+  SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS total FROM events GROUP BY ALL))""",
+            "b0 AS (SELECT DISTINCT event_type, 0.5::DOUBLE AS a, 0.5::DOUBLE AS g, 0.5::DOUBLE AS half FROM s)"]
+    for k, size in enumerate((11, 7, 7), 1):
+        axis = f"least(0.9999, greatest(0.0001, {{c}} - half + 2 * half * {{i}} / {size - 1}.0))::DOUBLE"
+        ctes += [f"""w{k} AS (SELECT event_type, {axis.format(c='a', i='i')} AS a, {axis.format(c='g', i='j')} AS g, 2 * half / {size - 1} AS half, CAST(0 AS BIGINT) AS t,
+    1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.0::DOUBLE AS p10, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS r0, 0.0::DOUBLE AS r1,
+    0.0::DOUBLE AS h00, 0.0::DOUBLE AS h01, 0.0::DOUBLE AS h11, 0.0::DOUBLE AS q0, 0.0::DOUBLE AS q1, 0.0::DOUBLE AS k FROM b{k - 1}, range({size}) x(i), range({size}) z(j)
+  UNION ALL SELECT event_type, a, g, half, t, u0 * (1 - a), u1 * (1 - a), p10 - a * g * u0, p11 - a * g * u1, r0 + r1 + a * c, r1 + a * g * c,
+    h00 + u0 * u0, h01 + u0 * u1, h11 + u1 * u1, q0 + u0 * c, q1 + u1 * c, k + c * c
+  FROM (SELECT w.* EXCLUDE (t), s.t, p00 + p10 AS u0, p01 + p11 AS u1, y - r0 - r1 AS c FROM w{k} w JOIN s ON s.event_type = w.event_type AND s.t = w.t + 1))""",
+                 f"""e{k} AS (SELECT *, (q0 * h11 - q1 * h01) / (h00 * h11 - h01 * h01) AS l, (h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01) AS b
+  FROM w{k} WHERE t = (SELECT max(t) FROM s WHERE s.event_type = w{k}.event_type))""",
+                 f"b{k} AS (SELECT * FROM e{k} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY k - q0 * l - q1 * b, a, g) = 1)"]
+    ctes += ["m AS (SELECT event_type, t AS n, a, g, l, b, p00 * l + p01 * b + r0 AS level, p10 * l + p11 * b + r1 AS trend FROM b3)",
+             """walk AS (SELECT event_type, a, g, CAST(0 AS BIGINT) AS t, l, b, 0.0::DOUBLE AS y, 0.0::DOUBLE AS e FROM m UNION ALL
+  SELECT w.event_type, a, g, s.t, l + b + a * (s.y - l - b), b + a * g * (s.y - l - b), s.y, s.y - l - b FROM walk w JOIN s ON s.event_type = w.event_type AND s.t = w.t + 1)"""]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+
+
+ORACLES["holt_by_event_type"] = holt("""SELECT m.event_type, CAST(step AS INTEGER) AS step, n + step - 1 AS "index", strftime(last + to_days(CAST(step AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS date,
+  round(level + step * trend, 3) AS forecast, NULL::DOUBLE AS ci_lower, NULL::DOUBLE AS ci_upper
+FROM m JOIN (SELECT event_type, max(day) AS last FROM s GROUP BY event_type) USING (event_type), range(1, 8) r(step)""")
+ORACLES["holt_model_by_event_type"] = holt("""SELECT m.event_type, 'holt' AS model, round(any_value(m.a), 4) AS alpha, round(any_value(m.g), 4) AS beta,
+  round(any_value(level), 3) AS level, round(any_value(trend), 3) AS trend, NULL::DOUBLE AS aic, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse,
+  round(100 * avg(abs(e / y)) FILTER (y <> 0), 3) AS mape FROM m JOIN walk USING (event_type) WHERE walk.t > 0 GROUP BY m.event_type""")

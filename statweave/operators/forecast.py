@@ -116,19 +116,52 @@ def _grid(a0: float, g0: float, half: float, size: int) -> tuple[np.ndarray, np.
     return a.ravel(), g.ravel()
 
 
+def _scan(y: np.ndarray, a: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all candidates at once: how each one-step error depends on the start state, e = c − u·s,
+    and the map of the whole block, s → p·s + r.
+
+    The state moves by s' = A s + v y with a constant A. Rows u of powers of A come from doubling
+    a known stretch, responses to y from a prefix scan whose reach doubles: log2(n) steps each.
+    """
+    n, ag = len(y), a * g
+    step = np.stack([np.stack([1 - a, 1 - a], -1), np.stack([-ag, 1 - ag], -1)], -2)
+    u, power = np.ones((len(a), 1, 2)), step  # power = A^(length of u)
+    while u.shape[1] < n:
+        u, power = np.concatenate([u, u @ power], axis=1), power @ power
+    r, reach, power = np.stack([a, ag], -1)[:, None, :] * y[None, :, None], 1, step
+    while reach < n:
+        r = np.concatenate([r[:, :reach], r[:, reach:] + r[:, :-reach] @ power.transpose(0, 2, 1)], axis=1)
+        reach, power = 2 * reach, power @ power
+    before = np.concatenate([np.zeros((len(a), 1, 2)), r[:, :-1]], axis=1)
+    return u[:, :n], y - before.sum(axis=2), np.linalg.matrix_power(step, n), r[:, -1]
+
+
+def _squares(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Σe² as a quadratic in the start state: s'hs − 2q's + k."""
+    h = u.transpose(0, 2, 1) @ u
+    return h, (u * c[:, :, None]).sum(axis=1), (c * c).sum(axis=1)
+
+
 def _holt_summary(y: np.ndarray, a: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
     """Block summary for all candidate (a, g) at once."""
-    ones, zeros = np.ones_like(a), np.zeros_like(a)
-    p00, p01, p10, p11, r0, r1 = ones, zeros, zeros, ones, zeros, zeros
-    h00 = h01 = h11 = q0 = q1 = k = zeros
-    ag = a * g
-    for value in y:
-        u0, u1, c = p00 + p10, p01 + p11, value - (r0 + r1)
-        h00, h01, h11 = h00 + u0 * u0, h01 + u0 * u1, h11 + u1 * u1
-        q0, q1, k = q0 + u0 * c, q1 + u1 * c, k + c * c
-        p00, p01, r0 = u0 * (1 - a), u1 * (1 - a), r0 + r1 + a * c
-        p10, p11, r1 = p10 - ag * u0, p11 - ag * u1, r1 + ag * c
-    return dict(zip(_STATE, (p00, p01, p10, p11, r0, r1, h00, h01, h11, q0, q1, k)))
+    u, c, p, r = _scan(y, a, g)
+    h, q, k = _squares(u, c)
+    return dict(zip(_STATE, (p[:, 0, 0], p[:, 0, 1], p[:, 1, 0], p[:, 1, 1], r[:, 0], r[:, 1],
+                             h[:, 0, 0], h[:, 0, 1], h[:, 1, 1], q[:, 0], q[:, 1], k)))
+
+
+def _holt_whole(y: np.ndarray, rounds: int) -> dict[str, float]:
+    """The search over a series that one task holds."""
+    a0, g0, half = 0.5, 0.5, 0.5
+    for size in (11, *[7] * (rounds - 1)):
+        a, g = _grid(a0, g0, half, size)
+        u, c, p, r = _scan(y, a, g)
+        h, q, k = _squares(u, c)
+        s = np.einsum("gij,gj->gi", np.linalg.pinv(h, hermitian=True), q)
+        best = int(np.lexsort((g, a, k - (q * s).sum(axis=1)))[0])
+        a0, g0, half = a[best], g[best], 2 * half / (size - 1)
+    level, trend = p[best] @ s[best] + r[best]
+    return {"alpha": a0, "beta": g0, "level": level, "trend": trend, "e": c[best] - u[best] @ s[best]}
 
 
 def _holt_combine(parts: pd.DataFrame) -> dict:
@@ -209,6 +242,39 @@ def holt(
     """
     series = prepare_series(df, date, value, group_by)
     keys, by = series.keys, _by(series.keys)
+    found = ("alpha", "beta", "level", "trend")
+    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    search = _holt_whole_series if longest <= block else _holt_blocks
+    best, sums = search(series, rounds, block)
+    model = _metrics(sums, keys, found).select(
+        *by, F.lit("holt").alias("model"), *found, F.lit(None).cast("double").alias("aic"), "mae", "rmse", "mape",
+    )
+    ahead = _attach_by_join(future_index(series, steps), best.select(*by, "level", "trend"), series)
+    missing = F.lit(None).cast("double")
+    forecast = ahead.select(
+        *by, "step", "index", "date", (F.col("level") + F.col("step") * F.col("trend")).alias("forecast"),
+        missing.alias("ci_lower"), missing.alias("ci_upper"),
+    )
+    return Forecast(forecast, model)
+
+
+def _holt_whole_series(series: Series, rounds: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """No series is longer than a block: one task searches each, in one pass."""
+    found = ("alpha", "beta", "level", "trend")
+    schema = T.StructType([*_key_fields(series.rows, series.keys), *_double(*_ERRORS, *found)])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("pos")["y"].to_numpy(float)
+        best = _holt_whole(y, rounds)
+        return _error_sums(y, best["e"]).assign(**{c: best[c] for c in found})
+
+    out = series.rows.select(*_by(series.keys), "pos", "y").groupBy(*_by(series.keys)).applyInPandas(_with_keys(whole, series.keys), schema)
+    return out, out
+
+
+def _holt_blocks(series: Series, rounds: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Long series: per round, block summaries that compose; then the errors of the blocks."""
+    keys, by = series.keys, _by(series.keys)
     cut = blocks(series.rows, "pos", block, 0).select(*by, "_block", "pos", "n", "y")
     start = cut.withColumns({"a0": F.lit(0.5), "g0": F.lit(0.5), "half": F.lit(0.5)})
     best = _holt_round(start, keys, 11)
@@ -223,27 +289,14 @@ def holt(
 
     def errors(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        first = pdf.iloc[0]
-        a, g, level, trend = first["alpha"], first["beta"], first["l"], first["b"]
-        y, e = pdf["y"].to_numpy(float), np.empty(len(pdf))
-        for t, v in enumerate(y):
-            e[t] = v - level - trend
-            level, trend = level + trend + a * e[t], trend + a * g * e[t]
-        return _error_sums(y, e).assign(**{c: first[c] for c in found})
+        first, y = pdf.iloc[0], pdf["y"].to_numpy(float)
+        u, c, _, _ = _scan(y, np.array([first["alpha"]]), np.array([first["beta"]]))
+        return _error_sums(y, c[0] - u[0] @ np.array([first["l"], first["b"]])).assign(**{c: first[c] for c in found})
 
     sums = null_safe_join(cut, states, [*keys, "_block"]).groupBy(*by, "_block").applyInPandas(
         _with_keys(errors, keys), schema
     )
-    model = _metrics(sums, keys, found).select(
-        *by, F.lit("holt").alias("model"), *found, F.lit(None).cast("double").alias("aic"), "mae", "rmse", "mape",
-    )
-    ahead = _attach_by_join(future_index(series, steps), best.select(*by, "level", "trend"), series)
-    missing = F.lit(None).cast("double")
-    forecast = ahead.select(
-        *by, "step", "index", "date", (F.col("level") + F.col("step") * F.col("trend")).alias("forecast"),
-        missing.alias("ci_lower"), missing.alias("ci_upper"),
-    )
-    return Forecast(forecast, model)
+    return best, sums
 
 
 def _error_sums(y: np.ndarray, e: np.ndarray) -> pd.DataFrame:

@@ -159,6 +159,26 @@ def test_holt(spark, block):
     assert sse <= min(grid) + 1e-9
 
 
+def test_holt_scan_equals_the_recursion():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 64, 1000):
+        y, a, g = rng.normal(size=n), np.array([0.0001, 0.3, 0.9999]), np.array([0.9999, 0.2, 0.0001])
+        u, c, p, r = forecast._scan(y, a, g)
+        for k in range(3):
+            sse, level, trend = holt_sse(y, a[k], g[k], 1.5, -0.5)
+            start = np.array([1.5, -0.5])
+            assert ((c[k] - u[k] @ start) ** 2).sum() == pytest.approx(sse, rel=1e-9)
+            assert (p[k] @ start + r[k]).tolist() == pytest.approx([level, trend], rel=1e-9, abs=1e-9)
+
+
+def test_holt_of_a_million_points(spark):
+    days = spark.range(1_000_000).select(
+        F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.col("id") * 0.5 + F.pmod(F.xxhash64("id"), F.lit(7))).alias("v"))
+    out = forecast.holt(days, "ts", "v", 2, rounds=2)
+    m = out.model.first()
+    assert m.trend == pytest.approx(0.5, abs=0.01) and m.level == pytest.approx(500_002, abs=5) and m.rmse < 2.5
+
+
 def kpss(z):
     e = z - z.mean()
     n, lags = len(z), int(4 * (len(z) / 100) ** 0.25)
