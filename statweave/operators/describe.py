@@ -14,7 +14,7 @@ from statweave.functions.columns import (
 )
 from statweave.functions.labels import shape_label
 from statweave.operators.clean import with_fences
-from statweave.plans.joins import BROADCAST_ROWS, attach, few_groups, few_values, join_by_value, null_safe_join
+from statweave.plans.joins import BROADCAST_ROWS, attach, few_groups, join_by_value, null_safe_join
 from statweave.plans.ordered import running
 from statweave.plans.quantiles import exact_quantiles
 
@@ -119,42 +119,70 @@ def correlation(
     elif method == "spearman":
         table = wide.groupBy(*keys).agg(*own).select(*keys, F.inline(F.array(*diagonal)))
         if pairs:
-            table = table.unionByName(_rank_correlations(wide, pairs, group_by))
+            table = table.unionByName(_rank_correlations(wide, targets, group_by))
     else:
         raise ValueError(f"unknown method {method!r}")
     return rounded(_mirrored(table, group_by), digits)
 
 
-def _rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], group_by: Sequence[str]) -> DataFrame:
-    keys = [*group_by, "a", "b"]
-    by = [quoted(k) for k in keys]
-    counts = wide.select(*[quoted(k) for k in group_by], F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), quoted(a).alias("x"), quoted(b).alias("y"))
-        for a, b in pairs
-    ]))).where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*by, "x", "y").agg(
-        F.count(F.lit(1)).alias("w")
-    )
-    ranked = counts
-    # Rank tables hold one row per pair and value.
-    small = few_values(wide, group_by, sorted({c for p in pairs for c in p}), BROADCAST_ROWS // (2 * len(pairs)))
-    for value in ("x", "y"):
-        # Average rank of a value = running count − (ties − 1) / 2, on this pair's rows.
-        marginal = counts.groupBy(*by, value).agg(
-            F.sum("w").alias("t"), F.count(F.lit(1)).alias("cells")
-        )
-        run = running(marginal, keys, value, ["t"])
-        middle = (F.col("tot_t") + 1) / F.lit(2.0)
-        ranks = run.select(
-            *by, value, (F.col("cum_t") - (F.col("t") - 1) / F.lit(2.0) - middle).alias(f"r{value}"),
-            "cells",
-        )
-        ranked = join_by_value(ranked, ranks, [*keys, value], "cells", small)
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    sums = ranked.groupBy(*by).agg(
-        F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"),
-    )
-    r = ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
-    return sums.select(*by, F.coalesce(r, F.lit(0.0)).alias("r"))
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _rank_correlations(wide: DataFrame, targets: list[str], group_by: Sequence[str]) -> DataFrame:
+    """(keys, a, b, r): every value is ranked once among all rows and once among the rows that each column
+    with gaps leaves, so that a pair finds its ranks in two small arrays and no row is copied per pair.
+
+    Equal rows are one tuple with a count. Tuples go to rows of (tuple id, column, value), meet their
+    ranks, and come together again by id.
+    """
+    keys, by = list(group_by), [quoted(k) for k in group_by]
+    # One row of driver results: which columns have gaps, and whether rank tables are small.
+    facts = wide.agg(
+        F.count(F.lit(1)), *[F.count(quoted(c)) for c in targets],
+        *[F.approx_count_distinct(F.struct(*by, quoted(c))) for c in targets],
+    ).first()
+    gaps = [c for c, n in zip(targets, facts[1:]) if n < facts[0]]
+    slot = {c: gaps.index(c) + 1 if c in gaps else 0 for c in targets}
+    slots = range(len(gaps) + 1)
+    small = sum(facts[len(targets) + 1:]) * (len(gaps) + 1) <= BROADCAST_ROWS
+
+    tuples = wide.groupBy(*by, *[quoted(c) for c in targets]).agg(F.count(F.lit(1)).alias("w"))
+    every = [*by, *[quoted(c) for c in targets]]
+    counted = F.array(F.col("w"), *[F.when(quoted(c).isNotNull(), F.col("w")).otherwise(F.lit(0)) for c in gaps])
+    long = tuples.select(
+        *by, F.struct(F.xxhash64(*every).alias("h"), F.xxhash64(F.lit("second"), *every).alias("g")).alias("id"), "w",
+        counted.alias("m"), F.posexplode(F.array(*[quoted(c) for c in targets])).alias("c", "x"),
+    ).where(F.col("x").isNotNull())
+    marginal = long.groupBy(*by, "c", "x").agg(
+        *[F.sum(F.col("m")[j]).alias(f"t{j}") for j in slots], F.count(F.lit(1)).alias("cells"))
+    run = running(marginal, [*keys, "c"], "x", [f"t{j}" for j in slots])
+    # Average rank of a value = running count − (ties − 1) / 2, here less the middle rank.
+    ranks = run.select(*by, "c", "x", "cells", F.array(*[
+        F.col(f"cum_t{j}") - F.col(f"t{j}") / F.lit(2.0) - F.col(f"tot_t{j}") / F.lit(2.0) for j in slots
+    ]).alias("r"))
+    ranked = join_by_value(long.drop("m"), ranks, [*keys, "c", "x"], "cells", small)
+    together = ranked.groupBy(*by, "id").agg(
+        F.max("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("_r"))
+    rows = together.select(*by, "w", *[
+        F.try_element_at("_r", F.lit(i)).alias(f"_r{i}") for i in range(len(targets))])
+    at = {c: i for i, c in enumerate(targets)}
+    pairs, tables = list(combinations(targets, 2)), []
+    for chunk in (pairs[i:i + MAX_PAIRS] for i in range(0, len(pairs), MAX_PAIRS)):
+        sums, items = [], []
+        for i, (a, b) in enumerate(chunk):
+            # Missing where either value is, as then one of the two arrays is. Text, as many small columns build slowly.
+            x, y = f"_r{at[a]}[{slot[b]}]", f"_r{at[b]}[{slot[a]}]"
+            sums += [f"w * {x} * {y} AS _xy{i}", f"w * {x} * {x} + 0 * {y} AS _xx{i}", f"w * {y} * {y} + 0 * {x} AS _yy{i}"]
+            r = f"CASE WHEN _xx{i} > 0 AND _yy{i} > 0 THEN _xy{i} / (sqrt(_xx{i}) * sqrt(_yy{i})) ELSE 0D END"
+            items.append(f"struct({at[a]} AS i, {at[b]} AS j, CASE WHEN _xy{i} IS NOT NULL THEN {r} END AS r)")
+        products = rows.selectExpr(*[_name(k) for k in keys], *sums)
+        totals = products.groupBy(*by).agg(*[
+            F.expr(f"sum(_{p}{i}) AS _{p}{i}") for i in range(len(chunk)) for p in ("xy", "xx", "yy")])
+        tables.append(totals.selectExpr(*[_name(k) for k in keys], f"inline(array({', '.join(items)}))"))
+    names = F.array(*[F.lit(c) for c in targets])
+    found = reduce(DataFrame.unionByName, tables).where(F.col("r").isNotNull())
+    return found.select(*by, names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "r")
 
 
 @reserved_keys

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import (
@@ -46,17 +46,28 @@ def missing_profile(df: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
 
 
 def distinct_preview(df: DataFrame, columns: Sequence[str], limit: int = 10) -> DataFrame:
-    """Per column the first distinct values in order, the distinct count, and whether more exist."""
-    out = None
-    for c in columns:
-        values = df.select(clean(df, c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-        head = values.orderBy("v").limit(limit).agg(F.array_sort(F.collect_list("v")).alias("values"))
-        row = values.agg(F.count(F.lit(1)).alias("distinct_count")).select(
-            F.lit(c).alias("column"), "distinct_count",
-            (F.col("distinct_count") > limit).alias("has_more"),
-        ).withColumn("values", head.scalar())
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per column the first distinct values in order, the distinct count, and whether more exist.
+
+    One scan for all columns. Values are made distinct before they are counted; of each partition only
+    the ``limit`` smallest per column go on.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), clean(df, c).cast("string").alias("v")) for i, c in enumerate(columns)
+    ]))).where(F.col("v").isNotNull())
+    values = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("_n")).select("c", "v")
+    # Counts of the parts first: a column with most of the values is not counted in one task.
+    part = F.spark_partition_id()
+    counts = values.groupBy("c", part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).groupBy("c").agg(F.sum("_n").alias("_n"))
+    # A rank filter on a window lets Spark keep the first rows of every partition before its shuffle.
+    first = values.withColumn("_i", F.row_number().over(Window.partitionBy("c").orderBy("v"))).where(F.col("_i") <= limit)
+    heads = first.groupBy("c").agg(F.array_sort(F.collect_list("v")).alias("_v"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "c int, column string")
+    found = counts.join(F.broadcast(heads), "c")
+    return names.join(F.broadcast(found), "c", "left").select(
+        "column", F.coalesce("_n", F.lit(0)).cast("long").alias("distinct_count"),
+        F.coalesce(F.col("_n") > limit, F.lit(False)).alias("has_more"),
+        F.coalesce("_v", F.array().cast("array<string>")).alias("values"),
+    )
 
 
 def common_columns(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
