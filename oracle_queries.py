@@ -76,6 +76,48 @@ def kolmogorov(lam: str) -> str:
     return f"CASE WHEN ({lam}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT {terms} FROM range(1, 101) r(k)))) END"
 
 
+def fits(source: str, one_round: int = 25) -> str:
+    """CTEs from ``source`` (k, x) to all four fitted laws, ``fitted`` (k, law, place, statistic, p, s, loc, scale, rate)."""
+    rounds = []
+    for r in range(1, 4):
+        rounds.append(f"""t{r} AS MATERIALIZED (SELECT k, m, lo, a, b, CASE WHEN i < 24 THEN exp(a + i * ((b - a) / 23)) ELSE lo END AS gap FROM g{r - 1}, range(0, {one_round}) q(i)),
+l{r} AS MATERIALIZED (SELECT k, gap, any_value(m) AS m, any_value(lo) AS lo, any_value((b - a) / 23) AS step, sum(w * l) / sum(w) AS a1, sum(w * l * l) / sum(w) AS a2
+  FROM (SELECT t{r}.*, w, ln((x - lo + gap) / (m - lo + gap)) AS l FROM v JOIN t{r} USING (k)) GROUP BY k, gap),
+h{r} AS (SELECT *, sqrt(greatest(0.0, a2 - a1 * a1)) AS s, a1 + ln(m - lo + gap) AS lm FROM l{r}),
+g{r} AS MATERIALIZED (SELECT k, m, lo, ln(gap) - step AS a, ln(gap) + step AS b, gap, s, lm FROM h{r} WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ln(s) + lm, gap) = 1)""")
+    shape = [normal_cdf("(x - m) / sd"), "1 - exp(-(x - lo) / (m - lo))", normal_cdf("ln((x - (lo - gap)) / exp(lm)) / s")]
+    return f"""WITH RECURSIVE src AS ({source}),
+st AS MATERIALIZED (SELECT k, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi, bool_and(x = round(x)) AS whole FROM src GROUP BY k HAVING count(*) >= 5),
+v AS MATERIALIZED (SELECT k, x, count(*) AS w FROM src SEMI JOIN st USING (k) GROUP BY k, x),
+g0 AS (SELECT k, m, lo, ln((hi - lo) * 1e-6) AS a, ln((hi - lo) * 1e3) AS b FROM st WHERE lo > 0 AND hi > lo),
+{", ".join(rounds)},
+run AS (SELECT v.*, st.n, st.m, st.sd, st.lo, g3.gap, g3.s, g3.lm, sum(w) OVER (PARTITION BY v.k ORDER BY x) AS cum FROM v JOIN st USING (k) LEFT JOIN g3 USING (k)),
+laws AS (SELECT k, n, cum::DOUBLE / n AS up, (cum - w)::DOUBLE / n AS low, {shape[0]} AS f1, CASE WHEN s IS NOT NULL THEN {shape[2]} END AS f2, CASE WHEN m > lo THEN {shape[1]} END AS f3 FROM run),
+d AS (SELECT k, max(n) AS n, [max(greatest(up - f1, f1 - low)), max(greatest(up - f2, f2 - low)), max(greatest(up - f3, f3 - low))] AS ds FROM laws GROUP BY k),
+far AS (SELECT k, lo, m AS lam, n FROM st WHERE whole AND lo >= 0),
+w0 AS (SELECT v.*, lam, n, row_number() OVER (PARTITION BY k ORDER BY x) AS i, lead(x) OVER (PARTITION BY k ORDER BY x) AS nx FROM v JOIN far USING (k)),
+cells AS MATERIALIZED (SELECT k, w, i, CASE WHEN nx IS NULL THEN n ELSE n * list_sum(list_transform(range(0, nx::BIGINT), lambda j: exp(j * ln(lam) - lam - lgamma(j + 1)))) END
+  - CASE WHEN i = 1 THEN 0 ELSE n * list_sum(list_transform(range(0, x::BIGINT), lambda j: exp(j * ln(lam) - lam - lgamma(j + 1)))) END AS e FROM w0),
+walk AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS o, CAST(0 AS DOUBLE) AS e FROM far UNION ALL
+  SELECT cells.k, cells.i, CASE WHEN walk.e >= 5 THEN 0 ELSE walk.o END + cells.w, CASE WHEN walk.e >= 5 THEN 0 ELSE walk.e END + cells.e
+  FROM walk JOIN cells ON cells.k = walk.k AND cells.i = walk.i + 1),
+bins AS (SELECT *, i = max(i) OVER (PARTITION BY k) AS last FROM walk WHERE e >= 5),
+rest AS (SELECT k, arg_max(if(e < 5, o, 0), i) AS o, arg_max(if(e < 5, e, 0), i) AS e FROM walk GROUP BY k),
+pois AS (SELECT bins.k, sum(pow(bins.o + if(last, rest.o, 0) - bins.e - if(last, rest.e, 0), 2) / (bins.e + if(last, rest.e, 0))) AS chi2, count(*) - 2 AS df FROM bins JOIN rest USING (k) GROUP BY bins.k HAVING count(*) > 2),
+each AS (SELECT k, j, ds[j] AS d, ds[j] * sqrt(n) AS lam FROM d, range(1, 4) q(j) WHERE ds[j] IS NOT NULL),
+fitted AS (
+  SELECT each.k, ['norm', 'lognorm', 'expon'][j] AS law, j AS place, d AS statistic, {kolmogorov('lam')} AS p, if(j = 2, s, NULL) AS s,
+    CASE j WHEN 1 THEN st.m WHEN 2 THEN st.lo - gap ELSE st.lo END AS loc, CASE j WHEN 1 THEN sd WHEN 2 THEN exp(lm) ELSE st.m - st.lo END AS scale, CAST(NULL AS DOUBLE) AS rate
+  FROM each JOIN st USING (k) LEFT JOIN g3 USING (k)
+  UNION ALL SELECT k, 'poisson', 4, chi2, {chi2_upper('chi2', 'df')}, NULL, NULL, NULL, lam FROM pois JOIN far USING (k)),
+best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, place) = 1 AS top FROM fitted)"""
+
+
+def fit_rows(extra: str, more: str = "") -> str:
+    return (f'SELECT {extra}, law AS distribution, round(statistic, 6) AS statistic, round(p, 6) AS p_value{more}, '
+            "round(s, 6) AS p_s, round(loc, 6) AS p_loc, round(scale, 6) AS p_scale, round(rate, 6) AS p_lambda FROM best")
+
+
 def k2(n: str, g1: str, g2: str) -> str:
     """D'Agostino–Pearson statistic as nested lateral columns; use inside a FROM list."""
     return f"""
@@ -452,6 +494,12 @@ rest AS (SELECT coalesce(sum(o), 0) AS o, coalesce(sum(e), 0) AS e FROM walk WHE
 t AS (SELECT sum(pow(bins.o + if(last, rest.o, 0) - bins.e - if(last, rest.e, 0), 2) / (bins.e + if(last, rest.e, 0))) AS chi2, count(*) - 2 AS df FROM bins, rest)
 SELECT 'events' AS "column", 'poisson' AS distribution, round(chi2, 6) AS statistic, round({chi2_upper("chi2", "df")}, 6) AS p_value, true AS is_best,
   CAST(NULL AS DOUBLE) AS p_s, CAST(NULL AS DOUBLE) AS p_loc, CAST(NULL AS DOUBLE) AS p_scale, round(lam, 6) AS p_lambda FROM t, st WHERE df > 0""",
+    "fit_distributions_by_type": f"""{fits("SELECT event_type AS k, value AS x FROM events WHERE NOT isnan(value)")}
+{fit_rows("k AS event_type, 'value' AS \"column\"", ", top AS is_best")}""",
+    "fit_poisson_users": f"""{fits("SELECT 'events' AS k, count(*)::DOUBLE AS x FROM events GROUP BY user_id")}
+{fit_rows('k AS "column"', ", top AS is_best")}""",
+    "best_fit_part": f"""{fits("SELECT 'p_size' AS k, p_size::DOUBLE AS x FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part")}
+{fit_rows('k AS "column"')} WHERE top""",
     "fit_norm_expon_events": f"""WITH s AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo FROM events),
 v AS (SELECT value, count(*) AS w FROM events GROUP BY value),
 r AS (SELECT *, sum(w) OVER (ORDER BY value) AS cum FROM v),

@@ -10,9 +10,14 @@ _OTHER = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.NullType)
 _TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def quoted(name: str) -> Column:
+def name(column: str) -> str:
+    """A column's exact name as SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def quoted(column: str) -> Column:
     """Column by exact name, safe for dots and backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(name(column))
 
 
 def kind_of(dtype: T.DataType) -> str:

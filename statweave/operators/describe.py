@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statweave.functions.keys import reserved_keys
 from statweave.functions.columns import (
-    clean, kind_of, melt, numbers, numeric_columns, quoted, ratio, rounded,
+    clean, kind_of, melt, name, numbers, numeric_columns, quoted, ratio, rounded,
 )
 from statweave.functions.labels import shape_label
 from statweave.operators.clean import with_fences
@@ -125,10 +125,6 @@ def correlation(
     return rounded(_mirrored(table, group_by), digits)
 
 
-def _name(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
 def _rank_correlations(wide: DataFrame, targets: list[str], group_by: Sequence[str]) -> DataFrame:
     """(keys, a, b, r): every value is ranked once among all rows and once among the rows that each column
     with gaps leaves, so that a pair finds its ranks in two small arrays and no row is copied per pair.
@@ -176,10 +172,10 @@ def _rank_correlations(wide: DataFrame, targets: list[str], group_by: Sequence[s
             sums += [f"w * {x} * {y} AS _xy{i}", f"w * {x} * {x} + 0 * {y} AS _xx{i}", f"w * {y} * {y} + 0 * {x} AS _yy{i}"]
             r = f"CASE WHEN _xx{i} > 0 AND _yy{i} > 0 THEN _xy{i} / (sqrt(_xx{i}) * sqrt(_yy{i})) ELSE 0D END"
             items.append(f"struct({at[a]} AS i, {at[b]} AS j, CASE WHEN _xy{i} IS NOT NULL THEN {r} END AS r)")
-        products = rows.selectExpr(*[_name(k) for k in keys], *sums)
+        products = rows.selectExpr(*[name(k) for k in keys], *sums)
         totals = products.groupBy(*by).agg(*[
             F.expr(f"sum(_{p}{i}) AS _{p}{i}") for i in range(len(chunk)) for p in ("xy", "xx", "yy")])
-        tables.append(totals.selectExpr(*[_name(k) for k in keys], f"inline(array({', '.join(items)}))"))
+        tables.append(totals.selectExpr(*[name(k) for k in keys], f"inline(array({', '.join(items)}))"))
     names = F.array(*[F.lit(c) for c in targets])
     found = reduce(DataFrame.unionByName, tables).where(F.col("r").isNotNull())
     return found.select(*by, names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "r")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statweave.functions.keys import reserved_keys
-from statweave.functions.columns import melt, numeric_columns, quoted, ratio
+from statweave.functions.columns import melt, name, numeric_columns, quoted, ratio
 from statweave.functions.tails import chi2_p, kolmogorov_sf, normal_cdf_of
 from statweave.plans.joins import attach, few_groups, null_safe_join
 from statweave.plans.ordered import running, with_next
@@ -38,33 +38,23 @@ def _lognormal(counts: DataFrame, stats: DataFrame, keys: Sequence[str], small:
         *by, "min", "mean", F.log(span * 1e-6).alias("_lo"), F.log(span * 1e3).alias("_hi")
     )
     best = None
+    width = f"((_hi - _lo) / {LOC_GRID - 1})"
+    gap = [f"exp(_lo + {k} * {width})" for k in range(LOC_GRID)] + ["min"]
     for _ in range(LOC_ROUNDS):
         rows = attach(counts, state, keys, small=small).where(F.col("_lo").isNotNull())
-        width = (F.col("_hi") - F.col("_lo")) / (LOC_GRID - 1)
-        gaps = F.concat(
-            F.transform(F.sequence(F.lit(0), F.lit(LOC_GRID - 1)), lambda i: F.exp(F.col("_lo") + i * width)),
-            F.array(F.col("min")),
-        )
-        tried = rows.withColumn("gap", F.explode(gaps))
-        centre = F.col("mean") - F.col("min") + F.col("gap")
-        log = F.log((F.col("x") - F.col("min") + F.col("gap")) / centre)
-        tried = tried.select(*by, "w", "min", "mean", "gap", width.alias("_w"), log.alias("l"))
-        sums = tried.groupBy(*by, "gap").agg(
-            F.sum("w").alias("n"), F.sum(F.col("w") * F.col("l")).alias("l1"),
-            F.sum(F.col("w") * F.col("l") * F.col("l")).alias("l2"),
-            *[F.max(c).alias(c) for c in ("min", "mean", "_w")],
-        )
-        m = F.col("l1") / F.col("n")
-        s = F.sqrt(F.greatest(F.lit(0.0), F.col("l2") / F.col("n") - m * m))
-        fits = sums.select(
-            *by, "min", "mean", "_w", "gap", s.alias("s"),
-            (m + F.log(F.col("mean") - F.col("min") + F.col("gap"))).alias("m"),
-        ).where(F.col("s") > 0)
+        # The whole grid is scored beside the value: two sums per place, no row more than there are values.
+        logs = rows.select(*by, "w", "min", "mean", "_lo", "_hi", *[
+            F.expr(f"ln((x - min + {g}) / (mean - min + {g})) AS l{k}") for k, g in enumerate(gap)])
+        sums = logs.groupBy(*by).agg(
+            F.sum("w").alias("n"), *[F.max(c).alias(c) for c in ("min", "mean", "_lo", "_hi")],
+            *[F.expr(f"sum(w * l{k}) AS a{k}") for k in range(len(gap))], *[F.expr(f"sum(w * l{k} * l{k}) AS b{k}") for k in range(len(gap))])
+        found = sums.selectExpr(*[name(k) for k in keys], "min", "mean", f"{width} AS _w", "array(" + ", ".join(
+            f"struct({g} AS gap, sqrt(greatest(0D, b{k} / n - (a{k} / n) * (a{k} / n))) AS s, a{k} / n + ln(mean - min + {g}) AS m)"
+            for k, g in enumerate(gap)) + ") AS _g")
         # −log-likelihood per row is ln(s) + mean(ln(x − loc)) up to a constant.
-        fields = ("min", "mean", "_w", "gap", "s", "m")
-        best = fits.groupBy(*by).agg(
-            F.min_by(F.struct(*fields), F.struct(F.log("s") + F.col("m"), F.col("gap"))).alias("_b")
-        ).select(*by, *[F.col(f"_b.{f}").alias(f) for f in fields])
+        best = found.withColumn("_b", F.expr(
+            "array_min(transform(filter(_g, g -> g.s > 0), g -> struct(ln(g.s) + g.m AS score, g.gap AS gap, g.s AS s, g.m AS m)))"
+        )).where(F.col("_b").isNotNull()).select(*by, "min", "mean", "_w", "_b.gap", "_b.s", "_b.m")
         state = best.select(
             *by, "min", "mean", (F.log("gap") - F.col("_w")).alias("_lo"), (F.log("gap") + F.col("_w")).alias("_hi")
         )
