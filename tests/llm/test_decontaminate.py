@@ -1,9 +1,13 @@
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
 from statweave.llm import decontaminate
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -38,12 +42,13 @@ def items(spark):
     return spark.createDataFrame(ITEMS, "item_id string, text string")
 
 
-@pytest.mark.parametrize("clash", [False, True])
-def test_equals_brute_force(documents, items, clash):
+@pytest.mark.parametrize("clash, part_chars", [(False, 3_000_000), (True, 3_000_000), (True, 30)])
+def test_equals_brute_force(documents, items, clash, part_chars):
     docs = documents(list(enumerate(TEXTS)), clash)
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, items).collect()}
+    found = decontaminate.contamination(docs, items, part_chars=part_chars)
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()}
     assert got == {i: brute(t, ITEMS) for i, t in enumerate(TEXTS)}
-    clean = docs.where(decontaminate.is_clean(docs, items))
+    clean = decontaminate.clean(docs, items, part_chars=part_chars)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {i for i, t in enumerate(TEXTS) if not brute(t, ITEMS)[1]}
 
@@ -55,10 +60,30 @@ def test_spans_lead_back_to_the_original(documents, items):
         "The QUICK brown-fox jumps over the lazy dog, while", "SHORT (one"]
 
 
-def test_empty_tables_and_size_limit(spark, documents, items):
+def test_parts_give_the_same_spans(documents, items):
+    text = "É! The QUICK brown-fox jumps over the lazy dog, while; and nameless item, no: short (one)"
+    docs = documents([(1, text)])
+    one, many = (decontaminate.contamination(docs, items, part_chars=k).first() for k in (3_000_000, 20))
+    assert one == many and len(one.spans) == 3
+
+
+def test_empty_tables(spark, documents, items):
     docs = documents([(1, LONG)])
     nothing = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.contamination(docs, nothing).first().n_hit == 0
     assert decontaminate.contamination(documents([]), items).count() == 0
-    with pytest.raises(ValueError, match="max_chars"):
-        decontaminate.contamination(docs, items, max_chars=10)
+
+
+def test_memory_of_an_automaton():
+    """Under 1 KB for a word of the benchmark, so that a full part stays under half a gigabyte."""
+    code = """
+import random, resource
+from statweave.llm.decontaminate import Scanner
+random.seed(1)
+text = " ".join(f"w{random.randrange(20_000)}" for _ in range(100_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+Scanner([("1", text)])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(used.stdout) < 100_000
