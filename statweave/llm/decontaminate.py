@@ -5,9 +5,9 @@ a-z to a blank, runs of blanks to one. Words of the normalised text keep their o
 that a match ends at a word number, and the word number leads back to the code points of
 the original text.
 
-The automaton reads word numbers. It holds each window of ten consecutive item words once,
+The automaton reads words as codes of two characters. It holds each window of ten consecutive item words once,
 with the items that own it; an item of fewer words, but not none, is one window. It is built
-once in each Python worker, and takes about 0.45 KB for a word of the benchmark. A benchmark
+once in each Python worker, and takes about 1 KB for a word of the benchmark. A benchmark
 of more than ``part_chars`` characters is dealt by item to several automata, used one after
 the other with the results so far written in between: a worker holds one of them at a time,
 and the driver collects one part at a time. The results are the same.
@@ -19,8 +19,9 @@ words but is not listed; rows that repeat an item, or a document, are handled as
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import repeat
 
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from statweave.llm.common import durable
 
 WINDOW = 10
-#: About half a million words, or 230 MB in a Python worker.
-PART_CHARS = 3_000_000
+#: About 350,000 words, or 360 MB in a Python worker.
+PART_CHARS = 2_000_000
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 #: ``runs`` are the hit words by number, ``spans`` the same by code point.
@@ -56,19 +57,38 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_WORDS).split()
 
 
+#: Two characters that no code of a word holds.
+_UNKNOWN = "\0\0"
+
+
+def _codes(items: Iterable[list[bytes]]) -> dict[bytes, str]:
+    """Two characters for every word, from two ranges, so that a code is only found where a word starts.
+
+    A state has one edge for each character that may follow and looks through them one by one;
+    with two characters it has about the square root of the number of words at most.
+    """
+    numbers: dict[bytes, int] = {}
+    for found in items:
+        for word in found:
+            numbers.setdefault(word, len(numbers))
+    base = math.isqrt(len(numbers)) + 1
+    return {w: chr(1 + n // base) + chr(1 + base + n % base) for w, n in numbers.items()}
+
+
 class Scanner:
-    """All windows of some items in one automaton over word numbers; 0 is a word that no item has."""
+    """All windows of some items in one automaton over coded words."""
 
-    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
+    def __init__(self, items: Sequence[tuple[str | None, str | None]], window: int = WINDOW):
+        split = [(item, words_of(text.encode() if text else None)) for item, text in items]
+        self.codes = _codes(found for _, found in split)
         self.sizes: list[int] = []
         self.owners: list[tuple[str, ...]] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for item, text in items:
-            found = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text.encode() if text else None)]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for item, found in split:
             size = min(window, len(found))
+            coded = "".join(map(self.codes.__getitem__, found))
             for i in range(len(found) - size + 1 if found else 0):
-                key = tuple(found[i:i + size])
+                key = coded[2 * i:2 * (i + size)]
                 at = self.automaton.get(key, -1)
                 if at < 0:
                     at = len(self.sizes)
@@ -84,11 +104,12 @@ class Scanner:
         """Words, hit words, items and hit runs of the text, with those found ``before`` by other automata."""
         found = words_of(text)
         known = before or {"items": [], "runs": []}
-        matches = list(self.automaton.iter(tuple(map(self.numbers.get, found, repeat(0))))) if found and self.sizes else []
+        coded = "".join(map(self.codes.get, found, repeat(_UNKNOWN)))
+        matches = list(self.automaton.iter(coded)) if found and self.sizes else []
         if not matches and not known["runs"]:
             return {"n_words": len(found), "n_hit": 0, "items": [], "runs": [], "spans": []}
-        # A match ends at a word number.
-        last = np.array([end for end, _ in matches], np.int64)
+        # The codes are of equal length, so a match ends at a word number.
+        last = np.array([end // 2 for end, _ in matches], np.int64)
         sizes = np.array([self.sizes[at] for _, at in matches], np.int64)
         turns = np.zeros(len(found) + 1, np.int64)
         np.add.at(turns, last - sizes + 1, 1)
