@@ -115,7 +115,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, place) = 1
 
 def fit_rows(extra: str, more: str = "") -> str:
     return (f'SELECT {extra}, law AS distribution, round(statistic, 6) AS statistic, round(p, 6) AS p_value{more}, '
-            "round(s, 6) AS p_s, round(loc, 6) AS p_loc, round(scale, 6) AS p_scale, round(rate, 6) AS p_lambda FROM best")
+            "round(s, 6) AS p_s, round(loc, 6) AS p_loc, round(scale, 6) AS p_scale, round(rate, 6) AS p_lambda, 'ok' AS status FROM best")
 
 
 def k2(n: str, g1: str, g2: str) -> str:
@@ -493,7 +493,7 @@ bins AS (SELECT *, i = max(i) OVER () AS last FROM walk WHERE e >= 5),
 rest AS (SELECT coalesce(sum(o), 0) AS o, coalesce(sum(e), 0) AS e FROM walk WHERE e < 5 AND i > 0 AND i = (SELECT max(i) FROM walk)),
 t AS (SELECT sum(pow(bins.o + if(last, rest.o, 0) - bins.e - if(last, rest.e, 0), 2) / (bins.e + if(last, rest.e, 0))) AS chi2, count(*) - 2 AS df FROM bins, rest)
 SELECT 'events' AS "column", 'poisson' AS distribution, round(chi2, 6) AS statistic, round({chi2_upper("chi2", "df")}, 6) AS p_value, true AS is_best,
-  CAST(NULL AS DOUBLE) AS p_s, CAST(NULL AS DOUBLE) AS p_loc, CAST(NULL AS DOUBLE) AS p_scale, round(lam, 6) AS p_lambda FROM t, st WHERE df > 0""",
+  CAST(NULL AS DOUBLE) AS p_s, CAST(NULL AS DOUBLE) AS p_loc, CAST(NULL AS DOUBLE) AS p_scale, round(lam, 6) AS p_lambda, 'ok' AS status FROM t, st WHERE df > 0""",
     "fit_distributions_by_type": f"""{fits("SELECT event_type AS k, value AS x FROM events WHERE NOT isnan(value)")}
 {fit_rows("k AS event_type, 'value' AS \"column\"", ", top AS is_best")}""",
     "fit_poisson_users": f"""{fits("SELECT 'events' AS k, count(*)::DOUBLE AS x FROM events GROUP BY user_id")}
@@ -507,8 +507,8 @@ t AS (SELECT cum::DOUBLE / n AS up, (cum - w)::DOUBLE / n AS low, {normal_cdf('(
 d AS (SELECT max(greatest(up - fn, fn - low)) AS dn, max(greatest(up - fe, fe - low)) AS de FROM t),
 p AS (SELECT *, {kolmogorov('dn * sqrt(n)')} AS pn, {kolmogorov('de * sqrt(n)')} AS pe FROM d, s)
 SELECT 'value' AS "column", 'norm' AS distribution, round(dn, 6) AS statistic, round(pn, 6) AS p_value, pn >= pe AS is_best,
-  NULL::DOUBLE AS p_s, round(m, 6) AS p_loc, round(sd, 6) AS p_scale, NULL::DOUBLE AS p_lambda FROM p
-UNION ALL SELECT 'value', 'expon', round(de, 6), round(pe, 6), pe > pn, NULL, round(lo, 6), round(m - lo, 6), NULL FROM p""",
+  NULL::DOUBLE AS p_s, round(m, 6) AS p_loc, round(sd, 6) AS p_scale, NULL::DOUBLE AS p_lambda, 'ok' AS status FROM p
+UNION ALL SELECT 'value', 'expon', round(de, 6), round(pe, 6), pe > pn, NULL, round(lo, 6), round(m - lo, 6), NULL, 'ok' FROM p""",
     "pdf_curve_events": """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
 g AS (SELECT *, lo - (hi - lo) * 0.1 + i * ((hi + (hi - lo) * 0.1) - (lo - (hi - lo) * 0.1)) / 199 AS x FROM s, range(0, 200) r(i))
 SELECT 'value' AS "column", 'norm' AS distribution, round(x, 6) AS x, round(exp(-0.5 * pow((x - m) / sd, 2)) / (sd * sqrt(2 * pi())), 9) AS y FROM g
@@ -612,7 +612,7 @@ FROM c LEFT JOIN orders ON date_trunc('week', o_orderdate) = w GROUP BY w""",
     "resample_monthly_median": """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS date, round(median(round(o_totalprice * 100)), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('month', o_orderdate)""",
     "resample_quarter_end_min": """SELECT strftime(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH), '%Y-%m-%d 00:00:00') AS date, round(min(round(o_totalprice * 100)), 4) AS value, false AS was_filled FROM orders GROUP BY date_trunc('quarter', o_orderdate)""",
     "resample_report_orders": """SELECT count(*) AS rows_before, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 AS rows_after,
-  date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 - count(DISTINCT o_orderdate) AS filled_count, 'D' AS freq, 'mean' AS agg, 'interpolate' AS fill FROM orders""",
+  date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 - count(DISTINCT o_orderdate) AS filled_count, 'D' AS freq, 'mean' AS agg, 'interpolate' AS fill, 'ok' AS status FROM orders""",
     "future_index_by_type": f"""WITH {DAILY_EVENTS}, l AS (SELECT event_type, count(*) AS n, max(day) AS last FROM daily GROUP BY ALL)
 SELECT event_type, s::INTEGER AS step, n + s - 1 AS "index", strftime(last + to_days(s::INTEGER), '%Y-%m-%d %H:%M:%S') AS date FROM l, range(1, 8) r(s)""",
     "forecast_metrics_orders": """WITH e AS (SELECT o_orderstatus, o_totalprice AS y, o_totalprice - (o_totalprice * 0.999 + o_custkey) AS e FROM orders)
@@ -707,4 +707,4 @@ ORACLES["holt_by_event_type"] = holt("""SELECT m.event_type, CAST(step AS INTEGE
 FROM m JOIN (SELECT event_type, max(day) AS last FROM s GROUP BY event_type) USING (event_type), range(1, 8) r(step)""")
 ORACLES["holt_model_by_event_type"] = holt("""SELECT m.event_type, 'holt' AS model, round(any_value(m.a), 4) AS alpha, round(any_value(m.g), 4) AS beta,
   round(any_value(level), 3) AS level, round(any_value(trend), 3) AS trend, NULL::DOUBLE AS aic, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse,
-  round(100 * avg(abs(e / y)) FILTER (y <> 0), 3) AS mape FROM m JOIN walk USING (event_type) WHERE walk.t > 0 GROUP BY m.event_type""")
+  round(100 * avg(abs(e / y)) FILTER (y <> 0), 3) AS mape, 'ok' AS status FROM m JOIN walk USING (event_type) WHERE walk.t > 0 GROUP BY m.event_type""")

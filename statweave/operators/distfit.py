@@ -168,7 +168,8 @@ def fit_distributions(
     """(column, distribution, params, statistic, p_value, is_best) per candidate law.
 
     Continuous laws are judged by the Kolmogorov–Smirnov distance of their fitted law
-    (Poisson by χ²); the best has the largest p. Columns with under 5 values drop out.
+    (Poisson by χ²); the best has the largest p. A column without any fitted law has one row
+    with its ``status``, ``too_few_values`` (under 5) or ``no_fit``, instead of ``ok``.
     """
     targets = numeric_columns(df, columns, exclude=group_by)
     keys = [*group_by, "column"]
@@ -179,7 +180,8 @@ def fit_distributions(
     stats = long.groupBy(*by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"),
         F.max(x).alias("max"), F.min(x == F.round(x)).alias("whole"),
-    ).where(F.col("n") >= MIN_VALUES)
+    )
+    every, stats = stats, stats.where(F.col("n") >= MIN_VALUES)
     counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("w"))
     laws = [c for c in ("norm", "lognorm", "expon") if c in candidates]
     parts = [_continuous(counts, stats, keys, laws, small)] if laws else []
@@ -190,12 +192,21 @@ def fit_distributions(
         ))
     # At most four rows per key; the first candidate wins a tie.
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("p_value"), "_order"))
-    return reduce(DataFrame.unionByName, parts).select(
+    fitted = reduce(DataFrame.unionByName, parts).select(
         *by, "distribution", "params", "statistic", "p_value", (place == 1).alias("is_best")
     )
+    names = F.explode(F.array(*[F.lit(c) for c in targets])).alias("column")
+    groups = df.groupBy(*[quoted(k) for k in group_by]).agg(F.count(F.lit(1)).alias("_n")) if group_by else df.sparkSession.range(1)
+    asked = groups.select(*[quoted(k) for k in group_by], names)
+    sizes = null_safe_join(asked, every.select(*by, F.col("n").alias("_n")), keys)
+    status = F.when(F.col("distribution").isNotNull(), "ok").when(
+        F.coalesce("_n", F.lit(0)) < MIN_VALUES, "too_few_values").otherwise("no_fit")
+    return null_safe_join(sizes, fitted, keys).select(
+        *[quoted(c) for c in fitted.columns if c != "is_best"], F.coalesce("is_best", F.lit(False)).alias("is_best"), status.alias("status"))
 
 
 def best_distribution(fits: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
+    """The best law of every column that has one."""
     return fits.where("is_best").drop("is_best")
 
 
@@ -210,7 +221,7 @@ def density_curve(
     by = _by(keys)
     targets = numeric_columns(df, None, exclude=group_by)
     span = melt(df, targets, group_by).groupBy(*by).agg(F.min("x").alias("_min"), F.max("x").alias("_max"))
-    rows = null_safe_join(fits, span, keys)
+    rows = null_safe_join(fits.where(F.col("distribution").isNotNull()), span, keys)
     margin = F.when(F.col("_max") > F.col("_min"), (F.col("_max") - F.col("_min")) * 0.1).otherwise(F.lit(1.0))
     lo, hi = F.col("_min") - margin, F.col("_max") + margin
     smooth = F.transform(

@@ -22,7 +22,7 @@ from statweave.operators.timeseries import (
 )
 from statweave.functions.labels import mape_label
 from statweave.plans.calendar import shifted
-from statweave.plans.joins import attach, few_groups, null_safe_join
+from statweave.plans.joins import attach, few_groups, join_results, null_safe_join
 from statweave.plans.ordered import blocks
 
 MIN_SERIES = 8
@@ -36,10 +36,11 @@ class Forecast(NamedTuple):
 
 
 class Series(NamedTuple):
-    """``rows``: (keys, pos, ts, y, n, cum, mean); ``info``: one row per series."""
+    """``rows``: (keys, pos, ts, y, n, cum, mean); ``info``: one row per usable series; ``sizes``: of every one."""
 
     rows: DataFrame
     info: DataFrame
+    sizes: DataFrame
     keys: tuple[str, ...]
     small: bool
 
@@ -65,18 +66,28 @@ def _with_keys(fn, keys: Sequence[str]):
 
 
 def prepare_series(df: DataFrame, date: str, value: str, group_by: Sequence[str] = ()) -> Series:
-    """Order each series by date, without missing dates or values; under 8 points it drops out.
+    """Order each series by date, without missing dates or values; ``sizes`` alone lists those under 8 points.
 
     A frequency is inferred only when the steps are unbroken, so a series with a known
     frequency needs no filling, and one without is used as it stands.
     """
     keys = tuple(group_by)
-    rows = points(df, date, value, keys).where(F.col("v").isNotNull()).withColumnRenamed("v", "y")
+    every = points(df, date, value, keys)
+    sizes = every.groupBy(*_by(keys)).agg(F.count("v").alias("n"))
+    rows = every.where(F.col("v").isNotNull()).withColumnRenamed("v", "y")
     placed = positions(rows, keys, ["ts", "y"], "y").where(F.col("n") >= MIN_SERIES)
     dates = rows.groupBy(*_by(keys), "ts").agg(F.count(F.lit(1)).alias("w"))
     facts = _frequency_facts(_steps(dates, keys), keys).where(F.col("total") >= MIN_SERIES)
     info = facts.select(*_by(keys), F.col("total").alias("n"), "last", _frequency().alias("freq"))
-    return Series(placed, info, keys, few_groups(df, keys))
+    return Series(placed, info, sizes, keys, few_groups(df, keys))
+
+
+def _with_status(model: DataFrame, series: Series) -> DataFrame:
+    """One row per series: ``ok``, ``too_few_points``, or ``no_model`` where no candidate can be fitted."""
+    keys = list(series.keys)
+    out = join_results(series.sizes.withColumnRenamed("n", "_points"), model, keys)
+    status = F.when(F.col("rmse").isNotNull(), "ok").when(F.col("_points") < MIN_SERIES, "too_few_points").otherwise("no_model")
+    return out.select(*[quoted(c) for c in model.columns], status.alias("status"))
 
 
 def future_index(series: Series, steps: int) -> DataFrame:
@@ -255,7 +266,7 @@ def holt(
         *by, "step", "index", "date", (F.col("level") + F.col("step") * F.col("trend")).alias("forecast"),
         missing.alias("ci_lower"), missing.alias("ci_upper"),
     )
-    return Forecast(forecast, model)
+    return Forecast(forecast, _with_status(model, series))
 
 
 def _holt_whole_series(series: Series, rounds: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -514,7 +525,7 @@ def arima(
     sums = T.StructField("sums", array)
     # Each pass hands what it was given on to the next, so every pass runs once.
     first = cut.groupBy(*by, "_block").applyInPandas(_with_keys(_first_pass, keys), T.StructType([*kf, sums, length]))
-    one = summed_arrays(first, keys, "sums", carry=["n"]).withColumn("_r", _solve_one("n", "sums")).select(*by, "n", "_r.*")
+    one = summed_arrays(first, keys, "sums", carry=["n"]).where(F.col("n").isNotNull()).withColumn("_r", _solve_one("n", "sums")).select(*by, "n", "_r.*")
 
     def per_block(stats: DataFrame) -> DataFrame:
         """One small row of parameters per block, to travel beside its rows."""
@@ -539,7 +550,7 @@ def arima(
         })
 
     second = beside(one, second_pass, T.StructType([*kf, sums, length, *_ONE.fields]))
-    two = summed_arrays(second, keys, "sums", carry=["n", "d", "ar"]).withColumn(
+    two = summed_arrays(second, keys, "sums", carry=["n", "d", "ar"]).where(F.col("n").isNotNull()).withColumn(
         "_r", _solve_two("n", "d", "sums")
     ).select(*by, "n", "d", "ar", "_r.*").where(F.col("order").isNotNull())
 
@@ -573,6 +584,6 @@ def arima(
         ])
 
     inputs = F.struct("order", "const", "phi", "theta", "sigma2", "z_tail", "e_tail", "y_end", "y_end1")
-    paths = state.withColumn("_p", project(inputs)).select(*by, F.inline("_p"))
+    paths = state.where(F.col("order").isNotNull()).withColumn("_p", project(inputs)).select(*by, F.inline("_p"))
     dated = null_safe_join(paths, future_index(series, steps), [*keys, "step"])
-    return Forecast(dated.select(*by, "step", "index", "date", "forecast", "ci_lower", "ci_upper"), model)
+    return Forecast(dated.select(*by, "step", "index", "date", "forecast", "ci_lower", "ci_upper"), _with_status(model, series))

@@ -197,7 +197,8 @@ def resample(
     Every known bucket looks up the next known one and emits the rows up to it, so gaps
     are filled without joining to a calendar; long gaps are emitted in bounded chunks.
     An empty bucket is 0 for ``sum``. Leading gaps take the first value (0 for ``zero``),
-    trailing gaps repeat the last. Series with fewer than two dates drop out.
+    trailing gaps repeat the last. Series with fewer than two dates have no calendar, hence no rows;
+    :func:`resample_report` lists them.
     """
     if fill not in ("interpolate", "zero", "ffill"):
         raise ValueError(f"unknown fill method {fill!r}")
@@ -244,18 +245,19 @@ def resample_report(
     df: DataFrame, date: str, value: str, freq: str = "D", agg: str = "mean", fill: str = "interpolate",
     group_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows before and after resampling, and the number of filled buckets."""
+    """Rows before and after resampling, the number of filled buckets, ``status`` (``ok`` or ``too_few_dates``)."""
     keys = list(group_by)
     by = _by(keys)
     before = points(df, date, value, keys).groupBy(*by).agg(F.count(F.lit(1)).alias("rows_before"))
     after = resample(df, date, value, freq, agg, fill, keys).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows_after"), F.count(F.when(F.col("was_filled"), 1)).alias("filled_count")
+        F.expr("nullif(count(1), 0)").alias("rows_after"), F.count(F.when(F.col("was_filled"), 1)).alias("filled_count")
     )
     out = join_results(before, after, keys)
     return out.select(
         *by, "rows_before", F.coalesce("rows_after", F.lit(0).cast("long")).alias("rows_after"),
         F.coalesce("filled_count", F.lit(0).cast("long")).alias("filled_count"), F.lit(freq).alias("freq"),
         F.lit(agg).alias("agg"), F.lit(fill).alias("fill"),
+        F.when(F.col("rows_after").isNotNull(), "ok").otherwise("too_few_dates").alias("status"),
     )
 
 
@@ -393,7 +395,7 @@ def adf_test(
 
     The series is cut into overlapping blocks of equal length; each gives the
     cross-products of all lags, and their sum serves every candidate regression.
-    Series with under 10 values or without variation drop out.
+    ``status`` is ``ok``, ``too_few_values`` (under 10) or ``constant``; the statistics are then NULL.
     """
     keys = list(group_by)
     by = _by(keys)
@@ -413,5 +415,8 @@ def adf_test(
 
     parts = cut.groupBy(*by, "_block").applyInPandas(per_block, schema)
     total = summed_arrays(parts, keys, "gram", carry=["n", "head"])
-    out = total.withColumn("_r", _adf_result("n", "gram", "head")).select(*by, F.lit(column).alias("column"), "_r.*")
-    return out.where(F.col("adf_statistic").isNotNull()).withColumn("is_stationary", F.col("p_value") < alpha)
+    tested = total.where(F.col("n").isNotNull()).withColumn("_r", _adf_result("n", "gram", "head")).select(*by, "_r.*")
+    sizes = df.groupBy(*by).agg(F.count(as_double(df, column)).alias("_values"))
+    out = join_results(sizes, tested.where(~F.isnan("adf_statistic")), keys)
+    status = F.when(F.col("adf_statistic").isNotNull(), "ok").when(F.col("_values") < 10, "too_few_values").otherwise("constant")
+    return out.select(*by, F.lit(column).alias("column"), status.alias("status"), *_ADF.names, (F.col("p_value") < alpha).alias("is_stationary"))

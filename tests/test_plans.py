@@ -191,7 +191,7 @@ def test_text_dates_in_time_series(spark):
 
 def test_poisson_bins_of_large_numbers(spark):
     ids = spark.range(1000).select((F.col("id") + 10**10).alias("v"))
-    assert distfit.fit_distributions(ids, ["v"], candidates=["poisson"]).collect() == []
+    assert distfit.fit_distributions(ids, ["v"], candidates=["poisson"]).first().status == "no_fit"
     for mean in (3.0, 900.0):
         rng = np.random.default_rng(int(mean))
         drawn = spark.createDataFrame([(int(x),) for x in rng.poisson(mean, 2000)], ["v"])
@@ -224,7 +224,7 @@ def merged_bins(values):
 def test_poisson_bins_follow_one_another(spark, mean, size):
     groups = {g: [int(x) for x in np.random.default_rng(g).poisson(mean, size)] for g in range(4)}
     df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], ["g", "x"])
-    got = {r.g: r for r in distfit.fit_distributions(df, ["x"], ["g"], candidates=["poisson"]).collect()}
+    got = {r.g: r for r in distfit.fit_distributions(df, ["x"], ["g"], candidates=["poisson"]).collect() if r.status == "ok"}
     for g, xs in groups.items():
         lam, chi2, bins = merged_bins(xs)
         assert (g in got) == (bins > 2), (g, bins)

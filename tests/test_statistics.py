@@ -262,7 +262,9 @@ def test_poisson(spark):
     assert row["p_value"] > 0.001
     none = distfit.fit_distributions(frame(spark, x=[0.5, 1.5, -1.0, 2.0, 3.0]))
     assert rows(none.select("distribution")) == [("expon",), ("norm",)]
-    assert distfit.fit_distributions(frame(spark, x=[1.0, 2.0, 3.0, 4.0])).count() == 0
+    few = distfit.fit_distributions(frame(spark, x=[1.0, 2.0, 3.0, 4.0]))
+    assert rows(few.select("column", "distribution", "is_best", "status")) == [("x", None, False, "too_few_values")]
+    assert distfit.density_curve(frame(spark, x=[1.0, 2.0, 3.0, 4.0]), few).count() == 0
 
 
 def test_histogram_keeps_empty_bins_and_the_total(spark):

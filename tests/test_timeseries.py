@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
 from statweave.operators import forecast, timeseries
 
 CODES = ["D", "2D", "W-SUN", "W-WED", "2W-SUN", "MS", "ME", "2MS", "QS-JAN", "QS-FEB", "QE-MAR", "QE-DEC",
@@ -108,9 +109,15 @@ def test_adf(spark, kind, block):
         assert row["is_stationary"] == (kind == "ar")
 
 
-def test_adf_drops_short_and_constant_series(spark):
+def test_adf_status_of_short_and_constant_series(spark):
     pdf = pd.DataFrame({"g": ["s"] * 5 + ["c"] * 50, "t": list(range(5)) + list(range(50)), "y": [1.0, 2, 1, 2, 1] + [3.0] * 50})
-    assert timeseries.adf_test(spark.createDataFrame(pdf), "y", ["t"], ["g"]).count() == 0
+    got = timeseries.adf_test(spark.createDataFrame(pdf), "y", ["t"], ["g"]).select("g", "status", "p_value")
+    assert rows(got) == [("c", "constant", None), ("s", "too_few_values", None)]
+    one = timeseries.adf_test(spark.createDataFrame(pdf).where("g = 's'"), "y", ["t"]).first()
+    assert (one.status, one.adf_statistic) == ("too_few_values", None)
+    report = timeseries.resample_report(ntz(spark, pd.DataFrame({
+        "g": ["a", "b", "b"], "ts": pd.to_datetime(["2024-01-01", "2024-01-01", "2024-01-03"]), "v": [1.0, 2, 3]})), "ts", "v", group_by=["g"])
+    assert rows(report.select("g", "rows_after", "status")) == [("a", 0, "too_few_dates"), ("b", 3, "ok")]
 
 
 def test_mackinnon_critical_values_are_consistent():
@@ -232,13 +239,19 @@ def test_many_series_short_ones_and_unknown_frequency(spark):
                *pd.date_range("2024-01-01", periods=12, freq="D").delete([3, 4, 8])],
         "v": [1.0, 2, 3, 4, 5, 6, 7, 8] + [1.0] * 7 + [1.0, 2, 1, 3, 1, 2, 1, 2, 1],
     })
-    out = forecast.holt(ntz(spark, pdf), "ts", "v", 2, ["g"]).forecast
+    out, model = forecast.holt(ntz(spark, pdf), "ts", "v", 2, ["g"])
+    assert rows(model.select("g", "status")) == [("ok", "ok"), ("short", "too_few_points"), ("uneven", "ok")]
+    alone = forecast.holt(ntz(spark, pdf[pdf["g"] == "short"]), "ts", "v", 2)
+    assert (alone.model.first().status, alone.forecast.count()) == ("too_few_points", 0)
+    alone = forecast.arima(ntz(spark, pdf[pdf["g"] == "short"]), "ts", "v", 2)
+    assert (alone.model.first().status, alone.forecast.count()) == ("too_few_points", 0)
     got = {(r["g"], r["step"]): r for r in out.collect()}
     assert set(got) == {("ok", 1), ("ok", 2), ("uneven", 1), ("uneven", 2)}
     assert str(got["ok", 2]["date"]) == "2024-10-01 00:00:00" and got["ok", 2]["forecast"] == pytest.approx(10.0, abs=1e-6)
     assert got["uneven", 1]["date"] is None and got["uneven", 1]["index"] == 9
     arima = forecast.arima(ntz(spark, pdf), "ts", "v", 2, group_by=["g"])
     assert arima.forecast.count() == 4
+    assert rows(arima.model.select("g", "status")) == [("ok", "ok"), ("short", "too_few_points"), ("uneven", "ok")]
 
 
 @pytest.mark.parametrize("code", ["D", "3D", "h", "W-SUN", "MS", "ME", "2MS", "QS-OCT", "QE-DEC", "YS-JAN", "YE-DEC", "B", "15min"])
