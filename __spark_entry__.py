@@ -191,6 +191,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             statistic=4, norm_a_stat=3, norm_b_stat=3,
         )
 
+    def compared(found):
+        """What the whole comparison says of each column."""
+        verdict = F.when(F.col("drifted"), "drifted").otherwise("stable").alias("verdict")
+        return found.numeric.select(F.lit("numeric").alias("section"), "column", "verdict").unionByName(
+            found.categorical.select(F.lit("categorical").alias("section"), "column", verdict)
+        ).unionByName(found.quality.select(F.lit("quality").alias("section"), "column", F.concat_ws("|", "first_new_categories").alias("verdict")))
+
     def model_out(df):
         return digits(df, aic=3, bic=3, f=5)
 
@@ -269,6 +276,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_poisson_users": lambda s, d: _fit_rows(distfit.fit_distributions(user_counts(s, d), ["events"])),
         "fit_poisson_law_users": lambda s, d: _fit_rows(distfit.fit_distributions(user_counts(s, d), ["events"], candidates=("poisson",))),
         "best_fit_part": lambda s, d: _fit_rows(distfit.best_distribution(distfit.fit_distributions(part(s, d), ["p_size", "p_retailprice"]))),
+        "pdf_curve_by_type": lambda s, d: digits(distfit.density_curve(
+            events(s, d).select("event_type", "value"), distfit.fit_distributions(events(s, d), ["value"], ["event_type"]), ["event_type"], 20), y=9),
         "pdf_curve_events": lambda s, d: digits(distfit.density_curve(
             events(s, d), distfit.fit_distributions(events(s, d), ["value"], candidates=("norm", "expon"))), y=9),
         # drift
@@ -282,14 +291,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_paired": lambda s, d: numeric_out(drift.numeric_drift(*orders_revised(s, d), id_column="o_orderkey")),
         "drift_judged": lambda s, d: drift.judge_verdicts(
             drift.numeric_drift(*orders_sides(s, d)), {"o_totalprice": "down_good"}).select("column", "verdict", "judgement"),
-        "drift_categorical": lambda s, d: digits(drift.categorical_drift(*orders_sides(s, d)).drop("p_value", "p_corrected")),
+        "drift_categorical": lambda s, d: digits(drift.categorical_drift(*orders_sides(s, d))),
+        "compare_datasets": lambda s, d: compared(drift.compare_datasets(*orders_sides(s, d))),
         "drift_shares": lambda s, d: digits(drift.category_shares(*orders_sides(s, d))),
         # regression
         "ols_lineitem": lambda s, d: digits(regression.coefficients(lineitem_fit(s, d)[0]), coefficient=5, std_error=5),
         "ols_model_lineitem": lambda s, d: model_out(regression.model_summary(lineitem_fit(s, d)[0], normality=False)),
         "durbin_watson_lineitem": lambda s, d: digits(regression.durbin_watson(*lineitem_fit(s, d))),
         "residual_normality_lineitem": lambda s, d: digits(regression.residual_normality(lineitem_fit(s, d)[0])),
-        "predict_lineitem": lambda s, d: digits(regression.fitted_line(lineitem_fit(s, d)[0]).select("l_orderkey", "l_linenumber", "l_partkey", "y_predicted"), 4),
+        "predict_lineitem": lambda s, d: digits(regression.fitted_line(*lineitem_fit(s, d)).select("l_orderkey", "l_linenumber", "l_partkey", "y_predicted", "position"), 4),
         "predictive_model_orders": lambda s, d: digits(regression.predictive_model(one_feature_fit(s, d)).withColumn(
             "slope", F.col("coefficients")["o_custkey"]).drop("coefficients"), 5),
         "ci_band_orders": lambda s, d: digits(regression.confidence_band(one_feature_fit(s, d)).select("o_orderkey", "x", "y_predicted", "ci_lower", "ci_upper"), 3),

@@ -546,7 +546,7 @@ x AS (SELECT "column", sum(pow(ca - ea, 2) / ea + pow(cb - eb, 2) / eb) AS chi2,
 p AS (SELECT *, CASE dof WHEN 2 THEN exp(-chi2 / 2) WHEN 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2)
   WHEN 5 THEN {normal_two_sided('sqrt(chi2)')} + 2 * exp(-chi2 / 2) / sqrt(2 * pi()) * (sqrt(chi2) + pow(chi2, 1.5) / 3) END AS p FROM x),
 q AS (SELECT *, least(1.0, min(p * m / r) OVER (ORDER BY r DESC)) AS adj FROM (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p))
-SELECT "column", round(chi2, 6) AS chi2, dof, round(sqrt(chi2 / n), 6) AS cramers_v, low_expected_cells, total_cells, adj <= 0.05 AS drifted FROM q""",
+SELECT "column", round(chi2, 6) AS chi2, round(p, 6) AS p_value, round(adj, 6) AS p_corrected, dof, round(sqrt(chi2 / n), 6) AS cramers_v, low_expected_cells, total_cells, adj <= 0.05 AS drifted FROM q""",
     "drift_shares": f"WITH {SIDES}, long AS (" + union([
         f"SELECT '{c}' AS \"column\", {s} AS side, {c} AS value FROM {t}" for c in ("o_orderpriority", "o_orderstatus") for s, t in ((0, "a"), (1, "b"))
     ]) + """), t AS (SELECT "column", value, count(*) FILTER (side = 0) AS base_count, count(*) FILTER (side = 1) AS compare_count FROM long GROUP BY ALL)
@@ -564,7 +564,7 @@ SELECT n::BIGINT AS n, 'ok' AS status, round(r2, 6) AS r2, round(1 - (1 - r2) *
     "durbin_watson_lineitem": f"""WITH {OLS}, e AS (SELECT l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount AS e, {LINE_ORDER} FROM lineitem, f3),
 d AS (SELECT e, e - lag(e) OVER (ORDER BY {LINE_ORDER}) AS de FROM e), w AS (SELECT sum(de * de) / sum(e * e) AS dw FROM d)
 SELECT round(dw, 6) AS durbin_watson, CASE WHEN dw < 1.5 THEN 'positive' WHEN dw > 2.5 THEN 'negative' ELSE 'none' END AS dw_label FROM w""",
-    "predict_lineitem": f"WITH {OLS} SELECT l_orderkey, l_linenumber, l_partkey, round(b0 + b1 * l_quantity + b2 * l_discount, 4) AS y_predicted FROM lineitem, f3",
+    "predict_lineitem": f"WITH {OLS} SELECT l_orderkey, l_linenumber, l_partkey, round(b0 + b1 * l_quantity + b2 * l_discount, 4) AS y_predicted, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_tax) - 1 AS position FROM lineitem, f3",
     "predictive_model_orders": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS slope, regr_intercept(o_totalprice, o_custkey) AS b0, regr_r2(o_totalprice, o_custkey) AS r2 FROM orders)
 SELECT count(*) AS n, 'ok' AS status, 'ols' AS model, round(any_value(b0), 5) AS intercept, round(any_value(r2), 5) AS r2,
   round(sqrt(avg(pow(o_totalprice - b0 - slope * o_custkey, 2))), 5) AS rmse, round(avg(abs(o_totalprice - b0 - slope * o_custkey)), 5) AS mae, round(any_value(slope), 5) AS slope FROM orders, f""",
@@ -708,3 +708,12 @@ FROM m JOIN (SELECT event_type, max(day) AS last FROM s GROUP BY event_type) USI
 ORACLES["holt_model_by_event_type"] = holt("""SELECT m.event_type, 'holt' AS model, round(any_value(m.a), 4) AS alpha, round(any_value(m.g), 4) AS beta,
   round(any_value(level), 3) AS level, round(any_value(trend), 3) AS trend, NULL::DOUBLE AS aic, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse,
   round(100 * avg(abs(e / y)) FILTER (y <> 0), 3) AS mape, 'ok' AS status FROM m JOIN walk USING (event_type) WHERE walk.t > 0 GROUP BY m.event_type""")
+ORACLES["compare_datasets"] = f"""SELECT 'numeric' AS section, "column", verdict FROM ({ORACLES["drift_numeric"]})
+UNION ALL SELECT 'categorical', "column", CASE WHEN drifted THEN 'drifted' ELSE 'stable' END FROM ({ORACLES["drift_categorical"]})
+UNION ALL SELECT 'quality', "column", coalesce(first_new_categories, '') FROM ({ORACLES["drift_quality"]})"""
+ORACLES["pdf_curve_by_type"] = f"""{fits("SELECT event_type AS k, value AS x FROM events WHERE NOT isnan(value)")},
+c AS (SELECT best.*, st.lo - 0.1 * (st.hi - st.lo) + i * 1.2 * (st.hi - st.lo) / 19 AS x FROM best JOIN st USING (k), range(0, 20) q(i))
+SELECT k AS event_type, 'value' AS "column", law AS distribution, round(x, 6) AS x, round(CASE law
+  WHEN 'norm' THEN exp(-0.5 * pow((x - loc) / scale, 2)) / (scale * sqrt(2 * pi()))
+  WHEN 'expon' THEN CASE WHEN x < loc THEN 0 ELSE exp(-(x - loc) / scale) / scale END
+  ELSE CASE WHEN x <= loc THEN 0 ELSE exp(-0.5 * pow(ln((x - loc) / scale) / s, 2)) / (s * (x - loc) * sqrt(2 * pi())) END END, 9) AS y FROM c"""

@@ -20,7 +20,7 @@ from statweave.functions.tails import fisher_p, student_p, student_quantile
 from statweave.operators.clean import clean_regression_rows
 from statweave.operators.hypothesis import shapiro_of_long
 from statweave.plans.joins import attach, few_groups, join_results
-from statweave.plans.ordered import with_next
+from statweave.plans.ordered import running, with_next
 
 RIDGE_BELOW = 50  # default of fit_linear
 MIN_ROWS = 3
@@ -48,7 +48,7 @@ def _arrays(*names: str) -> list[T.StructField]:
 
 
 _SOLUTION = T.StructType(
-    _arrays("beta", "std_error", "vif", "ridge_beta", "inverse")
+    _arrays("beta", "std_error", "vif", "ridge_beta", "plain_ridge", "inverse")
     + _doubles("r2", "r2_adj", "f", "rank", "aic", "bic", "s2", "df_resid", "pred_r2", "pred_rmse")
 )
 
@@ -102,6 +102,7 @@ def _solve(n: np.ndarray, means: np.ndarray, cov: np.ndarray, centered_vif: bool
         return pd.DataFrame({
             "beta": list(with_intercept(b)), "std_error": list(np.sqrt(s2[:, None] * spread)),
             "vif": list(np.column_stack([np.full(len(n), np.nan), vif])), "ridge_beta": list(with_intercept(model)),
+            "plain_ridge": list(with_intercept(ridge)),
             "inverse": list(inverse.reshape(len(n), -1)), "r2": r2,
             "r2_adj": np.where(df > 0, 1 - (1 - r2) * (n - 1) / df, np.nan),
             "f": np.where((rank > 0) & (s2 > 0), (syy - sse) / rank / s2, np.nan), "rank": rank,
@@ -179,10 +180,10 @@ def _line(beta: str, features: Sequence[str], columns: Sequence[Column]) -> Colu
 def predict(fit: Fit, df: DataFrame | None = None, model: str = "predictive", name: str = "y_predicted") -> DataFrame:
     """Score any frame that has the features (default: the clean training rows).
 
-    ``model``: ``ols`` or ``predictive`` (ridge below 50 rows, else the same line).
+    ``model``: ``ols``, ``ridge``, or ``predictive`` (ridge below ``ridge_below`` rows, else the OLS line).
     """
     rows = fit.rows if df is None else df
-    beta = "beta" if model == "ols" else "ridge_beta"
+    beta = {"ols": "beta", "ridge": "plain_ridge", "predictive": "ridge_beta"}[model]
     line = fit.solution.select(*[quoted(k) for k in fit.group_by], F.col(beta).alias("_beta"))
     scored = attach(rows, line, fit.group_by, small=fit.small)
     columns = [as_double(rows, f) for f in fit.features]
@@ -250,9 +251,13 @@ def predictive_model(fit: Fit) -> DataFrame:
     return join_results(model, errors, fit.group_by)
 
 
-def fitted_line(fit: Fit) -> DataFrame:
-    """Clean rows with the prediction, sorted by it."""
-    return predict(fit).orderBy("y_predicted")
+def fitted_line(fit: Fit, order_by: Sequence[str] = ()) -> DataFrame:
+    """Clean rows with the prediction, sorted by it; given ``order_by``, with each row's ``position`` (from 0) in that order."""
+    rows = predict(fit)
+    if order_by:
+        placed = running(rows.withColumn("_one", F.lit(1).cast("long")), fit.group_by, list(order_by), ["_one"])
+        rows = placed.select(*[quoted(c) for c in rows.columns], (F.col("cum__one") - 1).alias("position"))
+    return rows.orderBy("y_predicted")
 
 
 def confidence_band(fit: Fit, confidence: float = 0.95, sort: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from statweave.functions.columns import clean, columns_of_kind, quoted
+from statweave.operators.clean import promote_dates
 
 SEPARATORS = (",", ";", "\t", "|")
 QUOTED = re.compile(r'"(?:[^"]|"")*"')
@@ -29,7 +30,11 @@ def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8",
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Delimited text with a header; a quote within quotes is doubled. Give ``schema`` on large inputs: inference reads the file twice."""
+    """Delimited text with a header; a quote within quotes is doubled. Give ``schema`` on large inputs: inference reads the file twice.
+
+    Beside the UTF encodings, ISO-8859-1 and US-ASCII, Spark reads the JVM's character sets (as ``windows-1251``)
+    only where ``spark.sql.legacy.javaCharsets`` is ``true``; else it refuses them.
+    """
     reader = (
         spark.read.option("header", True)
         .option("sep", sep or detect_separator(spark, path, encoding))
@@ -39,6 +44,18 @@ def read_delimited(
     return check_table(df)
 
 
+def load_table(
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8",
+    schema: T.StructType | str | None = None, dates: bool = True,
+) -> DataFrame:
+    """A table in one step: read (parquet by its name, else delimited text), check it, turn text dates into timestamps."""
+    if path.rstrip("/").endswith(".parquet"):
+        df = check_table(spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path))
+    else:
+        df = read_delimited(spark, path, sep, encoding, schema)
+    return promote_dates(df) if dates else df
+
+
 def check_table(df: DataFrame) -> DataFrame:
     """Reject a table without a numeric column or without rows."""
     if not columns_of_kind(df, "numeric"):

@@ -108,6 +108,24 @@ def test_delimited_text(spark, tmp_path):
         pass
 
 
+def test_load_table_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "in.csv")
+    with open(path, "w", encoding="cp1251") as f:
+        f.write("день;имя;value\n2024-01-01;Ёж, \"Ъ\";1.5\n2024-01-02;я;2.5\n")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        df = tables.load_table(spark, path, encoding="windows-1251")
+        assert [(str(r[0]), r[1], r[2]) for r in df.orderBy("value").collect()] == [
+            ("2024-01-01", 'Ёж, "Ъ"', 1.5), ("2024-01-02", "я", 2.5)]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    text = spark.createDataFrame([("2024-01-01", 1.0), ("2024-02-01", 2.0)], "d string, v double")
+    tables.write_parquet(text, str(tmp_path / "t.parquet"))
+    loaded = tables.load_table(spark, str(tmp_path / "t.parquet"))
+    assert dict(loaded.dtypes)["d"].startswith("timestamp") and loaded.count() == 2
+    assert dict(tables.load_table(spark, str(tmp_path / "t.parquet"), dates=False).dtypes)["d"] == "string"
+
+
 def test_two_versions_of_a_table(spark):
     import numpy as np
     import pandas as pd

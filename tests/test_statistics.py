@@ -193,6 +193,11 @@ def test_regression_recovers_a_line_and_ridge_matches_its_definition(spark):
     assert model["rmse"] == pytest.approx(math.sqrt(((y - fitted) ** 2).mean()))
     scored = regression.predict(fit, frame(spark, x1=[1.0], x2=[2.0])).first()["y_predicted"]
     assert scored == pytest.approx(float(y.mean() + ((np.array([1.0, 2.0]) - raw.mean(0)) / raw.std(0)) @ w))
+    plain = regression.fit_linear(frame(spark, x1=x1, x2=x2, y=y), "y", ["x1", "x2"], ridge_below=0)
+    for model, want in (("ridge", scored), ("predictive", float(beta @ [1.0, 1.0, 2.0])), ("ols", float(beta @ [1.0, 1.0, 2.0]))):
+        assert regression.predict(plain, frame(spark, x1=[1.0], x2=[2.0]), model).first()["y_predicted"] == pytest.approx(want)
+    line = regression.fitted_line(fit, ["x1", "x2"]).toPandas()
+    assert sorted(line["position"]) == list(range(40)) and list(line.sort_values("position")["x1"]) == sorted(raw[:, 0])
     band = regression.confidence_band(fit).toPandas()
     assert ((band["ci_lower"] < band["y_predicted"]) & (band["y_predicted"] < band["ci_upper"])).all()
 
