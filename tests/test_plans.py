@@ -230,3 +230,22 @@ def test_poisson_bins_follow_one_another(spark, mean, size):
         assert (g in got) == (bins > 2), (g, bins)
         if g in got:
             assert got[g].params["lambda"] == pytest.approx(lam) and got[g].statistic == pytest.approx(chi2, rel=1e-6)
+
+
+def test_buckets_are_searched_in_generated_code(spark):
+    """No higher-order function, which Spark interprets row by row, places a row; the plan stays short."""
+    df = spark.range(500).select(F.col("id").alias("t"), (F.col("id") % 3).alias("k"))
+    for found in (running(df, ["k"], "t", ["t"], rows=50), with_next(df, ["k"], "t", ["t"], rows=50)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan and len(plan) < 100_000
+
+
+@pytest.mark.parametrize("limit", [40, 1_000_000])
+def test_next_row_with_ties_and_missing(spark, limit):
+    """Keys and order values that are missing or repeated, with cuts through both."""
+    rows = [(k, t, i) for i, (k, t) in enumerate((k, t) for k in (None, "a", "b") for t in [None] + [v // 2 for v in range(300)])]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    got = with_next(df, ["k"], ["t", "i"], ["i"], rows=limit).collect()
+    assert {(r.i, r.next_i) for r in got} == {(i, i + 1 if i % 301 < 300 else None) for _, _, i in rows} and len(got) == len(rows)
+    sums = running(df.withColumn("one", F.lit(1)), ["k"], ["t", "i"], ["one"], rows=limit).collect()
+    assert {(r.i, r.cum_one, r.tot_one) for r in sums} == {(i, i % 301 + 1, 301) for _, _, i in rows}
