@@ -285,3 +285,17 @@ def test_normal_scores_match_the_small_helper(spark):
     got = df.select(hypothesis._normal_scores("s", "l", "n").alias("r")).select("r.*").agg(F.sum("m"), F.sum("mm")).first()
     m = normal_quantile((np.arange(n) + 0.625) / (n + 0.25))
     assert got[0] == pytest.approx(m.sum(), abs=1e-9) and got[1] == pytest.approx((m * m).sum())
+
+
+def test_ks_bins_are_searched_in_generated_code(spark):
+    """Close samples leave nearly all bins open; no list of them is searched for every row."""
+    rng = np.random.default_rng(5)
+    a, b = np.round(rng.normal(0, 1, 3000), 2), np.round(rng.normal(0.01, 1, 3000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["A"] * 3000 + ["B"] * 3000, "x": np.concatenate([a, b])}))
+    samples = hypothesis.samples_of_levels(df, ["x"], "g", "A", "B")
+    found = hypothesis.ks_two_sample(samples, bins=64)
+    grid = np.unique(np.concatenate([a, b]))
+    want = max(abs((a <= v).mean() - (b <= v).mean()) for v in grid)
+    assert found.first()["statistic"] == pytest.approx(want, abs=1e-12)
+    plan = hypothesis._ks_bounded(samples, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and len(plan) < 500_000
