@@ -22,7 +22,9 @@ an earlier position repeats. Rows per step: the members, and one witness per sub
 no pairs of copies are made.
 
 All groups are taken by combined aggregates and by joins that Spark can split; positions are
-unique keys. Windows run within a document only.
+unique keys. Windows run within a document only. Levels of at most ``FEW`` positions, and the
+intervals on them, are worked on in one partition: a long document alone makes a dozen levels of
+some rows, and shuffles of those would write little but files per task.
 
 Defined cases: a NULL text has no lines and stays; an empty text is one empty line; rows that
 repeat ``doc_id`` and text count as one document and come out alike; documents of one
@@ -37,6 +39,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from statweave.llm.common import content_key, durable, keyed, partitions, same_content, words
 
 MIN_WORDS = 50
+#: Positions of a level up to which it stays in one partition; intervals on it have at most about twice as many rows.
+FEW = 50_000
 KEY = ("doc_id", "h1", "h2")
 
 
@@ -62,13 +66,13 @@ def sorted_in(df: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """``key``, ``first`` of each class of equal keys with at least two positions.
+    """``key``, ``first`` of each class of equal keys with at least two positions."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
 
-    Dealt out by another column in the end, so that a join on ``key`` deals both sides anew and
-    Spark can split a large class.
-    """
-    classes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
-    return classes.drop("n").repartition("first")
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Dealt out by another column than their key, so that a join on the key deals both sides anew and Spark can split a large class."""
+    return classes.repartition("first")
 
 
 def levels(lines: DataFrame) -> list[DataFrame]:
@@ -76,17 +80,20 @@ def levels(lines: DataFrame) -> list[DataFrame]:
 
     ``size``, the number of lines compared, is a column: all rounds then run the same compiled code.
     """
-    found = _repeated(lines, "a", "b")
+    found = _dealt(_repeated(lines, "a", "b"))
     level = durable(lines.join(sorted_in(found), ["a", "b"]).select(
         "pos", "last", F.col("first").alias("rank"), "first", F.lit(1).cast("long").alias("size")))
     out = []
-    while not level.isEmpty():
+    while n := level.count():
+        few = n <= FEW
+        level = level.coalesce(1) if few else level
         out.append(level)
         ahead = level.select((F.col("pos") - F.col("size")).alias("pos"), F.col("rank").alias("r2"))
         pairs = level.where("pos + size <= last").select("pos", "last", F.col("rank").alias("r1"), "size").join(sorted_in(ahead), "pos")
-        classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
+        classes = _repeated(pairs, "r1", "r2")
         # Row numbers of the sorted pairs keep their order.
-        ranked = classes.repartitionByRange(partitions(lines), "r1", "r2").sortWithinPartitions("r1", "r2").select(
+        placed = classes if few else classes.repartitionByRange(partitions(lines), "r1", "r2")
+        ranked = placed.sortWithinPartitions("r1", "r2").select(
             "r1", "r2", "first", F.monotonically_increasing_id().alias("rank"))
         level = durable(pairs.join(sorted_in(ranked), ["r1", "r2"]).select(
             "pos", "last", "rank", "first", (F.col("size") * 2).alias("size")))
@@ -97,6 +104,7 @@ def longest_repeats(doubling: list[DataFrame]) -> DataFrame:
     """(``pos``, ``len``, ``first``): the longest run at ``pos`` that also starts at an earlier position, ``first``."""
     state = above = None
     for level in reversed(doubling):
+        few = level.rdd.getNumPartitions() == 1
         # Positions whose longest power of two with an earlier copy is this one, and their witnesses.
         new = level.where("pos <> first")
         if above is not None:
@@ -105,18 +113,20 @@ def longest_repeats(doubling: list[DataFrame]) -> DataFrame:
         seen = new.select(F.col("first").alias("pos"), "len", "first").distinct()
         witnesses = level.where("pos = first").select("pos", "last").join(sorted_in(seen), "pos").select("pos", "last", "len", "first")
         new = new.unionByName(witnesses)
-        state = durable(new if state is None else new.unionByName(_refined(state, level)))
+        found = new if state is None else new.unionByName(_refined(state, level, few))
+        state = durable(found.coalesce(1) if few else found)
         above = level
     return state.where("pos <> first").groupBy("pos").agg(
         F.max("len").alias("len"), F.max_by("first", "len").alias("first"))
 
 
-def _refined(state: DataFrame, level: DataFrame) -> DataFrame:
+def _refined(state: DataFrame, level: DataFrame, few: bool) -> DataFrame:
     """Split each interval of ``state`` by the rank of the next ``size`` lines behind its prefix."""
     ahead = level.select(F.col("pos").alias("at"), F.col("rank").alias("r"), "size")
     after = F.col("pos") + F.col("len")
     known = state.join(sorted_in(ahead), (after == F.col("at")) & (after <= F.col("last")), "left").drop("at")
     classes = _repeated(known.where("r IS NOT NULL").select("len", F.col("first").alias("prefix"), "r", "pos"), "len", "prefix", "r")
+    classes = classes if few else _dealt(classes)
     joined = known.join(sorted_in(classes.select("len", F.col("prefix").alias("first"), "r", F.col("first").alias("start"))), ["len", "first", "r"], "left")
 
     def row(length: Column, first: Column) -> Column:

@@ -73,3 +73,20 @@ def test_levels_are_ordered_like_suffixes(spark, documents):
         order = sorted(ranks, key=lambda p: block[p])
         assert [ranks[p] for p in order] == sorted(ranks.values())
         assert len({(block[p], ranks[p]) for p in ranks}) == len(set(block.values()))
+
+
+def test_small_levels_are_not_shuffled(spark, documents, monkeypatch):
+    """A level of few rows stays in one partition, whatever the number of shuffle partitions; results do not depend on it."""
+    rng = random.Random(7)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(40))) for i in range(12)] + [(50, "same\n" * 130)]
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = linededup.levels(linededup.positions(documents(rows)))
+        assert len(found) > 6 and all(level.rdd.getNumPartitions() == 1 for level in found)
+        monkeypatch.setattr(linededup, "FEW", 100)
+        parts = [level.rdd.getNumPartitions() for level in linededup.levels(linededup.positions(documents(rows)))]
+        assert len(parts) == len(found) and parts[0] > 1 and parts[-1] == 1
+        assert dict(result(documents(rows), 8)) == brute(rows, 8)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
