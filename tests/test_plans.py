@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from statweave.operators import clean, describe, distfit, hypothesis, timeseries
+from statweave.operators import clean, describe, distfit, drift, hypothesis, timeseries
 from statweave.plans import joins
 from statweave.plans.joins import attach, hot_keys, join_by_value
 from statweave.plans.ordered import blocks, bucketed, running, with_next
@@ -249,3 +249,20 @@ def test_next_row_with_ties_and_missing(spark, limit):
     assert {(r.i, r.next_i) for r in got} == {(i, i + 1 if i % 301 < 300 else None) for _, _, i in rows} and len(got) == len(rows)
     sums = running(df.withColumn("one", F.lit(1)), ["k"], ["t", "i"], ["one"], rows=limit).collect()
     assert {(r.i, r.cum_one, r.tot_one) for r in sums} == {(i, i % 301 + 1, 301) for _, _, i in rows}
+
+
+def test_psi_bins_run_no_function_per_row_and_are_right(spark):
+    """Deciles with ties, values outside their range, infinities."""
+    a = [float(i // 3) for i in range(30)] + [4.0] * 20 + [float("inf")]
+    b = [i / 2 - 3 for i in range(40)] + [float("-inf"), float("inf"), 4.0]
+    make = lambda v: spark.createDataFrame([(x,) for x in v], "x double")
+    for out in (drift.psi(make(a), make(b)), drift.numeric_drift(make(a), make(b))):
+        assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        edges = np.unique(np.sort(a)[[len(a) // 10 * k for k in range(11)]])
+
+        def shares(v):
+            held = [sum(lo <= x and (x <= hi if k == len(edges) - 2 else x < hi) for x in v) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+            return [n / len(v) if n else 0.0001 for n in held]
+
+        want = sum((q - p) * np.log(q / p) for p, q in zip(shares(a), shares(b)))
+        assert out.first()["psi"] == pytest.approx(want, rel=1e-9)
