@@ -100,37 +100,42 @@ def model_of(table: pd.DataFrame) -> Model:
                  np.log1p(n / spread[at]), np.append(unseen, -np.log(BUCKETS)))
 
 
+def _bytes(text: pa.Scalar) -> bytes | None:
+    """UTF-8 of one text, taken from its batch, of which no copy is made: a batch may hold long pages."""
+    return text.as_buffer().to_pybytes() if text.is_valid else None
+
+
 def train(docs: DataFrame, declared: str = "lang", text: str = "text") -> Model:
     """Trigram counts of all declared documents, summed in the tasks; only the counts above 0 are collected."""
     given = docs.select(F.col(declared).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
-        def told() -> Iterator[pd.DataFrame]:
+        def told() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 bucket = np.flatnonzero(counts)
-                yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[bucket]})
+                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(bucket)), "bucket": bucket, "n": counts[bucket]})
             held.clear()
 
         for batch in batches:
-            for lang, said in zip(batch["lang"], batch["text"], strict=True):
+            for said_in, text_of in zip(batch.column("lang"), batch.column("text"), strict=True):
+                lang, said = said_in.as_py(), _bytes(text_of)
                 if said:
                     if lang not in held and len(held) == HELD:
                         yield from told()
                     counts = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    counts += np.bincount(trigrams(said.encode()), minlength=BUCKETS)
+                    counts += np.bincount(trigrams(said), minlength=BUCKETS)
         yield from told()
 
-    return model_of(given.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+    return model_of(given.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
 
 
 def _evidence(model: Model):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            raw = texts.cast(pa.large_binary())
-            yield pa.array([model.evidence(x.as_py()) for x in raw], pa.list_(pa.float64()))
+            yield pa.array((model.evidence(_bytes(x)) for x in texts), pa.list_(pa.float64()), size=len(texts))
 
     return score
 

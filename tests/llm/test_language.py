@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from statweave.llm import language, queries
@@ -96,3 +97,23 @@ def test_counts_are_those_of_all_documents(documents):
     for i, lang in enumerate(model.languages):
         total = 2500 * len(language.trigrams(SAID[lang].encode()))
         assert model.unseen[i] == pytest.approx(math.log(spread / (total + spread * language.BUCKETS)))
+
+
+def test_counting_makes_no_pandas_copy_of_the_texts(documents, monkeypatch):
+    docs = documents([
+        (1, "Äpfel und Birnen", "de", "a"), (2, None, "de", "a"), (3, "", "fr", "a"),
+        (4, "apples and pears " * 3000, "en", "a"), (5, "lost", None, "a")])
+
+    def refused(*_):
+        raise AssertionError("texts go through pandas")
+
+    monkeypatch.setattr(type(docs), "mapInPandas", refused)
+    model = language.train(docs)
+    assert model.languages == ("de", "en")
+    counts = np.bincount(language.trigrams(("apples and pears " * 3000).encode()), minlength=language.BUCKETS)
+    gains = np.zeros(language.BUCKETS)
+    for bucket in range(language.BUCKETS):
+        for i in range(model.starts[bucket], model.starts[bucket + 1]):
+            if model.at[i] == 1:
+                gains[bucket] = model.gains[i]
+    assert np.allclose(gains, np.log1p(counts / min(0.5, counts.sum() / language.BUCKETS)))
